@@ -1,9 +1,10 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, packing, token_files
+from assayer.llm import bpe, ngram_join, packing, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op7_packing": packing.op7_packing,
     "op9_bpe": bpe.op9_bpe,
 }
