@@ -1,10 +1,11 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, ngram_join, packing, token_files
+from assayer.llm import bpe, ngram_join, packing, suffix_dedup, token_files
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_packing": packing.op7_packing,
     "op9_bpe": bpe.op9_bpe,
 }
