@@ -1,12 +1,14 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, ngram_join, packing, suffix_dedup, token_files
+from assayer.llm import bpe, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op2_token_files": token_files.op2_token_files,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP}
