@@ -308,13 +308,13 @@ def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeats taken out of its text; a character that loses some of its bytes goes whole."""
-    joined = with_spans(df, id_col, text_col)
+    joined, names = with_spans(df, id_col, text_col), df.columns
 
     def run(it):
         for b in it:
             texts = [None if t is None else cut(as_bytes(t), s)[0].decode("utf-8", "ignore") for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist())]
-            cols = [pa.array(texts, pa.string()) if f == text_col else b.column(f) for f in df.columns]
-            yield pa.RecordBatch.from_arrays(cols, names=df.columns)
+            cols = [pa.array(texts, pa.string()) if f == text_col else b.column(f) for f in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(run, df.schema)
 
