@@ -1,11 +1,13 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files
+from assayer.llm import bpe, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, vector_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_token_files": token_files.op2_token_files,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_vector_dedup": vector_dedup.op4_vector_dedup,
+    "op5_warc": warc.op5_warc,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
