@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, vector_dedup, warc
+from assayer.llm import bpe, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, vector_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP}
