@@ -1,4 +1,250 @@
-"""Registered queries and their SQL, by name."""
+"""Registered queries and their SQL, by name.  The driver's tables stand in for artifacts, runtimes and findings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assayer.functions import rules, scalars
+from assayer.operators import advisories, structure, verdict
+from assayer.plans.seeds import spark_text, sql_text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+def shared(name: str, tables: str, sql: str) -> None:
+    """A query whose SQL is the same in both dialects."""
+
+    def run(spark, sf_dir):
+        # Views are named by query, so that concurrent queries over other folders don't meet.
+        text = sql
+        for t in tables.split():
+            view = f"{t}_{abs(hash((name, sf_dir)))}"
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
+            text = text.replace(f"@{t}", view)
+        return spark.sql(text)
+
+    QUERIES[name] = run
+    ORACLE[name] = sql.replace("@", "")
+
+
+def read(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _quote(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+# Detectors: one row per text and matching rule.
+def _detector(family: str, text, sql: str, table: str, key: str) -> None:
+    own, first = rules.FAMILIES[family], family in rules.FIRST_ONLY
+
+    def run(spark, sf_dir):
+        df = read(spark, sf_dir, table).select(key, text().alias("t"))
+        return df.select(key, F.explode(rules.hits(F.col("t"), own, first)).alias("h")).select(key, "h.rule", "h.severity")
+
+    match = lambda r: f"regexp_matches(t, {_quote(r.sql)})"
+    if first:
+        body = "SELECT {k}, rule, CASE " + " ".join(f"WHEN rule = {_quote(r.name)} THEN '{r.severity}'" for r in own) + " END AS severity FROM (SELECT {k}, CASE " + " ".join(f"WHEN {match(r)} THEN {_quote(r.name)}" for r in own) + " END AS rule FROM seeded) WHERE rule IS NOT NULL"
+    else:
+        body = " UNION ALL ".join("SELECT {k}, " + f"{_quote(r.name)} AS rule, '{r.severity}' AS severity FROM seeded WHERE {match(r)}" for r in own)
+    QUERIES[f"detect_{family}"] = run
+    ORACLE[f"detect_{family}"] = f"WITH seeded AS (SELECT {key}, {sql} AS t FROM {table}) " + body.replace("{k}", key)
+
+
+for _family in ("rules_file", "companion", "model_card", "metadata", "runtime_flags", "supply_chain"):
+    _detector(_family, spark_text, sql_text(), "documents", "doc_id")
+QUERIES["detect_template_text"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.explode(rules.hits(spark_text(), rules.TEMPLATE_TEXT)).alias("h")).select("doc_id", "h.rule", "h.severity")
+ORACLE["detect_template_text"] = f"SELECT doc_id, 'poison_dangerous_function' AS rule, 'high' AS severity FROM (SELECT doc_id, {sql_text()} AS t FROM documents) WHERE regexp_matches(t, '(?i)(?:os\\.system|os\\.environ|subprocess\\.|__import__|eval\\(|exec\\(|compile\\()')"
+
+
+# Verdicts.
+def document_findings(spark, sf_dir):
+    """Findings of seeded documents, and rows for the core checks by a rule on the id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", spark_text().alias("t"))
+    cols = ["doc_id", "source", "status", "severity", "classification", "check", "mandatory"]
+    hit = docs.select("doc_id", "source", F.explode(F.concat(rules.hits(F.col("t"), rules.RULES_FILE, True), rules.hits(F.col("t"), rules.COMPANION))).alias("h"))
+    found = hit.select("doc_id", "source", F.when(F.col("h.severity") == "high", "suspicious").otherwise("unchecked").alias("status"), "h.severity", F.when(F.col("doc_id") % 3 == 0, "medium").otherwise("high").alias("classification"), F.lit("companion_config").alias("check"), (F.col("h.severity") == "high").alias("mandatory"))
+    core = docs.select("doc_id", "source", F.explode(F.array(*(F.struct(F.lit(c).alias("check"), s.alias("status")) for c, s in (("gguf_structure", F.when(F.col("doc_id") % 11 == 0, "error").otherwise("clean")), ("chat_template_static", F.when(F.col("doc_id") % 7 == 0, "unchecked").otherwise("clean")), ("runtime_advisory_join", F.when(F.col("doc_id") % 5 == 0, "unchecked").otherwise("verified")))))).alias("c"))
+    core = core.select("doc_id", "source", "c.status", F.lit("info").alias("severity"), F.lit("high").alias("classification"), "c.check", (F.col("c.status") == "error").alias("mandatory"))
+    return found.select(cols).union(core.select(cols))
+
+
+_hits_sql = " UNION ALL ".join(f"SELECT doc_id, source, '{r.severity}' AS severity FROM seeded WHERE regexp_matches(t, {_quote(r.sql)})" for r in rules.COMPANION)
+_first_sql = "SELECT doc_id, source, CASE " + " ".join(f"WHEN regexp_matches(t, {_quote(r.sql)}) THEN '{r.severity}'" for r in rules.RULES_FILE) + " END AS severity FROM seeded"
+_verdict_sql = """SELECT {by}, CASE WHEN block THEN 'not_suitable' WHEN doubt OR gap OR NOT structure OR NOT template THEN 'undetermined' WHEN NOT runtime THEN 'clean' ELSE 'suitable' END AS verdict FROM (
+ SELECT {by}, bool_or(status = 'suspicious' AND ((severity = 'critical' AND classification IN ('high', 'medium')) OR (severity = 'high' AND classification = 'high'))) AS block,
+  bool_or(status = 'suspicious' AND ((severity = 'critical' AND classification = 'low') OR (severity = 'high' AND classification = 'medium') OR (severity IN ('medium', 'low') AND classification = 'high'))) AS doubt,
+  bool_or(mandatory AND status IN ('unchecked', 'error') AND "check" NOT IN ('gguf_structure', 'chat_template_static', 'runtime_advisory_join')) AS gap,
+  bool_or("check" = 'gguf_structure' AND status IN ('verified', 'clean', 'not_applicable')) AS structure,
+  bool_or("check" = 'chat_template_static' AND status IN ('verified', 'clean', 'not_applicable')) AS template,
+  bool_or("check" = 'runtime_advisory_join' AND status IN ('verified', 'clean', 'not_applicable')) AS runtime FROM findings GROUP BY {by})"""
+_findings_sql = f"""seeded AS (SELECT doc_id, source, {sql_text()} AS t FROM documents), hits AS ({_first_sql} UNION ALL {_hits_sql}),
+findings AS (SELECT doc_id, source, CASE severity WHEN 'high' THEN 'suspicious' ELSE 'unchecked' END AS status, severity, CASE WHEN doc_id % 3 = 0 THEN 'medium' ELSE 'high' END AS classification, 'companion_config' AS "check", severity = 'high' AS mandatory FROM hits WHERE severity IS NOT NULL
+ UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'clean' END, 'info', 'high', 'gguf_structure', doc_id % 11 = 0 FROM documents
+ UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'unchecked' ELSE 'clean' END, 'info', 'high', 'chat_template_static', false FROM documents
+ UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'unchecked' ELSE 'verified' END, 'info', 'high', 'runtime_advisory_join', false FROM documents)"""
+
+
+@query("verdict_by_source", f"WITH {_findings_sql}, v AS ({_verdict_sql.format(by='source, doc_id')}) SELECT source, verdict, count(*) AS documents FROM v GROUP BY source, verdict")
+def verdict_by_source(spark, sf_dir):
+    per_document = verdict.verdicts(document_findings(spark, sf_dir), ["source", "doc_id"])
+    return per_document.groupBy("source", "verdict").agg(F.count("*").alias("documents"))
+
+
+@query("coverage_by_source", f"WITH {_findings_sql} SELECT source, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in verdict.STATUSES) + ", count(*) AS total FROM findings GROUP BY source")
+def coverage_by_source(spark, sf_dir):
+    return verdict.coverage(document_findings(spark, sf_dir), ["source"])
+
+
+@query("recommendations", f"WITH {_findings_sql}, f AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'join.CVE-1' WHEN doc_id % 3 = 0 THEN 'config.api_key' ELSE 'runtime.unknown' END AS id, status FROM findings), a AS (SELECT source, bool_or(contains(id, 'CVE') AND status = 'suspicious') AS cve, bool_or(contains(id, 'runtime') AND status = 'unchecked') AS unk, bool_or(contains(id, 'api_key')) AS k FROM f GROUP BY source) SELECT source, 'runtime' AS category, 'critical' AS priority, 'Update the runtime' AS title FROM a WHERE cve UNION ALL SELECT source, 'runtime', 'medium', 'Find out the runtime''s version' FROM a WHERE unk UNION ALL SELECT source, 'network', 'high', 'Keep keys out of arguments' FROM a WHERE k UNION ALL SELECT source, 'companion', 'critical', 'Rotate exposed credentials' FROM a WHERE k UNION ALL SELECT source, 'general', 'low', 'Verify digests' FROM a UNION ALL SELECT source, 'general', 'low', 'Run with least rights' FROM a UNION ALL SELECT source, 'general', 'medium', 'Keep models isolated' FROM a")
+def recommend(spark, sf_dir):
+    ids = F.when(F.col("doc_id") % 2 == 0, "join.CVE-1").when(F.col("doc_id") % 3 == 0, "config.api_key").otherwise("runtime.unknown")
+    return verdict.recommendations(document_findings(spark, sf_dir).withColumn("id", ids), ["source"])
+
+
+_line_findings = """findings AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 'suspicious' WHEN 'A' THEN 'unchecked' ELSE 'clean' END AS status,
+ CASE l_linenumber % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+ CASE l_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS classification,
+ CASE l_partkey % 4 WHEN 0 THEN 'gguf_structure' WHEN 1 THEN 'chat_template_static' WHEN 2 THEN 'runtime_advisory_join' ELSE 'companion_config' END AS {check}, l_linestatus = 'O' AS mandatory FROM lineitem)"""
+
+
+@query("verdict_at_scale", "WITH " + _line_findings.format(check='"check"') + " " + _verdict_sql.format(by="l_orderkey"))
+def verdict_at_scale(spark, sf_dir):
+    pick = lambda c, *v: F.element_at(F.array(*map(F.lit, v)), (F.col(c) % len(v) + 1).cast("int"))
+    status = F.when(F.col("l_returnflag") == "R", "suspicious").when(F.col("l_returnflag") == "A", "unchecked").otherwise("clean")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", status.alias("status"), pick("l_linenumber", "critical", "high", "medium", "low").alias("severity"), pick("l_suppkey", "high", "medium", "low").alias("classification"), F.lit(None).cast("string").alias("confidence"), pick("l_partkey", "gguf_structure", "chat_template_static", "runtime_advisory_join", "companion_config").alias("check"), (F.col("l_linestatus") == "O").alias("mandatory"))
+    return verdict.verdicts(rows, ["l_orderkey"]).drop("exit_code")
+
+
+# The advisory join.
+_bounds = lambda r: ", ".join("NULL" if r.get(k) is None else f"'{r[k]}'" for k in ("gt", "gte", "lt", "lte"))
+_rules_sql = ", ".join(f"('{i}', '{c}', '{s}', {_bounds(a)}, {_bounds(f)}, {t}, '{sev}', '{conf}')" for i, c, s, a, f, t, sev, conf in advisories.ADVISORIES)
+_key_sql = lambda v: f"list_transform(list_resize(list_filter(list_transform(string_split({v}, '.'), lambda p: regexp_extract(p, '^([0-9]+)', 1)), lambda d: d <> ''), 4, '0'), lambda d: CAST(d AS BIGINT))"
+
+
+def _test(prefix: str) -> str:
+    out = []
+    for k, op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
+        b = f"{prefix}_{k}"
+        out.append(f"({b} IS NULL OR CASE scheme WHEN 'build' THEN build {op} TRY_CAST({b} AS BIGINT) ELSE {_key_sql('version')} {op} {_key_sql(b)} END)")
+    return " AND ".join(out)
+
+
+@query("advisory_join", f"""WITH rules(advisory, rule_component, scheme, a_gt, a_gte, a_lt, a_lte, f_gt, f_gte, f_lt, f_lte, needs_template, rule_severity, rule_confidence) AS (VALUES {_rules_sql}),
+artifacts AS (SELECT doc_id AS artifact_id, doc_id % 2 = 0 AS has_template FROM documents),
+runtimes AS (SELECT s_suppkey AS runtime_id, CASE s_suppkey % 5 WHEN 0 THEN ' Llama-Server' WHEN 1 THEN 'ollama' WHEN 2 THEN 'sglang' WHEN 3 THEN 'llama-cpp-python' ELSE 'llama-cli' END AS component,
+ CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 997 % 9500 END AS build, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE 'v0.' || CAST(s_suppkey % 18 AS VARCHAR) || '.' || CAST(s_suppkey % 75 AS VARCHAR) END AS version, CASE s_suppkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM supplier),
+named AS (SELECT *, CASE WHEN lower(trim(component)) IN ({", ".join(f"'{n}'" for n in scalars.RUNTIME_NAMES)}) THEN 'llama.cpp' ELSE lower(trim(component)) END AS own FROM runtimes),
+j AS (SELECT *, CASE WHEN NOT ((NOT needs_template OR has_template) AND own = rule_component) THEN 'not_applicable' WHEN (CASE scheme WHEN 'build' THEN build IS NULL ELSE version IS NULL END) THEN 'unchecked' WHEN {_test('a')} THEN 'suspicious' WHEN {_test('f')} THEN 'verified' ELSE 'unchecked' END AS status FROM artifacts, (SELECT runtime_id, own, build, ltrim(version, 'v') AS version, confidence FROM named), rules)
+SELECT advisory, status, CASE status WHEN 'suspicious' THEN rule_severity ELSE 'info' END AS severity,
+ CASE status WHEN 'suspicious' THEN CASE WHEN 'low' IN (rule_confidence, confidence) THEN 'low' WHEN 'medium' IN (rule_confidence, confidence) THEN 'medium' ELSE 'high' END WHEN 'unchecked' THEN 'low' ELSE 'high' END AS confidence, count(*) AS findings FROM j GROUP BY ALL""")
+def advisory_join(spark, sf_dir):
+    artifacts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact_id"), (F.col("doc_id") % 2 == 0).alias("has_template"))
+    s = F.col("s_suppkey")
+    names = F.when(s % 5 == 0, " Llama-Server").when(s % 5 == 1, "ollama").when(s % 5 == 2, "sglang").when(s % 5 == 3, "llama-cpp-python").otherwise("llama-cli")
+    version = F.when(s % 11 != 0, F.concat(F.lit("v0."), (s % 18).cast("string"), F.lit("."), (s % 75).cast("string")))
+    runtimes = read(spark, sf_dir, "supplier").select(s.alias("runtime_id"), names.alias("component"), F.when(s % 7 != 0, s * 997 % 9500).alias("build"), version.alias("version"), F.when(s % 3 == 0, "low").when(s % 3 == 1, "medium").otherwise("high").alias("confidence"))
+    return advisories.findings(artifacts, runtimes, advisories.advisories(spark)).groupBy("advisory", "status", "severity", "confidence").agg(F.count("*").alias("findings"))
+
+
+# Tensors.
+@query("tensor_overlap", "WITH t AS (SELECT *, lag(e) OVER (PARTITION BY l_orderkey ORDER BY s, e, name) AS previous_end FROM (SELECT l_orderkey, l_linenumber * 64 AS s, l_linenumber * 64 + CAST(l_quantity AS BIGINT) * 3 AS e, CAST(l_partkey AS VARCHAR) AS name FROM lineitem)) SELECT l_orderkey, s, e, name, previous_end FROM t WHERE s < previous_end")
+def tensor_overlap(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 64).alias("s"), (F.col("l_linenumber") * 64 + F.col("l_quantity").cast("bigint") * 3).alias("e"), F.col("l_partkey").cast("string").alias("name"))
+    return structure.overlaps(t, ["l_orderkey"], "s", "e", "name")
+
+
+_types_sql = ", ".join(f"({i}, {b}, {s})" for i, (b, s) in scalars.GGML_TYPES.items())
+
+
+@query("tensor_bytes", f"WITH types(id, block, size) AS (VALUES {_types_sql}), t AS (SELECT l_linenumber, l_suppkey % 50 AS id, l_partkey % 64 * 32 AS d0, CAST(l_quantity AS BIGINT) AS d1 FROM lineitem) SELECT t.id, count(*) AS tensors, CAST(count(CASE WHEN d0 % block = 0 AND d0 > 0 AND d1 > 0 THEN 1 END) AS BIGINT) AS sound, CAST(sum(CASE WHEN d0 % block = 0 AND d0 > 0 AND d1 > 0 THEN d0 // block * size * d1 END) AS BIGINT) AS bytes FROM t JOIN types ON t.id = types.id GROUP BY t.id")
+def tensor_bytes(spark, sf_dir):
+    types = spark.createDataFrame([(i, b, s) for i, (b, s) in scalars.GGML_TYPES.items()], "id long, block long, size long")  # 44 rows
+    t = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("id"), F.array((F.col("l_partkey") % 64 * 32), F.col("l_quantity").cast("bigint")).cast("array<decimal(20,0)>").alias("dims"))
+    sized = t.join(F.broadcast(types), "id").withColumn("bytes", scalars.tensor_bytes(F.col("dims"), F.col("block"), F.col("size")))
+    return sized.groupBy("id").agg(F.count("*").alias("tensors"), F.count("bytes").alias("sound"), F.sum("bytes").cast("bigint").alias("bytes"))
+
+
+@query("alignment", "SELECT p_partkey, p_size >= 8 AND (p_size & (p_size - 1)) = 0 AS sound, CAST(p_partkey + ((-p_partkey % p_size) + p_size) % p_size AS BIGINT) AS aligned FROM part WHERE p_size > 0")
+def alignment(spark, sf_dir):
+    return read(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", scalars.sound_alignment(F.col("p_size")).alias("sound"), scalars.align_up(F.col("p_partkey"), F.col("p_size")).cast("bigint").alias("aligned"))
+
+
+# Companions and siblings.
+@query("sibling_templates", "WITH t AS (SELECT source, doc_id, CASE WHEN doc_id % 9 = 0 THEN '' WHEN CAST(floor(doc_id / 20) AS BIGINT) % 4 = 1 THEN 'other' ELSE 'same' END AS template, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), u AS (SELECT *, first_value(template) OVER (PARTITION BY source ORDER BY doc_id) AS f FROM t WHERE n <= 10 AND template <> '') SELECT source, doc_id, template FROM u WHERE template <> f")
+def sibling_templates(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 9 == 0, "").when(F.floor(F.col("doc_id") / 20) % 4 == 1, "other").otherwise("same")
+    return structure.sibling_mismatch(read(spark, sf_dir, "documents").select("source", "doc_id", t.alias("template")), "source", "doc_id", "template").select("source", "doc_id", "template")
+
+
+@query("manifest_coherence", "WITH a AS (SELECT doc_id, source, sha256(text) AS sha256, lang AS architecture, CAST(doc_id % 2 AS VARCHAR) AS name FROM documents), m AS (SELECT source, upper(min(sha256)) AS d, min(lang) AS ar, '1' AS n FROM (SELECT source, lang, sha256(text) AS sha256 FROM documents) GROUP BY source) SELECT source, doc_id AS artifact_id, 'sha256' AS attribute, lower(sha256) = lower(d) AS matches FROM a JOIN m USING (source) UNION ALL SELECT source, doc_id, 'architecture', architecture = ar FROM a JOIN m USING (source) WHERE architecture <> '' UNION ALL SELECT source, doc_id, 'name', name = n FROM a JOIN m USING (source)")
+def manifest_coherence(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("artifact_id"), F.sha2("text", 256).alias("sha256"), F.col("lang").alias("architecture"), (F.col("doc_id") % 2).cast("string").alias("name"))
+    manifests = docs.groupBy("source").agg(F.upper(F.min("sha256")).alias("declared_sha256"), F.min("architecture").alias("declared_architecture")).withColumn("declared_name", F.lit("1"))
+    return structure.coherence(docs, manifests, "source")
+
+
+@query("companion_budget", "WITH t AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE n_chars <= 8000) SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM t WHERE running <= 100000")
+def companion_budget(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where("n_chars <= 8000").select("source", "doc_id", "n_chars")
+    return structure.budget(rows, ["source"], ["doc_id"], "n_chars", 100_000).select("source", "doc_id", "running")
+
+
+@query("numbered_findings", "SELECT event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS occurrence FROM events")
+def numbered_findings(spark, sf_dir):
+    rows = structure.numbered(read(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id"])
+    return rows.select("event_type", "event_id", F.col("occurrence").cast("bigint").alias("occurrence"))
+
+
+@query("distinct_findings", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY event_id) AS n FROM events) SELECT user_id, event_id, event_type FROM t WHERE n = 1")
+def distinct_findings(spark, sf_dir):
+    return structure.first_of(read(spark, sf_dir, "events"), ["user_id", F.lower("event_type")], ["event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("detector_confusion", f"WITH d AS (SELECT lang, toxic = 1 AS e, regexp_matches({sql_text()}, {_quote(rules.RULES_FILE[2].sql)}) OR doc_id % 4 = 0 AS d FROM documents JOIN labels USING (doc_id)) SELECT lang, count(*) FILTER (WHERE e AND d) AS tp, count(*) FILTER (WHERE NOT e AND NOT d) AS tn, count(*) FILTER (WHERE NOT e AND d) AS fp, count(*) FILTER (WHERE e AND NOT d) AS fn FROM d GROUP BY lang")
+def detector_confusion(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    d = d.select("lang", (F.col("toxic") == 1).alias("e"), (spark_text().rlike(rules.RULES_FILE[2].java) | (F.col("doc_id") % 4 == 0)).alias("d"))
+    return structure.confusion(d, "e", "d", ["lang"])
+
+
+# Runtimes.
+def _identity_sql(patterns, flags="im"):
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(t, {_quote(f'(?{flags})' + p)}, 1), '')" for p in patterns) + ")"
+
+
+@query("runtime_identity", f"WITH s AS (SELECT doc_id, {sql_text()} AS t FROM documents) SELECT doc_id, CAST({_identity_sql(scalars.BUILD)} AS BIGINT) AS build, {_identity_sql(scalars.VERSION)} AS version, lower({_identity_sql(scalars.COMMIT)}) AS \"commit\" FROM s")
+def runtime_identity(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", scalars.identity(spark_text()).alias("i")).select("doc_id", "i.*")
+
+
+@query("executable_formats", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'elf' WHEN 1 THEN 'mach-o' WHEN 2 THEN 'pe' END AS format FROM events")
+def executable_formats(spark, sf_dir):
+    head = F.when(F.col("event_id") % 5 == 0, F.unhex(F.lit("7F454C4602"))).when(F.col("event_id") % 5 == 1, F.unhex(F.lit("CFFAEDFE07"))).when(F.col("event_id") % 5 == 2, F.unhex(F.lit("4D5A90"))).otherwise(F.unhex(F.lit("00")))
+    return read(spark, sf_dir, "events").select("event_id", scalars.executable_format(head).alias("format"))
+
+
+@query("error_origins", "WITH m AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Bad MAGIC bytes' WHEN 1 THEN 'file is truncated at version' WHEN 2 THEN 'string limit' WHEN 3 THEN 'tensor ranges overlap' WHEN 4 THEN 'invalid UTF-8' ELSE 'else' END AS m FROM events) SELECT event_id, CASE WHEN contains(lower(m), 'truncat') THEN 'truncated' WHEN contains(lower(m), 'magic') THEN 'magic' WHEN contains(lower(m), 'limit') THEN 'limit' WHEN contains(lower(m), 'overlap') THEN 'overlap' WHEN contains(lower(m), 'utf-8') THEN 'encoding' ELSE 'other' END AS origin FROM m")
+def error_origins(spark, sf_dir):
+    m = F.element_at(F.array(*map(F.lit, ("Bad MAGIC bytes", "file is truncated at version", "string limit", "tensor ranges overlap", "invalid UTF-8", "else"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", scalars.error_origin(m).alias("origin"))
+
+
+# Plain SQL that both engines run.
+shared("document_digests", "documents", "SELECT doc_id, " + "sha2(text, 256) AS digest FROM @documents")
+ORACLE["document_digests"] = "SELECT doc_id, sha256(text) AS digest FROM documents"
+QUERIES["from_directives"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.concat(spark_text(), F.when(F.col("doc_id") % 6 == 0, F.lit("\nFROM ./local.gguf\n from hf://x/y@sha256:" + "a" * 64)).otherwise(F.lit("\nFROM https://x/y"))), F.lit(r"(?dUium)^\s*FROM\s+([^\s#]+)"), F.lit(1))).alias("n", "reference")).select("doc_id", "reference", F.expr("startswith(reference, './') OR startswith(reference, '../') OR startswith(reference, '/') OR startswith(reference, 'file://')").alias("local"), F.col("reference").rlike(r"(?dUiu)(?:@|:|\b)sha256[:=]?[0-9a-f]{64}\b").alias("pinned"))
+ORACLE["from_directives"] = f"WITH s AS (SELECT doc_id, {sql_text()} || CASE WHEN doc_id % 6 = 0 THEN chr(10) || 'FROM ./local.gguf' || chr(10) || ' from hf://x/y@sha256:{'a' * 64}' ELSE chr(10) || 'FROM https://x/y' END AS t FROM documents), r AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?im)^\\s*FROM\\s+([^\\s#]+)', 1)) AS reference FROM s) SELECT doc_id, reference, (starts_with(reference, './') OR starts_with(reference, '../') OR starts_with(reference, '/') OR starts_with(reference, 'file://')) AS local, regexp_matches(reference, '(?i)(?:@|:|\\b)sha256[:=]?[0-9a-f]{{64}}\\b') AS pinned FROM r"
+shared("status_union", "orders", "SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'info' END AS severity, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'error' WHEN o_orderpriority = '3-MEDIUM' THEN 'warning' WHEN o_orderpriority = '5-LOW' THEN 'note' ELSE 'none' END AS level FROM @orders WHERE o_orderstatus <> 'O'")
