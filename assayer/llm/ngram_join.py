@@ -1,9 +1,10 @@
 """Similarity join on word shingles by several global orders.
 
-Every order puts shingles that only one set holds first and the others by a hash of its own.  A pair that links shares a
-shingle in the prefixes under each order, so: sets whose unique shingles already fill the prefix are out; the first
-order groups the rest into families; inside a family a pair is verified only if its prefixes meet under all orders.
-Equal sets count once.  Families over a bound are dealt as pairs of blocks.  Tasks return spanning edges, never pairs.
+A pair that links shares a shingle in the prefixes under each global order.  All orders put shingles that only one set
+holds first, so sets whose unique shingles already fill the prefix are out.  Among the sets left, shingles are counted,
+and the first order goes by count, the others by magnitude of the count and hashes of their own.  The first order groups
+sets into families; families over a bound are split by the next orders; inside a family a pair is verified only if its
+prefixes meet under all orders.  Equal sets count once.  Families still over the bound are dealt as pairs of blocks.  Tasks return spanning edges, never pairs.
 
 Sets are of 64-bit hashes of shingles.  Null or wordless text: empty set, linked with nothing.  Rows with a null id get
 a null component; rows that repeat an id must repeat its text, and stay rows of their own."""
@@ -60,20 +61,23 @@ def _extract(k: int):
     return extract
 
 
-def _prefix(keys: np.ndarray, n: int, percent: int, order: int) -> np.ndarray:
+def _prefix(keys: np.ndarray, counts: np.ndarray, n: int, percent: int, order: int) -> np.ndarray:
     """The shared part of a set's prefix under an order."""
     least = -(-percent * n // 100)
     room = (n - least + 1) - (n - len(keys))
+    if room <= 0:
+        return keys[:0]
     ranks = mix(keys + np.uint64((order * 0xA0761D6478BD642F) % (1 << 64)))
-    return keys[np.argsort(ranks, kind="stable")[: max(0, room)]]
+    level = counts if order == 0 else np.frexp(counts)[1]
+    return keys[np.lexsort((ranks, level))[:room]]
 
 
-def link_group(sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def link_group(sizes: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Spanning edges of the links among sets (shared shingles only; sizes are of the whole sets)."""
     n = len(sets)
     ok = (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)) & np.triu(np.ones((n, n), bool), 1)
     for o in range(ORDERS):
-        heads = [_prefix(s, int(m), percent, o) for s, m in zip(sets, sizes)]
+        heads = [_prefix(s, c, int(m), percent, o) for s, c, m in zip(sets, counts, sizes)]
         ok &= _common(heads) > 0
         if not ok.any():
             return []
@@ -145,27 +149,54 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = sets.where("shared is not null and doc_id is not null").join(equal, "sig", "left").where("rep is null or rep = doc_id").select("doc_id", "n_shingles", "shared")
     able = common.save(able.dropDuplicates(["doc_id"]), "able")
 
-    def heads(it):
+
+    def shingles(it):
         for b in it:
-            out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d, m, s in zip(*(c.to_pylist() for c in b.columns)):
-                p = _prefix(np.frombuffer(s, np.uint64), m, percent, 0)
-                out[0].append(p.view(np.int64))
-                out[1].append(np.full(len(p), d, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "doc_id"])
-
-    head = common.save(able.mapInArrow(heads, "token long, doc_id long"), "heads")
-    least = head.groupBy("token").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select((F.col("token") + 0).alias("t"), "m")
-    edges = head.join(least, F.col("token") == F.col("t")).where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
-    family = common.save(common.components(edges).select("id", F.col("component_id").alias("family")), "family")
-    members = common.save(able.join(family, able.doc_id == family.id).select("family", "doc_id", "n_shingles", "shared"), "members")
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("shared") / 8).alias("t"))
+            sets_of = [np.frombuffer(x, np.int64) for x in b.column("shared").to_pylist()]
+            docs = np.repeat(np.asarray(b.column("doc_id")), [len(x) for x in sets_of])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets_of, np.zeros(0, np.int64)])), pa.array(docs.astype(np.int64))], names=["token", "doc_id"])
+
+    every = able.select("doc_id", "shared").mapInArrow(shingles, "token long, doc_id long")
+    held = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select((F.col("token") + 0).alias("t"), F.col("c").cast("int").alias("c"))
+    counted = every.join(held, F.col("token") == F.col("t")).groupBy("doc_id").agg(F.collect_list(F.struct("token", "c")).alias("tokens"))
+    counted = counted.join(able.select(F.col("doc_id").alias("d"), "n_shingles"), F.col("doc_id") == F.col("d")).where(F.size("tokens") * 100 >= F.col("n_shingles") * percent)
+    packed = counted.select("doc_id", "n_shingles", F.transform("tokens", lambda x: x["token"]).alias("tokens"), F.transform("tokens", lambda x: x["c"]).alias("counts"))
+    members = common.save(packed.withColumn("family", F.lit(0).cast("long")), "members")
+    common.release(df.sparkSession)
+
+    def heads(order):
+        def run(it):
+            for b in it:
+                out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for f, d, m, t, c in zip(*(b.column(x).to_pylist() for x in ("family", "doc_id", "n_shingles", "tokens", "counts"))):
+                    p = _prefix(np.array(t, np.int64).view(np.uint64), np.array(c), m, percent, order)
+                    for o, x in zip(out, (p.view(np.int64), np.full(len(p), f, np.int64), np.full(len(p), d, np.int64))):
+                        o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "family", "doc_id"])
+
+        return run
+
+    done = members.where("false")
+    for order in range(ORDERS):
+        head = common.save(members.mapInArrow(heads(order), "token long, family long, doc_id long"), "heads")
+        least = head.groupBy("token", "family").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select((F.col("token") + 0).alias("t"), (F.col("family") + 0).alias("f"), "m")
+        edges = head.join(least, (F.col("token") == F.col("t")) & (F.col("family") == F.col("f"))).where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
+        found = common.components(edges)
+        size = found.groupBy("component_id").agg(F.count("*").alias("n")).select((F.col("component_id") + 0).alias("c"), "n")
+        found = common.save(found.join(size, F.col("component_id") == F.col("c")).select("id", F.col("component_id").alias("new"), "n"), "family")
+        split = common.save(members.join(found, members.doc_id == found.id).select("doc_id", "n_shingles", "tokens", "counts", F.col("new").alias("family"), "n"), "members")
+        done = done.unionByName(split.where(F.col("n") <= 2 * BLOCK).drop("n"))
+        members = split.where(F.col("n") > 2 * BLOCK).drop("n")
+        if members.isEmpty():
+            break
+    members = done.unionByName(members)
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("t"))
     blocks = sizes.select(F.col("family").alias("f"), F.ceil(F.greatest(F.when(F.col("n") <= 2 * BLOCK, F.lit(1.0)).otherwise(F.col("n") / BLOCK), F.when(F.col("t") <= 2 * BLOCK_SHINGLES, F.lit(1.0)).otherwise(F.col("t") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
     blocks = common.save(blocks.where("blocks > 1"), "blocks")
     dealt = members.join(blocks, F.col("family") == F.col("f"), "left").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
-    dealt = dealt.select("family", "doc_id", "n_shingles", "shared", "own", other.alias("o"))
-    dealt = dealt.select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "doc_id", "n_shingles", "shared")
+    dealt = dealt.select("family", "doc_id", "n_shingles", "tokens", "counts", "own", other.alias("o"))
+    dealt = dealt.select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "doc_id", "n_shingles", "tokens", "counts")
 
     def verify(it):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -184,7 +215,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def edges_of():
             for g in groups():
-                found = link_group(np.array([r[1] for r in g], np.int64), [np.frombuffer(r[2], np.uint64) for r in g], percent)
+                found = link_group(np.array([r[1] for r in g], np.int64), [np.array(r[2], np.int64).view(np.uint64) for r in g], [np.array(r[3]) for r in g], percent)
                 for a, b in found:
                     yield g[a][0], g[b][0]
 
@@ -192,7 +223,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = dealt.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(verify, "a long, b long")
     found = common.save(common.components(links), "components")
-    return named.join(found, named.rep == found.id, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    return named.join(found, named.rep == found.id, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
