@@ -6,6 +6,7 @@ import gc
 import math
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -39,8 +40,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs whose results have been saved."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what the second one finds unused
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -55,6 +58,14 @@ def parts(df: DataFrame, mb: float) -> int:
     return max(least, math.ceil(size / (mb * 1e6))) if size < 1 << 60 else least
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column of a table begins with: columns named after it clash with none."""
+    p = "_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a saved table is small enough to broadcast; looks at ``rows`` + 1 rows at most."""
     return df.limit(rows + 1).count() <= rows

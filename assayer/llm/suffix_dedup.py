@@ -157,16 +157,37 @@ def merge(runs: list):
 
 def settle(group: list[tuple[bytes, bytes, int, int]]):
     """(doc, from, to) of windows in a group of one gram that a lesser document holds too."""
-    if min(x[2] for x in group) == max(x[2] for x in group):
+    least: dict[tuple[bytes, bytes], int] = {}
+    for suffix, left, doc, _ in group:
+        key = (suffix, left)
+        if least.get(key, doc) >= doc:
+            least[key] = doc
+    alone = []
+    for item in group:
+        suffix, left, doc, place = item
+        if least[suffix, left] < doc:
+            yield doc, place, place + len(left) + len(suffix)
+        else:
+            alone.append(item)
+    if len(least) == 1:
+        return
+    if len(alone) == 2:
+        # Two contexts share one stretch around the gram: what agrees to its left and from it on.
+        a, b = alone if alone[0][2] < alone[1][2] else alone[::-1]
+        if a[2] < b[2]:
+            right = common_prefix(a[0], b[0], GRAM)
+            back = common_prefix(a[1][::-1], b[1][::-1], 0)
+            if back + right >= LENGTH:
+                yield b[2], b[3] + len(b[1]) - back, b[3] + len(b[1]) + right
         return
     first: dict[bytes, int] = {}
-    for suffix, left, doc, _ in group:
+    for suffix, left, doc, _ in alone:
         s = left + suffix
         for q in range(len(s) - LENGTH + 1):
             w = s[q : q + LENGTH]
             if first.get(w, doc) >= doc:
                 first[w] = doc
-    for suffix, left, doc, place in group:
+    for suffix, left, doc, place in alone:
         s, at = left + suffix, -1
         n = len(s) - LENGTH + 1
         for q in range(n + 1):
@@ -249,15 +270,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         group: list = []
         spans: list = []
         for lcp, suffix, left, doc, place in merge([front_decode(r) for r in runs]) if runs else ():
-            if lcp < GRAM and group:
-                spans.extend(settle(group))
+            if lcp < GRAM:
+                if len(group) > 1:
+                    spans.extend(settle(group))
                 group = []
                 if len(spans) > 1 << 17:
                     yield from common.batches(_spans_out(spans, n, targets), _ROWS, 256)
                     spans = []
             group.append((suffix, left, doc, place))
-        if group:
-            spans.extend(settle(group))
+        spans.extend(settle(group))
         yield from common.batches(_spans_out(spans, n, targets), _ROWS, 256)
 
     def by_document(it):
@@ -300,19 +321,20 @@ def cut(raw: bytes, spans: bytes | None) -> tuple[bytes, int]:
     return b"".join([*out, raw[at:]]), len(pairs)
 
 
-def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and a column _spans."""
-    spans = repeated_spans(df, id_col, text_col).toDF("_k", "_spans")
-    return df.join(spans, F.col(id_col).cast("long") == F.col("_k"), "left").drop("_k")
+def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """All columns of ``df`` and one of spans, and that one's name."""
+    p = common.prefix(df)
+    spans = repeated_spans(df, id_col, text_col).toDF(f"{p}key", f"{p}spans")
+    return df.join(spans, F.col(id_col).cast("long") == F.col(f"{p}key"), "left").drop(f"{p}key"), f"{p}spans"
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeats taken out of its text; a character that loses some of its bytes goes whole."""
-    joined, names = with_spans(df, id_col, text_col), df.columns
+    (joined, spans), names = with_spans(df, id_col, text_col), df.columns
 
     def run(it):
         for b in it:
-            texts = [None if t is None else cut(as_bytes(t), s)[0].decode("utf-8", "ignore") for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist())]
+            texts = [None if t is None else cut(as_bytes(t), s)[0].decode("utf-8", "ignore") for t, s in zip(b.column(text_col).to_pylist(), b.column(spans).to_pylist())]
             cols = [pa.array(texts, pa.string()) if f == text_col else b.column(f) for f in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -326,10 +348,11 @@ def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     def run(it):
         for b in it:
             out = []
-            for d, t, s in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_spans"))):
+            for d, t, s in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", spans))):
                 raw = as_bytes(t)
                 left, n = cut(raw, s)
                 out.append((d, len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest()))
             yield from common.batches(out, schema)
 
-    return with_spans(df).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, spans = with_spans(df)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
