@@ -33,21 +33,24 @@ def boilerplate(df: DataFrame, site: Column, text_col: str = "text", percent: in
 def drop_lines(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT, least: int = LEAST, extra: str | None = None) -> DataFrame:
     """``df`` with boilerplate lines taken out of the text; ``extra`` names a column for how many went.  Sites' arrays
     are broadcast if they are few; else pages are dealt by site and salt, and the arrays go to every salt."""
-    found = boilerplate(df, site, text_col, percent, least).toDF("_site", "_lines")
-    names = df.columns
+    p = common.prefix(df)
+    found = boilerplate(df, site, text_col, percent, least).toDF(f"{p}site", f"{p}lines")
+    names, same = df.columns, F.col(f"{p}own").eqNullSafe(F.col(f"{p}site"))
+    joined = df.withColumn(f"{p}own", site)
     if common.small(found, 20_000):
-        joined = df.withColumn("_s", site).join(F.broadcast(found), F.col("_s").eqNullSafe(F.col("_site")), "left")
+        joined = joined.join(F.broadcast(found), same, "left")
     else:
-        salted = found.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("_s", site).withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, F.col("_s").eqNullSafe(F.col("_site")) & (F.col("_salt") == F.col("_at")), "left")
-    every = F.split(text_col, "\n", -1)
-    left = F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col("_lines"), _key(x)), F.lit(False)))
-    joined = joined.withColumn("_left", F.when(F.col("_lines").isNotNull(), left))
-    text = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
-    gone = F.coalesce(F.size(every) - F.size("_left"), F.lit(0)).cast("long")
+        salted = found.withColumn(f"{p}at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = joined.withColumn(f"{p}salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salted, same & (F.col(f"{p}salt") == F.col(f"{p}at")), "left")
+    lines, every = F.col(f"{p}lines"), F.split(text_col, "\n", -1)
+    left = F.filter(every, lambda x: ~F.coalesce(F.array_contains(lines, _key(x)), F.lit(False)))
+    joined = joined.withColumn(f"{p}left", F.when(lines.isNotNull(), left))
+    kept = F.col(f"{p}left")
+    text = F.when(kept.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    gone = F.when(kept.isNull(), 0).otherwise(F.size(every) - F.size(kept)).cast("long")
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return joined.select(*out, *([F.when(F.col("_left").isNull(), F.lit(0).cast("long")).otherwise(gone).alias(extra)] if extra else []))
+    return joined.select(*out, *([gone.alias(extra)] if extra else []))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

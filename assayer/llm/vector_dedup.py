@@ -59,7 +59,7 @@ class Codes:
                     t = total[:, None] + s[i][None, :]
                     p, c = np.nonzero(t + more >= self.least)
                     total, code = t[p, c], code[p] * self.k + c
-                out[i].append(mix(code.view(np.uint64) + np.uint64((book + 1) << 58) + np.uint64(unit.shape[1])).view(np.int64))
+                out[i].append(mix(mix(code.view(np.uint64) + np.uint64((book + 1) << 58)) + np.uint64(unit.shape[1])).view(np.int64))
         return [np.concatenate(x) for x in out]
 
 
