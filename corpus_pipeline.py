@@ -26,8 +26,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.similar_sets(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    least = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(least, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    key = f"{common.prefix(docs)}key"
+    least = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(least, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
