@@ -68,3 +68,28 @@ def test_small_scalars(spark):
 def test_overlap(spark):
     df = spark.createDataFrame([(1, 0, 10, "a"), (1, 10, 20, "b"), (1, 15, 18, "c"), (2, 5, 6, "d")], "f long, s long, e long, n string")
     assert [r.n for r in structure.overlaps(df, ["f"], "s", "e", "n").collect()] == ["c"]
+
+
+def test_reports(spark, tmp_path):
+    from assayer.operators import reports
+
+    rows = [(1, 0, "b", "suspicious", "high", "c", "B", "/x"), (1, 1, "a", "error", "low", "c", "A", "/gone"), (1, 2, "b", "suspicious", "medium", "c", "B2", None), (1, 3, "z", "clean", "info", "c", "Z", None)]
+    df = spark.createDataFrame(rows, "run long, seq long, id string, status string, severity string, check string, summary string, path string")
+    artifacts = spark.createDataFrame([("/first", 0), ("/x", 1)], "path string, seq long")
+    got = sorted(tuple(r) for r in reports.sarif_results(df, artifacts).collect())
+    assert got == [("a", 1, "note", "A", "/first"), ("b", 0, "error", "B", "/x"), ("b", 0, "warning", "B2", "/first")]
+    import json
+
+    assert [f["id"] for f in json.loads(reports.report_rows(df, ["run"]).first().report)["findings"]] == ["a", "b", "b", "z"]
+    reports.write_atomically(reports.canonical({"b": 1, "a": "é"}), str(tmp_path / "r.json"))
+    assert (tmp_path / "r.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n'
+    assert spark.range(1).select(reports.markdown_escape(F.lit("a*b_[c]"))).first()[0] == r"a\*b\_\[c\]"
+
+
+def test_companion_findings(spark):
+    from assayer.operators import companions
+
+    rows = [("f", 0, "sha256_mismatch", "low", "not_used"), ("f", 1, "link", "high", "not_used"), ("f", 2, "sha256_match", "info", "used"), ("f", 3, "key", "high", "used"), ("f", 4, "map", "low", "used")]
+    df = spark.createDataFrame(rows, "folder string, seq long, kind string, severity string, relevance string")
+    got = companions.findings(df, spark.createDataFrame([("f",), ("g",)], "folder string")).orderBy("id").collect()
+    assert {r.id: r.status for r in got} == {"config.sha256_mismatch.0": "suspicious", "config.link.1": "not_applicable", "config.sha256_match.2": "verified", "config.key.3": "suspicious", "config.map.4": "unchecked", "config.no_signals": "clean"}
