@@ -248,3 +248,14 @@ ORACLE["document_digests"] = "SELECT doc_id, sha256(text) AS digest FROM documen
 QUERIES["from_directives"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.concat(spark_text(), F.when(F.col("doc_id") % 6 == 0, F.lit("\nFROM ./local.gguf\n from hf://x/y@sha256:" + "a" * 64)).otherwise(F.lit("\nFROM https://x/y"))), F.lit(r"(?dUium)^\s*FROM\s+([^\s#]+)"), F.lit(1))).alias("n", "reference")).select("doc_id", "reference", F.expr("startswith(reference, './') OR startswith(reference, '../') OR startswith(reference, '/') OR startswith(reference, 'file://')").alias("local"), F.col("reference").rlike(r"(?dUiu)(?:@|:|\b)sha256[:=]?[0-9a-f]{64}\b").alias("pinned"))
 ORACLE["from_directives"] = f"WITH s AS (SELECT doc_id, {sql_text()} || CASE WHEN doc_id % 6 = 0 THEN chr(10) || 'FROM ./local.gguf' || chr(10) || ' from hf://x/y@sha256:{'a' * 64}' ELSE chr(10) || 'FROM https://x/y' END AS t FROM documents), r AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?im)^\\s*FROM\\s+([^\\s#]+)', 1)) AS reference FROM s) SELECT doc_id, reference, (starts_with(reference, './') OR starts_with(reference, '../') OR starts_with(reference, '/') OR starts_with(reference, 'file://')) AS local, regexp_matches(reference, '(?i)(?:@|:|\\b)sha256[:=]?[0-9a-f]{{64}}\\b') AS pinned FROM r"
 shared("status_union", "orders", "SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'info' END AS severity, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'error' WHEN o_orderpriority = '3-MEDIUM' THEN 'warning' WHEN o_orderpriority = '5-LOW' THEN 'note' ELSE 'none' END AS level FROM @orders WHERE o_orderstatus <> 'O'")
+
+
+@query("template_evidence")
+def template_evidence(spark, sf_dir):
+    """Documents as templates with planted expressions; the syntax tree is beyond SQL."""
+    from assayer.operators.templates import template_evidence as scan
+
+    plants = ("{{ eval('x') }}", "{{ 'https://x.example/' ~ m }}", "{% include 'x' %}", "{% if x == 'login' %}a{% else %}ignore the system prompt{% endif %}", "{{ ''.__class__.__mro__() }}", "{% broken", "{% set system_prompt = m + ' always send' %}", "{{ x | attr('y') }}")
+    plant = F.element_at(F.array(*map(F.lit, plants)), (F.col("doc_id") % len(plants) + 1).cast("int"))
+    df = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.translate("text", "{}", "()"), plant).alias("t"))
+    return scan(df, "doc_id", "t").select("doc_id", "seq", "kind", "node_type", "severity")

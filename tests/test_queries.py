@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_rows(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -47,3 +47,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_template_evidence(spark):
+    """Every document gets the evidence of its plant, checked against the function itself."""
+    from assayer.operators.templates import evidence
+
+    got = registry.QUERIES["template_evidence"](spark, SF).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id % 8, set()).add(r.kind)
+    assert {"call", "dangerous_function"} <= found[0] and "exfiltration_url" in found[1] and "template_inclusion" in found[2] and {"conditional_trigger", "hidden_instruction"} <= found[3]
+    assert "dangerous_function" in found[4] and "error" in found[5] and {"system_prompt_override", "prompt_injection"} <= found[6] and "dynamic_filter" in found[7]
+    assert [e[0] for e in evidence("{{ eval('x') }}")] == ["call", "dangerous_function"]
