@@ -146,6 +146,7 @@ def codec(path: str) -> tuple[Encoder, Decoder]:
 
 def round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded text, one row a document."""
+    common.bound_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(it):

@@ -101,6 +101,13 @@ def partition_keys(n: int) -> np.ndarray:
     return keys
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: record batches for Python hold at most so many rows, unless the session says fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def batches(rows, schema: pa.Schema, most: int = 4096):
     """Rows (tuples) as record batches of bounded length."""
     held: list = []

@@ -162,6 +162,7 @@ def sample(df: DataFrame, id_col: str, text_col: str) -> list[bytes]:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_licensed, n_unknown, families): families sorted and joined by commas."""
+    common.bound_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(train(sample(df, id_col, text_col)))  # 2^BITS columns
     schema = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_licensed", pa.int64()), ("n_unknown", pa.int64()), ("families", pa.string())])
 

@@ -57,6 +57,7 @@ def pack_rests(lengths: list[int], size: int) -> list[tuple[int, int, int, int,
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = 2048) -> DataFrame:
     """One row per piece.  sequence_id: the task's number times 2^33 plus a running number."""
+    common.bound_batches(df.sparkSession)
     schema = pa.schema([(f.split()[0], pa.int64()) for f in FIELDS.split(", ")])
 
     def run(it):

@@ -118,6 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def judge(documents: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """Counts, base_failed, probability and kept for every row; with ``keep_row`` the rows that are kept, unchanged."""
+    common.bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # WIDTH floats
     fields = [("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("probability", pa.float64())]
     schema = pa.schema(fields)

@@ -18,7 +18,7 @@ from assayer.llm import common
 from assayer.llm.words import mix
 
 #: Keys that a task holds before it sends a run.
-RUN = 1 << 20
+RUN = 1 << 19
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 ROWS = "bucket int, kind byte, blob binary"
 WITNESS, ASKING, FOUND, EXTRA = 0, 1, 2, 3
@@ -61,7 +61,7 @@ def shared_keys(rows: DataFrame, extract, n: int, bits: int = 64, keep_key: bool
     """``rows``: (doc_id, text).  ``extract(held)`` gives for a list of rows: keys (uint64), the row number of each,
     a uint32 for each, and for each row 24 bytes or None to carry along.  Result: (doc_id, extra, shared), shared
     holding the shared keys (uint64) or, without ``keep_key``, the values given with them (uint32)."""
-    spark = rows.sparkSession
+    common.bound_batches(rows.sparkSession)
     targets, shift = common.partition_keys(n), np.uint64(64 - bits)
 
     def send(keys, docs, values):

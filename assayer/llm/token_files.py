@@ -28,6 +28,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """Encode every whole text, append ``end_id``, write files; returns their manifest (part, path, docs, tokens, base),
     one row a file, base being the number of ids in all files before it."""
     spark = df.sparkSession
+    common.bound_batches(spark)
     folder = common.shared_path(spark, "tokens")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(common.parts(df, mb), "doc_id").sortWithinPartitions("doc_id")

@@ -66,6 +66,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write archives and index files; returns the saved block directory, ordered by key within a file."""
     spark = df.sparkSession
+    common.bound_batches(spark)
     folder = common.shared_path(spark, "warc")
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
