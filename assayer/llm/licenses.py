@@ -3,10 +3,11 @@
 A paragraph is a line.  A multinomial logistic regression on hashed word 1- to 3-grams (binary, sparse) tells licence
 families from ordinary text.  It is trained here on the template sentences below, thinned and recombined by a fixed
 generator, against at most ``NEGATIVE_ROWS`` paragraphs of documents (the bound of that sample) and made-up text.
-Scores are calibrated by a temperature on examples held out.  A family stands only if its probability is at least
-``SURE`` and the paragraph shares enough word 2-grams with one of the family's templates; a paragraph that reads as a
-licence with that probability and shares fewer of any template's 2-grams (``HINT``) is ``unknown``.  Whole texts are scanned.  Null text has no paragraphs; repeated rows are rows of
-their own."""
+Scores are calibrated by a temperature on examples held out.  What is classified are a paragraph's word windows
+(``SPANS``), so that words around a notice don't dilute it.  A family stands only if its probability is at least
+``SURE`` and the window shares enough word 2-grams with one of the family's templates, one of them its own; a window that reads as a
+licence with that probability and shares fewer of any template's 2-grams (``HINT``) is ``unknown``.  A paragraph may
+hold several notices.  Whole texts are scanned.  Null text has no paragraphs; repeated rows are rows of their own."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import common
 from assayer.llm.linear import Rows
-from assayer.llm.words import Words, as_bytes, mix
+from assayer.llm.words import Words, as_bytes, mix, spans_hash
 
 #: Fixed wording of licence notices, by family.
 TEMPLATES = {
@@ -37,6 +38,10 @@ TEMPLATES = {
 UNKNOWN = ["all rights reserved, use is subject to the terms of the licence agreement", "licensed under the terms of our own proprietary license", "released under a custom license", "no permission is granted to copy this material without written consent", "this work is licensed under terms that the owner sets"]
 CLASSES = ["none", *sorted(TEMPLATES), "unknown"]
 NEGATIVE_ROWS, EXAMPLES, BITS, SURE, CONFIRM, HINT = 2000, 120, 15, 0.7, 0.6, 0.3
+#: Lengths of windows in words; the longest template has 16.
+SPANS = (3, 6, 10, 16, 24)
+#: Words of templates that ordinary text has as well.
+ORDINARY = set("a all and any are be by can consent copy file form free from in into is it its may no not obtaining of or our own owner person sets source subject terms that the this to under use with without work you".split())
 
 
 def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,12 @@ def examples(negatives: list[bytes], seed: int = 7) -> tuple[list[bytes], np.nda
         for _ in range(EXAMPLES // 6):
             lines.append(f"{made(rng.randint(3, 12))} {word} {made(rng.randint(3, 12))}".encode())
             y.append(0)
+    # What windows cut out of ordinary text: the common pieces of templates.
+    pieces = sorted({" ".join(own[a:b]) for t in [t for ts in TEMPLATES.values() for t in ts] + UNKNOWN for own in [t.split()] for a in range(len(own)) for b in range(a + 2, len(own) + 1) if ORDINARY.issuperset(own[a:b])})
+    for piece in pieces:
+        for text in (piece, f"{made(rng.randint(1, 6))} {piece} {made(rng.randint(1, 6))}"):
+            lines.append(text.encode())
+            y.append(0)
     known = [t.encode() for ts in TEMPLATES.values() for t in ts]
     for n in negatives:
         if not any(t in n.lower() for t in known) and b"licen" not in n.lower():
@@ -117,42 +128,122 @@ def train(negatives: list[bytes], steps: int = 150, rate: float = 0.2) -> tuple[
     return np.vstack([w, bias]).astype(np.float32), best[1]
 
 
-_pairs = lambda text: set(zip(text.split(), text.split()[1:]))
-_TEMPLATE_PAIRS = {name: [_pairs(t.rstrip(".;")) for t in ts] for name, ts in TEMPLATES.items()}
+_STRIP = np.isin(np.arange(256), np.frombuffer(b".,;()\"'", dtype=np.uint8))
 
 
-_ALL_PAIRS = [t for ts in _TEMPLATE_PAIRS.values() for t in ts] + [_pairs(t) for t in UNKNOWN]
+def _plain(w: Words) -> np.ndarray:
+    """Hashes of words without punctuation around them."""
+    start, end = w.start.copy(), w.end.copy()
+    for _ in range(4):
+        end -= (end > start) & _STRIP[w.data[np.maximum(end - 1, 0)]]
+        start += (end > start) & _STRIP[w.data[np.minimum(start, len(w.data) - 1)]]
+    return spans_hash(w.data, start, end)
 
 
-def confirmed(family: str | None, line: str) -> bool:
-    """Whether a paragraph holds enough of the 2-grams of one of the family's templates; None: a hint of any template."""
-    have = _pairs(" ".join(w.strip(".;()\"'") if w[-1:] in ".;)\"'" else w for w in line.lower().split()))
-    share, among = (CONFIRM, _TEMPLATE_PAIRS[family]) if family else (HINT, _ALL_PAIRS)
-    return any(len(have & {(a, b.rstrip(".;")) for a, b in t}) >= share * len(t) for t in among)
+def _template_pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Words of all templates (sorted hashes), their 2-grams (sorted numbers of word pairs), which template has which
+    of these (2-grams, templates), and each template's class."""
+    texts = [(c, t) for c in CLASSES[1:] for t in TEMPLATES.get(c, UNKNOWN)]
+    w = Words([t.encode() for _, t in texts], lower=True)
+    words, ids = np.unique(_plain(w), return_inverse=True)
+    pairs, at = np.unique(ids[:-1] * len(words) + ids[1:], return_inverse=True)
+    has = np.zeros((len(pairs), len(texts)), bool)
+    for t, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
+        has[at[a : b - 1], t] = True
+    used = has.any(axis=1)
+    return words, pairs[used], has[used], [c for c, _ in texts]
 
 
-def predict(lines: list[bytes], weights: np.ndarray, heat: float) -> list[str]:
-    """A class for each paragraph."""
+_WORDS, _PAIRS, _HAS, _CLASS = _template_pairs()
+_LENGTH = _HAS.sum(axis=0)
+#: 2-grams that no other class has: without one of them, "licensed under the" would confirm a family of short templates.
+_OWN = {c: np.logical_and(_HAS[:, [x == c for x in _CLASS]].any(axis=1), ~_HAS[:, [x != c for x in _CLASS]].any(axis=1)) for c in CLASSES[1:]}
+#: How many of a template's 2-grams are a hint of it: two at least, as one alone is ordinary text.
+_HINTS = np.minimum(_LENGTH, np.maximum(2, np.ceil(HINT * _LENGTH - 1e-9))).astype(int)
+
+
+def windows(lines: list[bytes]) -> list[tuple[int, int, int, bytes, np.ndarray, set[str]]]:
+    """Every stretch of a paragraph that may hold a notice: paragraph, first word, end, text, how many 2-grams of
+    each template it shares, and the classes of whose own 2-grams it has one.  Stretches begin at a word pair that a
+    template has, are of each length of SPANS and end at the last such pair; any other one shares no more and has more
+    words around.  Those without a hint are left out, as they can stand for no class."""
+    w = Words(lines, lower=True)
+    if len(w.hash) < 2:
+        return []
+    plain = _plain(w)
+    ids = np.minimum(np.searchsorted(_WORDS, plain), len(_WORDS) - 1)
+    known = _WORDS[ids] == plain
+    doc = np.repeat(np.arange(len(lines)), np.diff(w.first))
+    number = ids[:-1] * len(_WORDS) + ids[1:]
+    pair = np.minimum(np.searchsorted(_PAIRS, number), len(_PAIRS) - 1)
+    hits = np.flatnonzero(known[:-1] & known[1:] & (doc[:-1] == doc[1:]) & (_PAIRS[pair] == number))
+    if not len(hits):
+        return []
+    pair = pair[hits]
+    sums = np.concatenate([np.zeros((1, len(_CLASS)), np.int32), np.cumsum(_HAS[pair], axis=0, dtype=np.int32)])
+    spans = set()
+    for most in SPANS:
+        to = np.searchsorted(hits, np.minimum(hits + most, w.first[doc[hits] + 1]) - 1)
+        hinted = (sums[to] - sums[:-1] >= _HINTS).any(axis=1)
+        spans.update(zip(np.flatnonzero(hinted).tolist(), to[hinted].tolist()))
+    out = []
+    for a, b in sorted(spans):
+        held = np.unique(pair[a:b])
+        shared = _HAS[held].sum(axis=0)
+        if (shared >= _HINTS).any():
+            first, end = int(hits[a]), int(hits[b - 1]) + 2
+            out.append((int(doc[first]), first, end, w.data[w.start[first] : w.end[end - 1]].tobytes(), shared, {c for c, own in _OWN.items() if own[held].any()}))
+    return out
+
+
+def probabilities(lines: list[bytes], weights: np.ndarray, heat: float) -> np.ndarray:
+    """Calibrated probabilities of the classes of each text."""
     cols, rows = features(lines)
     n = len(lines)
     count = np.maximum(np.bincount(rows, minlength=n), 1)
-    # Only lines with some weight against "none" need all classes.
     z = np.empty((n, len(CLASSES)), np.float32)
     for c in range(len(CLASSES)):
         z[:, c] = np.bincount(rows, weights[cols, c], minlength=n) / np.sqrt(count) + weights[-1, c]
     z = z / heat
     p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    out = ["none"] * n
-    for i in np.flatnonzero(p[:, 0] < 0.5).tolist():
-        best, text = int(p[i, 1:].argmax()) + 1, lines[i].decode("utf-8", "replace")
-        if CLASSES[best] != "unknown" and p[i, best] >= SURE and confirmed(CLASSES[best], text):
-            out[i] = CLASSES[best]
-        elif 1 - p[i, 0] >= SURE and confirmed(None, text):
-            out[i] = "unknown"
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def notices(lines: list[bytes], weights: np.ndarray, heat: float) -> list[list[str]]:
+    """The classes of the notices in each paragraph, families first.  Of windows that overlap, the one that shares most
+    of a template stands, and of these the shortest."""
+    out: list[list[str]] = [[] for _ in lines]
+    found = windows(lines)
+    if not found:
+        return out
+    # Distinct texts only: notices repeat.
+    texts = {text: i for i, text in enumerate(dict.fromkeys(f[3] for f in found))}
+    p = probabilities(list(texts), weights, heat)
+    sure = []
+    for doc, first, end, text, shared, telling in found:
+        own = p[texts[text]]
+        best = int(own[1:].argmax()) + 1
+        if own[0] >= 0.5:
+            continue
+        share = max(s / n for s, n, c in zip(shared.tolist(), _LENGTH.tolist(), _CLASS) if c == CLASSES[best])
+        if CLASSES[best] != "unknown" and own[best] >= SURE and share >= CONFIRM and CLASSES[best] in telling:
+            sure.append((doc, False, -share, end - first, -own[best], first, end, CLASSES[best]))
+        elif 1 - own[0] >= SURE:
+            sure.append((doc, True, -float((shared / _LENGTH).max()), end - first, own[0], first, end, "unknown"))
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for doc, *_, first, end, name in sorted(sure):
+        spans = taken.setdefault(doc, [])
+        if all(end <= a or b <= first for a, b in spans):
+            spans.append((first, end))
+            out[doc].append(name)
     return out
 
 
+def predict(lines: list[bytes], weights: np.ndarray, heat: float) -> list[str]:
+    """A class for each paragraph: that of its surest notice."""
+    return [(own or ["none"])[0] for own in notices(lines, weights, heat)]
+
+
 def sample(df: DataFrame, id_col: str, text_col: str) -> list[bytes]:
     """First lines of documents of least hash of the id, at most NEGATIVE_ROWS of them."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("d"), F.element_at(F.split(text_col, "\n", 2), 1).alias("t"))
@@ -170,12 +261,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         weights, heat = model.value
         for held in common.chunks(it, lambda r: len(r[1] or "") + 64, 1 << 19):
             split = [[x for x in as_bytes(r[1]).split(b"\n") if x and not x.isspace()] for r in held]
-            names, at, rows = predict([x for s in split for x in s], weights, heat), 0, []
+            names, at, rows = notices([x for s in split for x in s], weights, heat), 0, []
             for (doc, _), s in zip(held, split):
-                own = [x for x in names[at : at + len(s)] if x != "none"]
+                own = [set(x) for x in names[at : at + len(s)]]
                 at += len(s)
-                sure = [x for x in own if x != "unknown"]
-                rows.append((doc, len(s), len(sure), len(own) - len(sure), ",".join(sorted(set(sure)))))
+                families = set().union(*own) - {"unknown"}
+                rows.append((doc, len(s), sum(bool(x - {"unknown"}) for x in own), sum("unknown" in x for x in own), ",".join(sorted(families))))
             yield from common.batches(rows, schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

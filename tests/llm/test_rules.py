@@ -99,6 +99,23 @@ def test_licenses_held_out():
     assert sum(n not in ("none", "unknown") and n != c for n, c in families) < 0.02 * len(families)
 
 
+@pytest.mark.parametrize("around", [10, 50, 200, 1000])
+def test_licenses_inside_long_paragraphs(around):
+    model, rng = licenses.train([]), random.Random(around)
+    plain = "the company may use this form of work with the consent of any person subject to the terms of the contract and it is under the table".split()
+    made = lambda n: [rng.choice(plain) if rng.random() < 0.5 else rng.choice("er ing ti en an re".split()) * 2 for _ in range(n)]
+    notices = [(t, c) for c, ts in licenses.TEMPLATES.items() for t in ts]
+    lines = [" ".join([*made(around // 2), t.capitalize() + ".", *made(around // 2)]).encode() for t, _ in notices]
+    assert licenses.notices(lines, *model) == [[c] for _, c in notices]
+    assert licenses.notices([" ".join(made(around)).encode() for _ in range(50)], *model) == [[]] * 50
+
+
+def test_licenses_several_in_a_line_and_no_generic_family():
+    model = licenses.train([])
+    lines = [b"Released under the MIT License. Licensed under the Apache License, Version 2.0.", b"Licensed under the Foo-Bar License.", b"The bank is under the table, subject to the terms of the contract.", b""]
+    assert [sorted(x) for x in licenses.notices(lines, *model)] == [["apache", "mit"], ["unknown"], [], []]
+
+
 def test_warc(spark):
     rows = [(3, "http://a.example.com/x", "<p>one</p>"), (1, "http://b.example.com/", "<p>one</p>"), (2, None, None), (5, "http://a.example.com/x", ""), (4, "http://a.example.com/x?q=1", "é\r\n\r\nWARC/1.1"), (7, "http://[bad", "z"), (None, "http://c/", "<p>one</p>")]
     directory = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
