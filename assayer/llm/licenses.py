@@ -1,8 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line.  A multinomial logistic regression on hashed word 1- to 3-grams (binary, sparse) tells licence
+Paragraphs stand between blank lines; line breaks inside them are spaces.  A multinomial logistic regression on hashed word 1- to 3-grams (binary, sparse) tells licence
 families from ordinary text.  It is trained here on the template sentences below, thinned and recombined by a fixed
-generator, against at most ``NEGATIVE_ROWS`` paragraphs of documents (the bound of that sample) and made-up text.
+generator, against at most ``NEGATIVE_ROWS`` first lines of documents (the bound of that sample) and made-up text.
 Scores are calibrated by a temperature on examples held out.  What is classified are a paragraph's word windows
 (``SPANS``), so that words around a notice don't dilute it.  A family stands only if its probability is at least
 ``SURE`` and the window shares enough word 2-grams with one of the family's templates, one of them its own; a window that reads as a
@@ -12,6 +12,7 @@ hold several notices.  Whole texts are scanned.  Null text has no paragraphs; re
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,11 @@ def predict(lines: list[bytes], weights: np.ndarray, heat: float) -> list[str]:
     return [(own or ["none"])[0] for own in notices(lines, weights, heat)]
 
 
+def paragraphs(text: bytes) -> list[bytes]:
+    """What stands between blank lines; notices are often wrapped over several lines."""
+    return [x for x in re.split(rb"\n[ \t-\r]*\n", text) if x and not x.isspace()]
+
+
 def sample(df: DataFrame, id_col: str, text_col: str) -> list[bytes]:
     """First lines of documents of least hash of the id, at most NEGATIVE_ROWS of them."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("d"), F.element_at(F.split(text_col, "\n", 2), 1).alias("t"))
@@ -252,7 +258,8 @@ def sample(df: DataFrame, id_col: str, text_col: str) -> list[bytes]:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, n_licensed, n_unknown, families): families sorted and joined by commas."""
+    """(doc_id, n_paragraphs, n_licensed, n_unknown, families): paragraphs, those with a known family, those with an
+    unknown licence (maybe besides), families sorted and joined by commas."""
     common.bound_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(train(sample(df, id_col, text_col)))  # 2^BITS columns
     schema = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_licensed", pa.int64()), ("n_unknown", pa.int64()), ("families", pa.string())])
@@ -260,7 +267,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     def run(it):
         weights, heat = model.value
         for held in common.chunks(it, lambda r: len(r[1] or "") + 64, 1 << 19):
-            split = [[x for x in as_bytes(r[1]).split(b"\n") if x and not x.isspace()] for r in held]
+            split = [paragraphs(as_bytes(r[1])) for r in held]
             names, at, rows = notices([x for s in split for x in s], weights, heat), 0, []
             for (doc, _), s in zip(held, split):
                 own = [set(x) for x in names[at : at + len(s)]]

@@ -116,6 +116,15 @@ def test_licenses_several_in_a_line_and_no_generic_family():
     assert [sorted(x) for x in licenses.notices(lines, *model)] == [["apache", "mit"], ["unknown"], [], []]
 
 
+def test_licenses_wrapped_over_lines(spark):
+    at = {c: [t.split() for t in ts] for c, ts in licenses.TEMPLATES.items()}
+    wrapped = [(c, "foo bar.\r\n \r\nIntro words\nhere " + " ".join(w[:i]) + "\n  " + " ".join(w[i:]) + ".\nmore\n\nend") for c, ts in at.items() for w in ts for i in range(1, len(w))]
+    rows = [*enumerate(t for _, t in wrapped), (-1, "Licensed under the Apache\nLicense, Version 2.0."), (-2, "Licensed under the\n\nApache\n\nLicense, Version"), (-3, "Released under the MIT\nLicense.\n\n\nReleased under a\ncustom license.")]
+    got = {r[0]: tuple(r[1:]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(wrapped))] == [(3, 1, 0, c) for c, _ in wrapped]
+    assert got[-1] == (1, 1, 0, "apache") and got[-2][3] == "" and got[-3] == (2, 1, 1, "mit")
+
+
 def test_warc(spark):
     rows = [(3, "http://a.example.com/x", "<p>one</p>"), (1, "http://b.example.com/", "<p>one</p>"), (2, None, None), (5, "http://a.example.com/x", ""), (4, "http://a.example.com/x?q=1", "é\r\n\r\nWARC/1.1"), (7, "http://[bad", "z"), (None, "http://c/", "<p>one</p>")]
     directory = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
