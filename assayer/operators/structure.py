@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Companion files: bytes of one, and of all that are read in a folder.
+FILE_BYTES, TOTAL_BYTES = 2 << 20, 8 << 20
+
 
 def overlaps(tensors: DataFrame, by: list[str], start: str, end: str, name: str) -> DataFrame:
     """Tensors that begin before the one before them ends (half-open ranges, ordered by start, end and name)."""
@@ -28,11 +32,38 @@ def sibling_mismatch(artifacts: DataFrame, by: str, order: str, template: str, m
 
 
 def budget(rows: DataFrame, by: list[str], order: list[str], size: str, most: int) -> DataFrame:
-    """Rows read before a running total passes ``most``, per group."""
+    """Rows before the running total of all rows passes ``most``, per group.  Rows that don't fit use up the total as
+    well: this is what the SQL of companion_budget says, not the rule for reading companions (``read_within``)."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= most)
 
 
+def read_within(rows: DataFrame, by: list[str], order: list[str], size: str, most_file: int = FILE_BYTES, most_total: int = TOTAL_BYTES) -> DataFrame:
+    """Every row with status (read or skipped), reason, and bytes_read, the group's total after it.  In order, a file is
+    skipped if it is over ``most_file`` or would take the total over ``most_total``; only files read add to the total,
+    so later ones that fit are read.  Each row depends on those before it, so a group is one task's, in constant memory;
+    ``order`` must be total within a group."""
+    most = {"file": f"file exceeds the {most_file}-byte limit", "total": f"total inspection would exceed the {most_total}-byte limit"}
+
+    def run(it):
+        group, total = None, 0
+        for b in it:
+            status, reason, running = [], [], []
+            for *key, n in zip(*(b.column(c).to_pylist() for c in [*by, size])):
+                if key != group:
+                    group, total = key, 0
+                why = "size unknown" if n is None else most["file"] if n > most_file else most["total"] if total + n > most_total else None
+                total += 0 if why else n
+                status.append("skipped" if why else "read")
+                reason.append(why)
+                running.append(total)
+            more = {"status": pa.array(status, pa.string()), "reason": pa.array(reason, pa.string()), "bytes_read": pa.array(running, pa.int64())}
+            yield pa.RecordBatch.from_arrays([*b.columns, *more.values()], names=[*b.schema.names, *more])
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "status string", "reason string", "bytes_read long"])
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, fields)
+
+
 def first_of(rows: DataFrame, key: list, order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -70,6 +70,39 @@ def test_overlap(spark):
     assert [r.n for r in structure.overlaps(df, ["f"], "s", "e", "n").collect()] == ["c"]
 
 
+def test_read_within(spark):
+    rows = [("a", i, n) for i, n in enumerate([3, 10, 2, 6, 1, 2, 0, None, 1])] + [("b", 0, 8), ("b", 1, 1), ("c", 0, 9), ("c", 1, 8), (None, 0, 9), (None, 1, 5)]
+    df = spark.createDataFrame(rows, "folder string, seq long, n long").repartition(3, "seq")
+    got = structure.read_within(df, ["folder"], ["seq"], "n", 9, 8).collect()
+    read = {(r.folder, r.seq): r.bytes_read for r in got if r.status == "read"}
+    # 10 is over the file limit, 6 and then 2 would not fit, 1 still does.
+    assert read == {("a", 0): 3, ("a", 2): 5, ("a", 4): 6, ("a", 5): 8, ("a", 6): 8, ("b", 0): 8, ("c", 1): 8, (None, 1): 5}
+    why = {(r.folder, r.seq): r.reason.split(" ")[0] for r in got if r.status == "skipped"}
+    assert len(got) == len(rows) and why == {("a", 1): "file", ("a", 3): "total", ("a", 7): "size", ("a", 8): "total", ("b", 1): "total", ("c", 0): "total", (None, 0): "total"}
+
+
+def test_reads_go_on_after_a_file_that_does_not_fit(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"f{i % 7}", i, rng.choice([5, 900, 4000, 9000])) for i in range(700)]
+    want, totals = {}, {}
+    for f, i, n in rows:
+        at = totals.get(f, 0)
+        want[i] = n <= 8000 and at + n <= 30_000
+        totals[f] = at + n * want[i]
+    got = structure.read_within(spark.createDataFrame(rows, "f string, i long, n long"), ["f"], ["i"], "n", 8000, 30_000).collect()
+    assert {r.i: r.status == "read" for r in got} == want and 0 < sum(want.values()) < len(rows)
+
+
+def test_read_limits(spark):
+    most = 2 << 20
+    rows = [(1, most + 1), (2, most), (3, most), (4, most), (5, most - 1), (6, 2), (7, 1)]
+    got = structure.read_within(spark.createDataFrame([("f", *r) for r in rows], "f string, i long, n long"), ["f"], ["i"], "n").orderBy("i").collect()
+    assert [r.status for r in got] == ["skipped", "read", "read", "read", "read", "skipped", "read"] and got[-1].bytes_read == 8 << 20
+    assert [r.reason for r in got if r.reason] == ["file exceeds the 2097152-byte limit", "total inspection would exceed the 8388608-byte limit"]
+
+
 def test_reports(spark, tmp_path):
     from assayer.operators import reports
 
