@@ -202,6 +202,17 @@ def companion_budget(spark, sf_dir):
     return structure.budget(rows, ["source"], ["doc_id"], "n_chars", 100_000).select("source", "doc_id", "running")
 
 
+@query("companion_reads", f"""WITH RECURSIVE t AS (SELECT source, doc_id, strlen(text) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r(source, doc_id, bytes, n, bytes_read, reason) AS (SELECT *, CASE WHEN bytes <= {structure.FILE_BYTES} THEN bytes ELSE 0 END, CASE WHEN bytes IS NULL THEN 'size unknown' WHEN bytes > {structure.FILE_BYTES} THEN 'file exceeds the {structure.FILE_BYTES}-byte limit' END FROM t WHERE n = 1
+ UNION ALL SELECT t.*, CASE WHEN t.bytes <= {structure.FILE_BYTES} AND r.bytes_read + t.bytes <= {structure.TOTAL_BYTES} THEN r.bytes_read + t.bytes ELSE r.bytes_read END,
+  CASE WHEN t.bytes IS NULL THEN 'size unknown' WHEN t.bytes > {structure.FILE_BYTES} THEN 'file exceeds the {structure.FILE_BYTES}-byte limit' WHEN r.bytes_read + t.bytes > {structure.TOTAL_BYTES} THEN 'total inspection would exceed the {structure.TOTAL_BYTES}-byte limit' END FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source AND t.n = r.n + 1)
+SELECT source, doc_id, CAST(bytes AS BIGINT) AS bytes, CASE WHEN reason IS NULL THEN 'read' ELSE 'skipped' END AS status, reason, CAST(bytes_read AS BIGINT) AS bytes_read FROM r""")
+def companion_reads(spark, sf_dir):
+    """Every document as a companion file of its source's folder, under the reference's own limits."""
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    return structure.read_within(rows, ["source"], ["doc_id"], "bytes")
+
+
 @query("numbered_findings", "SELECT event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS occurrence FROM events")
 def numbered_findings(spark, sf_dir):
     rows = structure.numbered(read(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id"])

@@ -31,6 +31,20 @@ def test_same_rows(spark, con, name):
     assert sorted(names) == columns and got == want and got
 
 
+def test_companion_reads_leave_no_row_out(spark, tmp_path):
+    """Texts around both limits: the same rows in both engines, none dropped."""
+    mib = 1 << 20
+    sizes = [2 * mib + 1, 2 * mib, 2 * mib, 2 * mib - 1, 2 * mib, 2 * mib, 2, 1, None, 0]
+    rows = [(i, s, None if n is None else ("é" * (n // 2) + "x" * (n % 2))) for s in ("a", "b", None) for i, n in enumerate(sizes if s != "b" else sizes[6:])]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.source, r.doc_id, r.bytes, r.status, r.reason, r.bytes_read) for r in registry.QUERIES["companion_reads"](spark, str(tmp_path)).collect()]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(registry.ORACLE["companion_reads"]).fetchall()
+    assert len(got) == len(rows) and sorted(got, key=str) == sorted(want, key=str)
+    assert [r[3] == "read" for r in sorted(got, key=str) if r[0] == "a"] == [False, True, True, True, True, False, False, True, False, True]
+
+
 def test_every_rule_fires(spark):
     for family, own in rules.FAMILIES.items():
         if family != "template_text":
