@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency: a line that more than ``percent`` of its site's pages hold is boilerplate.
 
 Lines are cut at \\n and compared without white space around them, by two 64-bit hashes; a page counts a line once.
-Lines without a word never count and stay.  A line must also stand on ``least`` pages.  Null text stays null; a null
+Lines without a word never count and stay.  A line must also stand on ``least`` pages, or on all pages that have text
+(two at least) where a site has fewer; ``fixed`` keeps ``least`` for small sites too.  Null text stays null; a null
 site is a site of its own; repeated rows are pages of their own."""
 
 from __future__ import annotations
@@ -19,22 +20,23 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
 
 
-def boilerplate(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+def boilerplate(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT, least: int = LEAST, fixed: bool = False) -> DataFrame:
     """(site, lines): per site an array of the keys of its boilerplate lines.  There are at most 100 / percent times the
     lines of a site's average page, so an array is bounded."""
     pages = df.select(site.alias("site"), F.col(text_col).alias("_t"))
-    totals = common.save(pages.groupBy("site").agg(F.count("*").alias("pages")), "totals").withColumnRenamed("site", "s")
+    totals = common.save(pages.groupBy("site").agg(F.count("*").alias("pages"), F.count("_t").alias("texts")), "totals").withColumnRenamed("site", "s")
     keys = F.explode(F.array_distinct(F.filter(F.transform(F.split("_t", "\n", -1), _key), lambda k: k.isNotNull())))
-    lines = pages.select("site", keys.alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    flagged = lines.join(common.maybe_broadcast(totals), F.col("site").eqNullSafe(F.col("s"))).where(F.col("n") * 100 > F.col("pages") * percent)
+    lines = pages.select("site", keys.alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= (least if fixed else min(2, least)))
+    floor = F.lit(least) if fixed else F.least(F.lit(least), F.greatest(F.lit(2), "texts"))
+    flagged = lines.join(common.maybe_broadcast(totals), F.col("site").eqNullSafe(F.col("s"))).where((F.col("n") >= floor) & (F.col("n") * 100 > F.col("pages") * percent))
     return common.save(flagged.groupBy("site").agg(F.collect_list("line").alias("lines")), "boilerplate")
 
 
-def drop_lines(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT, least: int = LEAST, extra: str | None = None) -> DataFrame:
+def drop_lines(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT, least: int = LEAST, extra: str | None = None, fixed: bool = False) -> DataFrame:
     """``df`` with boilerplate lines taken out of the text; ``extra`` names a column for how many went.  Sites' arrays
     are broadcast if they are few; else pages are dealt by site and salt, and the arrays go to every salt."""
     p = common.prefix(df)
-    found = boilerplate(df, site, text_col, percent, least).toDF(f"{p}site", f"{p}lines")
+    found = boilerplate(df, site, text_col, percent, least, fixed).toDF(f"{p}site", f"{p}lines")
     names, same = df.columns, F.col(f"{p}own").eqNullSafe(F.col(f"{p}site"))
     joined = df.withColumn(f"{p}own", site)
     if common.small(found, 20_000):
@@ -54,9 +56,10 @@ def drop_lines(df: DataFrame, site: Column, text_col: str = "text", percent: int
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """documents, their source being the site: what is left of each text, and the number of lines that went."""
+    """documents, their source being the site: what is left of each text, and the number of lines that went.  Its SQL has
+    the fixed floor."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    done = drop_lines(df, F.col("source"), extra="n_dropped_lines")
+    done = drop_lines(df, F.col("source"), extra="n_dropped_lines", fixed=True)
     return done.select("doc_id", "source", "n_dropped_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -82,6 +82,20 @@ def test_line_dedup_with_many_sites(spark, documents, monkeypatch, empty):
     assert line_dedup.drop_lines(empty, F.col("source")).count() == 0
 
 
+def test_line_dedup_on_small_sites(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"s{n}", i, f"own {n} {i}\nfooter {n}\n" + ("most" if i else "other")) for n in (1, 2, 3, 4, 5, 6) for i in range(n)] + [("null", 0, "x\nfoot"), ("null", 1, None), ("null", 2, "y\nfoot")]
+    df = spark.createDataFrame(rows, "site string, i long, text string")
+    gone = lambda **k: {(r.site, r.i): r.gone for r in line_dedup.drop_lines(df, F.col("site"), extra="gone", **k).collect()}
+    small = gone()
+    # On 2 to 5 pages the footer goes and the line of all pages but one stays; of 6 pages that line has 5.
+    assert {n: {small[f"s{n}", i] for i in range(n)} for n in (1, 2, 3, 4, 5)} == {1: {0}, 2: {1}, 3: {1}, 4: {1}, 5: {1}}
+    assert [small["s6", i] for i in range(6)] == [1, 2, 2, 2, 2, 2] and [small["null", i] for i in range(3)] == [1, 0, 1]
+    fixed = gone(fixed=True)
+    assert all(fixed[k] == (0 if k[0] in ("s1", "s2", "s3", "s4", "null") else small[k]) for k in small)
+
+
 def test_licenses(spark, empty):
     rows = [(1, "foo\nReleased under the MIT License.\nbar"), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."), (5, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (6, "thorer handen the public on the er"), (7, "Released under a custom license."), (1, "foo")]
     got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
