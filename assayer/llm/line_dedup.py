@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from assayer.llm import common
 
 PERCENT, LEAST, SALTS = 10, 5, 64
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+
+
+def host(url: Column) -> Column:
+    """The host of a url in lower case, without user and port; null if it has none."""
+    found = F.lower(F.regexp_extract(url, _HOST, 1))
+    return F.when(found != "", found)
 
 
 def _key(line: Column) -> Column:
@@ -63,6 +70,13 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "source", "n_dropped_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup_pages(spark, sf_dir: str) -> DataFrame:
+    """pages, the host of the url being the site; lines are those of the html."""
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host(F.col("url")).alias("host"), "html")
+    done = drop_lines(df, F.col("host"), "html", extra="n_dropped_lines")
+    return done.select("page_id", "host", "n_dropped_lines", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("kept_sha256"))
+
+
 ORACLE_LINE_DEDUP = r"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 keyed AS (SELECT doc_id, source, ls, list_transform(ls, lambda x: regexp_replace(x, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')) AS ks FROM pages),
@@ -75,3 +89,16 @@ done AS (SELECT d.doc_id, d.source, d.ls,
 SELECT doc_id, source, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped_lines,
   CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM done
 """
+
+ORACLE_LINE_DEDUP_PAGES = r"""
+WITH hosts AS (SELECT page_id, nullif(lower(regexp_extract(url, '@HOST', 1)), '') AS host, html, string_split(html, chr(10)) AS ls FROM pages),
+keyed AS (SELECT page_id, host, ls, list_transform(ls, lambda x: regexp_replace(x, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')) AS ks FROM hosts),
+totals AS (SELECT host, count(*) AS n_pages, count(html) AS n_texts FROM hosts GROUP BY host),
+counted AS (SELECT host, k, count(*) AS n FROM (SELECT host, unnest(list_distinct(ks)) AS k FROM keyed) WHERE k <> '' GROUP BY host, k),
+flagged AS (SELECT c.host, list(k) AS bad FROM counted c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE n >= least(5, greatest(2, n_texts)) AND n * 100 > n_pages * 10 GROUP BY c.host),
+done AS (SELECT d.page_id, d.host, d.ls,
+  CASE WHEN f.bad IS NULL THEN d.ls ELSE list_filter(d.ls, lambda x: NOT list_contains(f.bad, regexp_replace(x, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'))) END AS kept
+  FROM keyed d LEFT JOIN flagged f ON d.host IS NOT DISTINCT FROM f.host)
+SELECT page_id, host, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped_lines,
+  CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM done
+""".replace("@HOST", _HOST)

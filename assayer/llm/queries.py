@@ -11,7 +11,8 @@ QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op8_line_dedup_pages": line_dedup.op8_line_dedup_pages,
     "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP}
+ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP, "op8_line_dedup_pages": line_dedup.ORACLE_LINE_DEDUP_PAGES}

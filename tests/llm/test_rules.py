@@ -96,6 +96,24 @@ def test_line_dedup_on_small_sites(spark):
     assert all(fixed[k] == (0 if k[0] in ("s1", "s2", "s3", "s4", "null") else small[k]) for k in small)
 
 
+def test_line_dedup_of_pages_by_host(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    urls = {"http://A.example.com/x": "a.example.com", "https://u:p@a.example.com:80?q=//b": "a.example.com", "http://[::1]:8/x": "[::1]", "ftp://b#@c": "b", "/just/a/path": None, "http://": None, "": None, None: None}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.host for r in df.select("url", line_dedup.host(F.col("url")).alias("host")).collect()} == urls
+    # Hosts of 1 to 30 pages, whose footers differ; pages of one host under several schemes and ports.
+    rows = [(n * 100 + i, f"{'http' if i % 2 else 'https'}://{'H' if i % 3 else 'h'}{n}.example{':8080' if i % 4 else ''}/{i}", f"<p>own {n} {i}</p>\n <footer>{n}</footer>\t\n") for n in (1, 2, 3, 4, 5, 12, 30) for i in range(n)]
+    rows += [(1, None, "a\nnav"), (2, "no url", "b\nnav"), (3, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = line_dedup.op8_line_dedup_pages(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(line_dedup.ORACLE_LINE_DEDUP_PAGES).fetchall(), key=str)
+    assert {r.page_id: r.n_dropped_lines for r in got} == {r[0]: 0 if r[0] in (3, 100) else 1 for r in rows}
+
+
 def test_licenses(spark, empty):
     rows = [(1, "foo\nReleased under the MIT License.\nbar"), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."), (5, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (6, "thorer handen the public on the er"), (7, "Released under a custom license."), (1, "foo")]
     got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
