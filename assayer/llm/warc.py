@@ -133,6 +133,9 @@ def look_up(directory: list, url: str) -> list[tuple[dict[str, str], bytes]]:
     """All captures of a url.  ``directory``: sorted rows (first_key, warc, cdx, offset, length, folder)."""
     key, out = reversed_key(url).replace("\t", "%09").replace("\n", "%0A"), []
     at = max(0, bisect.bisect_left(directory, (key,)) - 1)
+    # Blocks that begin with one key stand in no order; any of them may go on to later keys.
+    if at < len(directory):
+        at = bisect.bisect_left(directory, (directory[at][0],))
     while at < len(directory) and directory[at][0] <= key:
         _, warc, cdx, offset, length, folder = directory[at]
         fs, _ = common.open_fs(folder)

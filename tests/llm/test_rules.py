@@ -174,3 +174,22 @@ def test_warc(spark):
     assert warc.look_up(sparse, "http://a.example.com/x?q=1")[0][1].decode() == "é\r\n\r\nWARC/1.1"
     assert warc.look_up(sparse, "http://nowhere.example.com/") == []
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_look_up_over_several_archives_and_blocks(spark):
+    # Three hosts of about a block and a half each, and one url on more pages than a block has lines.
+    hosts = ["a.example.com", "b.example.com", "z.example.org"]
+    urls = [f"http://{hosts[i % 3]}/{i:05d}" for i in range(2400)] + ["http://m.example.com/same"] * 1300
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
+    directory = warc.write_archives(df)
+    sparse = sorted(tuple(r) for r in directory.collect())
+    per_archive = [sum(r[1] == name for r in sparse) for name in {r[1] for r in sparse}]
+    assert len(per_archive) > 1 and max(per_archive) > 1
+    firsts = {r[0] for r in sparse}
+    edges = [i for i in range(2400) if warc.reversed_key(urls[i]) in firsts]
+    assert len(edges) > 2
+    for i in {*edges, *(e + d for e in edges for d in (-3, 3) if 0 <= e + d < 2400), *range(0, 2400, 151)}:
+        assert [(f["WARC-Record-ID"], body) for f, body in warc.look_up(sparse, urls[i])] == [(f"<urn:page:{i}>", f"<p>{i}</p>".encode())], urls[i]
+    assert sorted(body for _, body in warc.look_up(sparse, urls[-1])) == sorted(f"<p>{i}</p>".encode() for i in range(2400, 3700))
+    for url in ("http://a.example.com/", "http://a.example.com/00000x", "http://z.example.org/99999", "http://0.example.aa/", "http://m.example.com/sam"):
+        assert warc.look_up(sparse, url) == []
