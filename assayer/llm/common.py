@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it is known to have at most so many rows.
 BROADCAST_ROWS = 200_000
+MOST_PARTS = 20_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only when the cluster names none (tests)."""
+    """The folder that driver and executors share.  One is made up only where all tasks run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="assayer-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
@@ -47,15 +51,18 @@ def release(spark: SparkSession) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a table's size on storage, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size on storage of all that a plan reads, from file sizes; no job runs.  Estimates of joins, which Catalyst
+    makes by multiplying, don't enter."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def parts(df: DataFrame, mb: float) -> int:
-    """Partitions so that each holds about ``mb`` of the stored input, and at least the session's default."""
+    """Partitions so that each holds about ``mb`` of the stored input: at least the session's default, and at most
+    ``MOST_PARTS``, as more would cut exchanged runs into crumbs (operators then split partitions inside tasks)."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = plan_bytes(df)
-    return max(least, math.ceil(size / (mb * 1e6))) if size < 1 << 60 else least
+    return max(least, min(MOST_PARTS, math.ceil(size / (mb * 1e6)))) if size < 1 << 60 else least
 
 
 def prefix(df: DataFrame) -> str:

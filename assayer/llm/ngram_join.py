@@ -1,33 +1,53 @@
 """Similarity join on word shingles by several global orders.
 
 A pair that links shares a shingle in the prefixes under each global order.  All orders put shingles that only one set
-holds first, so sets whose unique shingles already fill the prefix are out.  Among the sets left, shingles are counted,
-and the first order goes by count, the others by magnitude of the count and hashes of their own.  The first order groups
-sets into families; families over a bound are split by the next orders; inside a family a pair is verified only if its
-prefixes meet under all orders.  Equal sets count once.  Families still over the bound are dealt as pairs of blocks.  Tasks return spanning edges, never pairs.
-
-Sets are of 64-bit hashes of shingles.  Null or wordless text: empty set, linked with nothing.  Rows with a null id get
-a null component; rows that repeat an id must repeat its text, and stay rows of their own."""
+holds first, so sets whose unique shingles already fill the prefix are out.  Among the sets left, shingles are counted;
+the first order goes by count, the others by magnitude of the count and hashes of their own.  Texts of the same words are
+one set from the start.
+
+1. Hubs.  For each first-order prefix shingle the most typical set (fewest unique shingles) of a task is its hub, and the
+   most typical hub of all tasks the hub of hubs.  Pairs of set and hub that meet under all orders are verified.  So a
+   dense group is linked by as many pairs as it has sets, and a shingle that many sets hold costs an exchanged row a task.
+2. Rest.  Only sets of different components that still share a prefix shingle are left.  They are grouped by it, under
+   one order after the other; in a group, pairs of different components that meet under all orders are verified.
+   Large groups are dealt as blocks, and those of the largest component meet the blocks of other components only.
+3. Links are of 64-bit hashes of shingles, so they may only be too many.  The two texts of each link are compared word
+   by word; should one fail, all is done again with another seed.
+
+Tasks return spanning links, never all pairs.  Null or wordless text: empty set, linked with nothing.  Very long texts
+and words are taken whole.  Rows with a null id get a null component; rows that repeat an id must repeat its text, and
+stay rows of their own; of texts with equal words the least id stands for all.  Empty table: no rows.  Other columns of
+the table don't enter, whatever their names."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import common
-from assayer.llm.shared_keys import shared_keys
+from assayer.llm.shared_keys import layout, shared_keys
 from assayer.llm.words import Words, as_bytes, mix
 
 ORDERS = 3
-#: Sets in a block, shingles in a block.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 18
+#: Sets in a block, shingles in a block; blocks from which on a group is tried by single shingles.
+BLOCK, BLOCK_SHINGLES, MANY_BLOCKS = 64, 1 << 18, 16
+#: Shingles that a task looks at together.
+HELD = 1 << 19
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+MEMBERS = "id long, n long, tokens array<long>, heads array<array<long>>"
+
 
+def plain_words(text: str | None) -> list[bytes]:
+    return as_bytes(text).translate(_LOWER).split()
 
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+
+def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, hashed; the text's number of each, ascending.  Fewer words: all as one."""
-    w = Words(texts, lower=True)
+    w = Words(texts, lower=True, seed=seed)
     keys, doc = w.windows(k)
     few = np.flatnonzero((np.diff(w.first) < k) & (np.diff(w.first) > 0))
     if len(few):
@@ -46,17 +66,18 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, doc
 
 
-def _extract(k: int):
+def _extract(k: int, seed: int):
+    """Sets are named by their document; a digest of the words tells copies."""
+
     def extract(held):
-        keys, doc = shingle_sets([as_bytes(r[1]) for r in held], k)
-        extra = np.zeros((len(held), 3), dtype=np.uint64)
-        count = np.bincount(doc, minlength=len(held)).astype(np.uint64)
-        extra[:, 0] = count
-        if len(keys):
-            start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            for j, seed in ((1, 0x243F6A8885A308D3), (2, 0x13198A2E03707344)):
-                extra[doc[start], j] = np.add.reduceat(mix(keys ^ np.uint64(seed)), start)
-        return keys, doc, np.zeros(len(keys), np.uint32), [x.tobytes() for x in extra]
+        keys, doc = shingle_sets([as_bytes(r[1]) for r in held], k, seed)
+        size = np.bincount(doc, minlength=len(held)).astype(np.uint32)
+        key = seed.to_bytes(8, "little")
+        digests = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(plain_words(r[1])), digest_size=16, key=key).digest() for r in held), np.int64).reshape(-1, 2)
+        d1, d2 = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
+        null = np.array([r[0] is None for r in held], dtype=np.uint8)
+        ids = np.array([r[0] or 0 for r in held], dtype=np.int64)
+        return keys, doc, np.zeros(len(keys), np.uint32), ids, null == 0, (ids, null, size, d1, d2)
 
     return extract
 
@@ -72,18 +93,18 @@ def _prefix(keys: np.ndarray, counts: np.ndarray, n: int, percent: int, order: i
     return keys[np.lexsort((ranks, level))[:room]]
 
 
-def link_group(sizes: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links among sets (shared shingles only; sizes are of the whole sets)."""
+def link_group(sizes: np.ndarray, sets: list[np.ndarray], heads: list[list[np.ndarray]], comps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links between different components of a group (shared shingles only; sizes are of the whole sets)."""
     n = len(sets)
     ok = (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)) & np.triu(np.ones((n, n), bool), 1)
+    ok &= comps[:, None] != comps[None, :]
     for o in range(ORDERS):
-        heads = [_prefix(s, c, int(m), percent, o) for s, c, m in zip(sets, counts, sizes)]
-        ok &= _common(heads) > 0
         if not ok.any():
             return []
+        ok &= _common([h[o] for h in heads]) > 0
     left, right = np.nonzero(ok)
     if len(left) <= 2 * n:
-        inter = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)])
+        inter = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)], dtype=np.int64)
     else:
         inter = _common(sets)[left, right].astype(np.int64)
     link = 100 * inter >= percent * (sizes[left] + sizes[right] - inter)
@@ -124,79 +145,149 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: documents link when 100 * intersection >= percent * union."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = common.parts(df, 4)
-    table = shared_keys(rows, _extract(k), n)
-
-    def read(it):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("shared", pa.binary())])
-        for b in it:
-            extra = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int64).reshape(-1, 3)
-            out, shared = [], b.column(2).to_pylist()
-            for d, x, s in zip(b.column(0).to_pylist(), extra, shared):
-                size = int(x[0])
-                # A set that holds too few shared shingles can link with no other set.
-                out.append((d, size, x.tobytes() if size else None, s if size and 100 * (len(s) // 8) >= percent * size else None))
-            yield from common.batches(out, schema, 1024)
-
-    fields = "doc_id long, n_shingles long, sig binary, shared binary"
-    sets = common.save(table.mapInArrow(read, fields), "sets")
-    common.release(df.sparkSession)
-    equal = common.save(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("sig", "rep"), "equal")
-    named = sets.select("doc_id", "n_shingles", "sig").join(equal, "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    able = sets.where("shared is not null and doc_id is not null").join(equal, "sig", "left").where("rep is null or rep = doc_id").select("doc_id", "n_shingles", "shared")
-    able = common.save(able.dropDuplicates(["doc_id"]), "able")
-
+def _int64(column) -> list[np.ndarray]:
+    """The lists of an array column."""
+    if not len(column):
+        return []
+    at = np.asarray(column.offsets)
+    return np.split(np.asarray(column.flatten()), (at[1:-1] - at[0]))
 
-    def shingles(it):
-        for b in it:
-            sets_of = [np.frombuffer(x, np.int64) for x in b.column("shared").to_pylist()]
-            docs = np.repeat(np.asarray(b.column("doc_id")), [len(x) for x in sets_of])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets_of, np.zeros(0, np.int64)])), pa.array(docs.astype(np.int64))], names=["token", "doc_id"])
 
-    every = able.select("doc_id", "shared").mapInArrow(shingles, "token long, doc_id long")
-    held = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select((F.col("token") + 0).alias("t"), F.col("c").cast("int").alias("c"))
-    counted = every.join(held, F.col("token") == F.col("t")).groupBy("doc_id").agg(F.collect_list(F.struct("token", "c")).alias("tokens"))
-    counted = counted.join(able.select(F.col("doc_id").alias("d"), "n_shingles"), F.col("doc_id") == F.col("d")).where(F.size("tokens") * 100 >= F.col("n_shingles") * percent)
-    packed = counted.select("doc_id", "n_shingles", F.transform("tokens", lambda x: x["token"]).alias("tokens"), F.transform("tokens", lambda x: x["c"]).alias("counts"))
-    members = common.save(packed.withColumn("family", F.lit(0).cast("long")), "members")
-    common.release(df.sparkSession)
-
-    def heads(order):
-        def run(it):
-            for b in it:
-                out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for f, d, m, t, c in zip(*(b.column(x).to_pylist() for x in ("family", "doc_id", "n_shingles", "tokens", "counts"))):
-                    p = _prefix(np.array(t, np.int64).view(np.uint64), np.array(c), m, percent, order)
-                    for o, x in zip(out, (p.view(np.int64), np.full(len(p), f, np.int64), np.full(len(p), d, np.int64))):
-                        o.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "family", "doc_id"])
+def _members(batch) -> list[tuple]:
+    """(id, n, tokens, heads) of a batch's rows."""
+    out, heads = [], batch.column("heads")
+    for i, (d, n, t) in enumerate(zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), _int64(batch.column("tokens")))):
+        out.append((d, n, t.view(np.uint64), [x.view(np.uint64) for x in _int64(heads[i].values)]))
+    return out
 
-        return run
 
+def _held(it, width=lambda r: len(r[2])):
+    """Rows of batches in lists of about HELD shingles."""
+    rows, n = [], 0
+    for b in it:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            extra = [part.column(c).to_pylist() for c in ("comp", "family") if c in part.schema.names]
+            for r in zip(_members(part), *extra):
+                rows.append((*r[0], *r[1:]))
+                n += width(rows[-1])
+            if n >= HELD:
+                yield rows
+                rows, n = [], 0
+    if rows:
+        yield rows
+
+
+def _by_token(heads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles in order, the row of each, and where each shingle begins."""
+    tokens = np.concatenate([*heads, np.zeros(0, np.uint64)])
+    row = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    return tokens, row, start
+
+
+def _hub_links(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets with the hub of a shingle in their task, and (token, id, odd): each task's hub of each shingle."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("odd", pa.float64())])
+
+    def run(it):
+        for rows in _held(it):
+            tokens, row, start = _by_token([r[3][0] for r in rows])
+            if not len(tokens):
+                continue
+            odd = np.array([(r[1] - len(r[2])) / r[1] for r in rows])
+            place = np.empty(len(rows), np.int64)
+            place[np.lexsort((np.array([r[0] for r in rows]), odd))] = np.arange(len(rows))
+            best = np.minimum.reduceat(place[row], start)
+            hub = np.argsort(place)[best]
+            out = [(None, rows[h][0], t, odd[h]) for h, t in zip(hub.tolist(), tokens[start].view(np.int64).tolist())]
+            to = np.repeat(hub, np.diff(np.append(start, len(tokens))))
+            for a, b in np.unique(np.stack([row, to], axis=1)[row != to], axis=0).tolist():
+                x, y = rows[a], rows[b]
+                if all(len(np.intersect1d(x[3][o], y[3][o], assume_unique=True)) for o in range(1, ORDERS)):
+                    inter = len(np.intersect1d(x[2], y[2], assume_unique=True))
+                    if 100 * inter >= percent * (x[1] + y[1] - inter):
+                        out.append((x[0], y[0], None, None))
+            yield from common.batches(out, schema)
+
+    done = common.save(members.mapInArrow(run, "a long, b long, token long, odd double"), "hubs")
+    return done.where("a is not null").select("a", "b"), done.where("a is null").select("token", F.col("b").alias("id"), "odd")
+
+
+def _pairs_that_link(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of sets those that meet under all orders and link."""
+    x = members.toDF("ia", "na", "ta", "ha")
+    y = members.toDF("ib", "nb", "tb", "hb")
+    meet = [F.arrays_overlap(F.element_at("ha", o + 1), F.element_at("hb", o + 1)) for o in range(ORDERS)]
+    both = pairs.join(x, F.col("a") == F.col("ia")).join(y, F.col("b") == F.col("ib")).where(meet[0] & meet[1] & meet[2])
+    inter = F.size(F.array_intersect("ta", "tb"))
+    return both.where(inter * 100 >= (F.col("na") + F.col("nb") - inter) * percent).select("a", "b")
+
+
+def _closure(members: DataFrame, order: int) -> DataFrame:
+    """(id, component_id): components that a chain of common prefix shingles joins, within families.  A shingle costs a
+    row a task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("family", pa.int64()), ("token", pa.int64())])
+
+    def run(it):
+        for rows in _held(it, lambda r: len(r[3][order])):
+            family, comp = np.array([r[5] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
+            tokens, row, _ = _by_token([r[3][order] for r in rows])
+            if not len(tokens):
+                continue
+            by = np.lexsort((comp[row], tokens, family[row]))
+            t, f, c = tokens[by], family[row][by], comp[row][by]
+            start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (f[1:] != f[:-1])]))
+            least = np.repeat(c[start], np.diff(np.append(start, len(t))))
+            edges = np.unique(np.stack([c, least], axis=1)[c != least], axis=0)
+            yield from common.batches(zip(edges[:, 0].tolist(), edges[:, 1].tolist(), [None] * len(edges), [None] * len(edges)), schema)
+            yield from common.batches(zip([None] * len(start), c[start].tolist(), f[start].tolist(), t[start].view(np.int64).tolist()), schema)
+
+    found = common.save(members.mapInArrow(run, "a long, b long, family long, token long"), "chains")
+    each = found.where("a is null").select("family", "token", "b")
+    least = each.groupBy("family", "token").agg(F.min("b").alias("m"), F.max("b").alias("x")).where("m < x").select((F.col("family") + 0).alias("f"), (F.col("token") + 0).alias("t"), "m")
+    more = each.join(least, (F.col("family") == F.col("f")) & (F.col("token") == F.col("t"))).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return common.components(found.where("a is not null").select("a", "b").union(more))
+
+
+def _rest_links(members: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links between different components (column comp) of sets that share a prefix shingle under each order."""
+    spark = members.sparkSession
+    members = members.withColumn("family", F.lit(0).cast("long"))
     done = members.where("false")
     for order in range(ORDERS):
-        head = common.save(members.mapInArrow(heads(order), "token long, family long, doc_id long"), "heads")
-        least = head.groupBy("token", "family").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select((F.col("token") + 0).alias("t"), (F.col("family") + 0).alias("f"), "m")
-        edges = head.join(least, (F.col("token") == F.col("t")) & (F.col("family") == F.col("f"))).where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
-        found = common.components(edges)
-        size = found.groupBy("component_id").agg(F.count("*").alias("n")).select((F.col("component_id") + 0).alias("c"), "n")
-        found = common.save(found.join(size, F.col("component_id") == F.col("c")).select("id", F.col("component_id").alias("new"), "n"), "family")
-        split = common.save(members.join(found, members.doc_id == found.id).select("doc_id", "n_shingles", "tokens", "counts", F.col("new").alias("family"), "n"), "members")
-        done = done.unionByName(split.where(F.col("n") <= 2 * BLOCK).drop("n"))
-        members = split.where(F.col("n") > 2 * BLOCK).drop("n")
+        found = _closure(members, order)
+        members = common.save(members.drop("family").join(found.toDF("c", "family"), F.col("comp") == F.col("c")).drop("c"), "members")
+        size = members.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > 2 * BLOCK).select(F.col("family").alias("f"))
+        large = common.maybe_broadcast(common.save(size, "large"))
+        done = done.unionByName(members.join(large, F.col("family") == F.col("f"), "left_anti"))
+        members = members.join(large, F.col("family") == F.col("f"), "left_semi")
         if members.isEmpty():
             break
-    members = done.unionByName(members)
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("t"))
-    blocks = sizes.select(F.col("family").alias("f"), F.ceil(F.greatest(F.when(F.col("n") <= 2 * BLOCK, F.lit(1.0)).otherwise(F.col("n") / BLOCK), F.when(F.col("t") <= 2 * BLOCK_SHINGLES, F.lit(1.0)).otherwise(F.col("t") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    blocks = common.save(blocks.where("blocks > 1"), "blocks")
-    dealt = members.join(blocks, F.col("family") == F.col("f"), "left").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
-    dealt = dealt.select("family", "doc_id", "n_shingles", "tokens", "counts", "own", other.alias("o"))
-    dealt = dealt.select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "doc_id", "n_shingles", "tokens", "counts")
+    if not members.isEmpty():
+        # A group that chains of shingles made large is dealt by single shingles, if that moves less.
+        single = members.withColumn("token", F.explode(F.array_distinct(F.element_at("heads", 1))))
+        cost = single.groupBy("family", "token").agg(F.count("*").alias("c")).groupBy("family").agg(F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK)).alias("by_token"))
+        whole = members.groupBy("family").agg(F.count("*").alias("m")).select(F.col("family").alias("f"), (F.col("m") * F.ceil(F.col("m") / BLOCK)).alias("by_family"), "m")
+        cheap = cost.join(whole, F.col("family") == F.col("f")).where((F.col("m") > MANY_BLOCKS * BLOCK) & (F.col("by_token") < F.col("by_family"))).select("f")
+        cheap = common.maybe_broadcast(common.save(cheap, "chained"))
+        again = single.join(cheap, F.col("family") == F.col("f"), "left_semi").withColumn("family", F.xxhash64("family", "token")).drop("token")
+        members = members.join(cheap, F.col("family") == F.col("f"), "left_anti").unionByName(again)
+    members = common.save(done.unionByName(members), "families")
+    of = members.groupBy("family", "comp").agg(F.count("*").alias("m"), F.sum(F.size("tokens")).alias("t"))
+    sizes = of.groupBy("family").agg(F.sum("m").alias("m"), F.sum("t").alias("t"), F.max(F.struct("m", "comp")).alias("big"))
+    sizes = sizes.where((F.col("m") > 2 * BLOCK) | (F.col("t") > 2 * BLOCK_SHINGLES)).withColumn("all", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") / BLOCK_SHINGLES)))
+    few = F.greatest(F.lit(1), F.ceil(F.col("all") * (F.col("m") - F.col("big.m")) / F.col("m"))).cast("int")
+    blocks = sizes.select(F.col("family").alias("f"), F.col("big.comp").alias("largest"), few.alias("few"), F.greatest(F.lit(1), F.col("all") - few).cast("int").alias("rest"))
+    blocks = common.maybe_broadcast(common.save(blocks, "blocks"))
+    dealt = members.join(blocks, F.col("family") == F.col("f"), "left")
+    large, inner = F.col("few").isNotNull(), F.col("comp") == F.col("largest")
+    own = F.when(~large, 0).when(inner, F.col("few") + F.pmod(F.xxhash64("id"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few"))).cast("int")
+    meets = F.when(~large, F.array(F.lit(0))).when(inner, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("rest") - 1))
+    dealt = dealt.withColumn("own", own).withColumn("o", F.explode(meets))
+    dealt = dealt.select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "id", "n", "tokens", "heads", "comp")
 
     def verify(it):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -204,26 +295,120 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def groups():
             key, held = None, []
             for b in it:
-                for r in zip(*(c.to_pylist() for c in b.columns)):
-                    if r[:3] != key:
-                        if len(held) > 1:
-                            yield held
-                        key, held = r[:3], []
-                    held.append(r[3:])
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    for f, i, j, m, c in zip(*(part.column(x).to_pylist() for x in ("family", "i", "j")), _members(part), part.column("comp").to_pylist()):
+                        if (f, i, j) != key:
+                            if len(held) > 1:
+                                yield held
+                            key, held = (f, i, j), []
+                        held.append((*m, c))
             if len(held) > 1:
                 yield held
 
-        def edges_of():
+        def links():
             for g in groups():
-                found = link_group(np.array([r[1] for r in g], np.int64), [np.array(r[2], np.int64).view(np.uint64) for r in g], [np.array(r[3]) for r in g], percent)
-                for a, b in found:
+                for a, b in link_group(np.array([r[1] for r in g], np.int64), [r[2] for r in g], [r[3] for r in g], np.array([r[4] for r in g], np.int64), percent):
                     yield g[a][0], g[b][0]
 
-        yield from common.batches(edges_of(), schema)
+        yield from common.batches(links(), schema)
+
+    key = ["family", "i", "j"]
+    found = common.save(dealt.repartition(n, *key).sortWithinPartitions(*key, "id").mapInArrow(verify, "a long, b long"), "links").distinct()
+    common.release(spark)
+    return found
 
-    links = dealt.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(verify, "a long, b long")
-    found = common.save(common.components(links), "components")
-    return named.join(found, named.rep == found.id, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep")).alias("component_id"))
+
+def _wrong(links: DataFrame, rows: DataFrame, k: int, percent: int) -> bool:
+    """Whether a link doesn't stand when the words of its two texts are compared."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    texts = rows.join(common.maybe_broadcast(common.save(ends, "ends")), F.col("doc_id") == F.col("e")).select("e", "text")
+    texts = common.save(texts.dropDuplicates(["e"]), "texts")
+    pairs = links.join(texts.toDF("ea", "x"), F.col("a") == F.col("ea")).join(texts.toDF("eb", "y"), F.col("b") == F.col("eb"))
+
+    def check(it):
+        def words(text):
+            w = plain_words(text)
+            return set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else {tuple(w)}
+
+        known, own = None, set()
+        for batch in it:
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                if known != b:
+                    known, own = b, words(y)
+                other = words(x)
+                inter = len(own & other)
+                if 100 * inter < percent * (len(own) + len(other) - inter):
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64())], names=["a", "b"])
+
+    return not pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").isEmpty()
+
+
+def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: documents link when 100 * intersection >= percent * union."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    seed = 0
+    while True:
+        out = _attempt(rows, layout(df, 4), k, percent, seed)
+        if out is not None:
+            return out
+        seed += 1
+
+
+def _attempt(rows: DataFrame, deal: tuple[int, int], k: int, percent: int, seed: int) -> DataFrame | None:
+    """None if a link doesn't stand."""
+    spark, (n, subs) = rows.sparkSession, deal
+    table = common.save(shared_keys(rows, _extract(k, seed), n, subs, percent=percent), "sets")
+    common.release(spark)
+    docs = table.where("shared is null").select("doc_id", F.col("size").alias("n_shingles"), "d1", "d2")
+    classes = docs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = common.save(classes, "classes")
+    able = table.where("shared is not null").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), "shared")
+    able = common.save(able.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]), "able")
+
+    def shingles(it):
+        for b in it:
+            sets_of = [np.frombuffer(x, np.int64) for x in b.column("shared").to_pylist()]
+            ids = np.repeat(np.asarray(b.column("id")), [len(x) for x in sets_of])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets_of, np.zeros(0, np.int64)])), pa.array(ids.astype(np.int64))], names=["token", "id"])
+
+    every = able.select("id", "shared").mapInArrow(shingles, "token long, id long")
+    held = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select((F.col("token") + 0).alias("t"), F.col("c").cast("int").alias("c"))
+    counted = every.join(held, F.col("token") == F.col("t")).groupBy("id").agg(F.collect_list(F.struct("token", "c")).alias("tokens"))
+    counted = counted.join(able.select(F.col("id").alias("d"), "n"), F.col("id") == F.col("d")).where(F.size("tokens") * 100 >= F.col("n") * percent)
+    counted = counted.select("id", "n", F.transform("tokens", lambda x: x["token"]).alias("tokens"), F.transform("tokens", lambda x: x["c"]).alias("counts"))
+
+    def with_heads(it):
+        lists = pa.list_(pa.int64())
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", lists), ("heads", pa.list_(lists))])
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                out = []
+                for d, m, t, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _int64(part.column(2)), _int64(part.column(3))):
+                    heads = [_prefix(t.view(np.uint64), c, m, percent, o).view(np.int64) for o in range(ORDERS)]
+                    if len(heads[0]):
+                        out.append((d, m, t, heads))
+                yield from common.batches(out, schema)
+
+    members = common.save(counted.mapInArrow(with_heads, MEMBERS), "members")
+    common.release(spark)
+    near, hubs = _hub_links(members, percent)
+    best = hubs.groupBy("token").agg(F.min(F.struct("odd", "id")).alias("best"), F.count("*").alias("c")).where("c > 1").select((F.col("token") + 0).alias("t"), F.col("best.id").alias("hub"))
+    pairs = hubs.join(best, F.col("token") == F.col("t")).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    near = common.save(near.union(_pairs_that_link(pairs, members, percent)).distinct(), "near")
+    found = common.components(near)
+    named = members.join(found.toDF("i", "c"), F.col("id") == F.col("i"), "left").select("id", "n", "tokens", "heads", F.coalesce("c", "id").alias("comp"))
+    links = common.save(near.union(_rest_links(common.save(named, "named"), percent, n)), "all-links")
+    if _wrong(links, rows, k, percent):
+        return None
+    common.release(spark)
+    found = common.components(links)
+    # Only sets that have copies or links need a name other than their own.
+    named = classes.join(found, F.col("rep") == F.col("id"), "left").where("copies > 1 or component_id is not null")
+    named = common.save(named.select(F.col("d1").alias("x"), F.col("d2").alias("y"), F.coalesce("component_id", "rep").alias("least")), "components")
+    out = docs.join(named, (F.col("d1") == F.col("x")) & (F.col("d2") == F.col("y")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Byte-level BPE never merges across the pieces that its pattern cuts from a text, so a batch is cut for all texts at
 once on arrays of code points, each distinct piece is encoded once, and ids are gathered back.  ``Encoder`` holds the
-pieces met so far (bounded) for a worker process.  Classes of code points are asked from the library itself, so both
+pieces met so far for a worker process, bounded by bytes; pieces are found by hash and compared whole.  Classes of code points are asked from the library itself, so both
 agree on what a letter is.  Texts that hold an added token go through the library whole."""
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LETTER, NUMBER, OTHER, SPACE, STOP, UNKNOWN = 1, 2, 3, 4, 5, 0
 _STOP_CODE = 0x110000
-#: Pieces over so many code points are encoded without the cache, and pieces kept by a worker.
-LONG, KEEP = 64, 1_500_000
+#: Pieces over so many code points are encoded without the cache; bytes of pieces that a worker keeps.
+LONG, KEEP = 64, 64 << 20
 #: Code points cut at a time.
 CHUNK = 1 << 20
 
@@ -49,6 +49,31 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _differ(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which pieces of ``code`` are not equal to those of ``other`` beside them."""
+    out = sizes != lengths
+    same = np.flatnonzero(~out & ((starts != places) | (code is not other)))
+    wrong = np.flatnonzero(code[ragged(starts[same], sizes[same])] != other[ragged(places[same], sizes[same])])
+    if len(wrong):
+        out[same[np.searchsorted(np.cumsum(sizes[same]), wrong, side="right")]] = True
+    return out
+
+
+def supported(tokenizer) -> None:
+    """Refuse a tokenizer file whose cutting or merging this module doesn't follow."""
+    import json
+
+    x = json.loads(tokenizer.to_str())
+    pre, model = x.get("pre_tokenizer") or {}, x["model"]
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if x.get("normalizer") is not None or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only byte-level pre-tokenizing without a normalizer or a prefix space is supported")
+    if model.get("type") != "BPE" or odd:
+        raise ValueError(f"only plain BPE models are supported ({', '.join(odd) or model.get('type')})")
+    if any(t.get(k) for t in x.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+
+
 class Cutter:
     """Cuts texts into pre-tokens."""
 
@@ -111,6 +136,7 @@ class Encoder:
     """Ids of texts; ``encode_piece`` maps a piece's bytes to a list of ids."""
 
     def __init__(self, tokenizer, encode_pieces=None):
+        supported(tokenizer)
         self.tokenizer, self.cutter = tokenizer, Cutter(tokenizer)
         self.added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         if encode_pieces is None:
@@ -121,35 +147,45 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.offset = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        none = np.zeros(0, np.int64)
+        self.keys, self.offset, self.length, self.ids = np.zeros(0, np.uint64), none, none, np.zeros(0, np.int32)
+        self.codes, self.code_at, self.size = np.zeros(0, np.uint32), none, none
+
+    def _held(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.offset, self.length, self.ids, self.codes, self.code_at, self.size))
 
-    def _look_up(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For short pieces: place in self.ids and length of each."""
+    def _look_up(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For short pieces: place in self.ids, length, and whether the piece is another one of the same hash (its
+        place and length mean nothing then)."""
         import pandas as pd
 
         which, keys = pd.factorize(spans_hash(code, starts, ends))
+        first = np.empty(len(keys), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        clash = _differ(code, starts, ends - starts, code, starts[first][which], (ends - starts)[first][which])
         at = np.searchsorted(self.keys, keys)
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
-            if len(self.keys) > KEEP:
+            if self._held() > KEEP:
                 self._clear()
                 known[:] = False
             missing = np.flatnonzero(~known)
-            first = np.empty(len(keys), dtype=np.int64)
-            first[which[::-1]] = np.arange(len(which))[::-1]
-            s, e = starts[first[missing]].tolist(), ends[first[missing]].tolist()
-            new = self.encode_pieces([code[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(s, e)])
+            s, e = starts[first[missing]], ends[first[missing]]
+            new = self.encode_pieces([code[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(s.tolist(), e.tolist())])
             n = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
             flat = np.fromiter((i for x in new for i in x), dtype=np.int32, count=int(n.sum()))
-            k = np.concatenate([self.keys, keys[missing]])
+            k, sizes = np.concatenate([self.keys, keys[missing]]), e - s
             order = np.argsort(k, kind="stable")
             self.keys = k[order]
             self.offset = np.concatenate([self.offset, len(self.ids) + np.cumsum(n) - n])[order]
             self.length = np.concatenate([self.length, n])[order]
+            self.code_at = np.concatenate([self.code_at, len(self.codes) + np.cumsum(sizes) - sizes])[order]
+            self.size = np.concatenate([self.size, sizes])[order]
             self.ids = np.concatenate([self.ids, flat])
+            self.codes = np.concatenate([self.codes, code[ragged(s, sizes)]])
             at = np.searchsorted(self.keys, keys)
-        return self.offset[at][which], self.length[at][which]
+        clash |= _differ(code, starts[first], (ends - starts)[first], self.codes, self.code_at[at], self.size[at])[which]
+        return self.offset[at][which], self.length[at][which], clash
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as int32, and where each text's ids begin (and the last end)."""
@@ -158,20 +194,19 @@ class Encoder:
             out = [self._whole(t) if s else self([t])[0] for t, s in zip(texts, special)]
             return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
         code, starts, ends, first = self.cutter.cut(texts)
-        short = ends - starts <= LONG
-        if short.all():
-            offset, length = self._look_up(code, starts, ends)
-            source = self.ids
-        else:
-            offset, length = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
-            offset[short], length[short] = self._look_up(code, starts[short], ends[short])
-            more, at = [self.ids], len(self.ids)
-            for i in np.flatnonzero(~short).tolist():
-                ids = np.array(self.encode_pieces([code[starts[i] : ends[i]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")])[0], dtype=np.int32)
-                offset[i], length[i] = at, len(ids)
-                more.append(ids)
-                at += len(ids)
-            source = np.concatenate(more)
+        apart = ends - starts > LONG
+        short = np.flatnonzero(~apart)
+        offset, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        if len(short):
+            offset[short], length[short], clash = self._look_up(code, starts[short], ends[short])
+            apart[short] = clash
+        more, at = [self.ids], len(self.ids)
+        for i in np.flatnonzero(apart).tolist():
+            ids = np.array(self.encode_pieces([code[starts[i] : ends[i]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")])[0], dtype=np.int32)
+            offset[i], length[i] = at, len(ids)
+            more.append(ids)
+            at += len(ids)
+        source = np.concatenate(more) if len(more) > 1 else self.ids
         total = np.concatenate([[0], np.cumsum(length)])
         return source[ragged(offset, length)], total[first]
 

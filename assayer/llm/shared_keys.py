@@ -1,27 +1,33 @@
-"""Which hashed keys of a document occur in some other document too, without moving texts.
+"""Which hashed keys of a set occur in some other set too, without moving texts.
 
-Tasks sort their keys and send delta-coded runs to the keys' partitions.  A key that a run already has in two
-documents is known to be shared and goes as one witness, however often it occurs, so a key that a third of all
-documents hold costs a row a run.  Answers travel packed by document.  Ids are taken as keys: rows that repeat an id
-must repeat its text; rows with a null id have no shared keys."""
+A set is named by the id of its document.  Tasks sort their keys and send
+delta-coded runs to the keys' partitions.  A key that a run already has in two sets is known to be shared and goes as
+one witness, however often it occurs, so a key that a third of all sets hold costs a row a run.  Answers travel packed
+by set.  Sets that repeat an id must repeat their keys; rows without an id have no shared keys.
+
+Partitions are bounded in number.  What a partition holds beyond its size is split inside its task: runs are put
+together again after the exchange, cut by sub-partition, and sorted by Spark, which spills; so exchanged pieces don't
+shrink without end as the input grows."""
 
 from __future__ import annotations
 
+import math
 import struct
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from assayer.llm import common
 from assayer.llm.words import mix
 
 #: Keys that a task holds before it sends a run.
 RUN = 1 << 19
-_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
-ROWS = "bucket int, kind byte, blob binary"
-WITNESS, ASKING, FOUND, EXTRA = 0, 1, 2, 3
+_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("sub", pa.int32()), ("blob", pa.binary())])
+ROWS = "bucket int, kind byte, sub int, blob binary"
+FIELDS = "doc_id long, size long, d1 long, d2 long, shared binary"
+WITNESS, ASKING, FOUND, DOCUMENT, SET = 0, 1, 2, 3, 4
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -45,7 +51,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _split(bucket: np.ndarray, n: int):
+def split(bucket: np.ndarray, n: int):
     """Places of each bucket's members, in order of the bucket."""
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -53,118 +59,196 @@ def _split(bucket: np.ndarray, n: int):
         yield b, order[at[b] : at[b + 1]]
 
 
+def spread(keys: np.ndarray, n: int) -> np.ndarray:
+    """The number below ``n`` of each key's part."""
+    return (mix(keys.view(np.uint64) if keys.dtype != np.uint64 else keys) % np.uint64(n)).astype(np.int64)
+
+
 def doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    return (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    return spread(docs.astype(np.int64), n)
+
+
+def layout(df: DataFrame, mb: float) -> tuple[int, int]:
+    """Partitions, and sub-partitions in each, so that one of these holds about ``mb`` of the stored input."""
+    n, size = common.parts(df, mb), common.plan_bytes(df)
+    return n, max(1, math.ceil(size / (mb * 1e6) / n)) if size < 1 << 60 else 1
+
+
+def _encode(kind: int, arrays: list[np.ndarray]) -> bytes:
+    """Keys of runs ascend and go as differences."""
+    if kind in (ASKING, WITNESS):
+        order = np.argsort(arrays[0], kind="stable")
+        arrays = [a[order] for a in arrays]
+        return pack(np.diff(arrays[0], prepend=np.uint64(0)), *arrays[1:])
+    return pack(*arrays)
+
+
+def _decode(kind: int, blob: bytes) -> list[np.ndarray]:
+    arrays = unpack(blob)
+    return [np.cumsum(arrays[0], dtype=np.uint64), *arrays[1:]] if kind in (ASKING, WITNESS) else arrays
 
 
-def shared_keys(rows: DataFrame, extract, n: int, bits: int = 64, keep_key: bool = True) -> DataFrame:
-    """``rows``: (doc_id, text).  ``extract(held)`` gives for a list of rows: keys (uint64), the row number of each,
-    a uint32 for each, and for each row 24 bytes or None to carry along.  Result: (doc_id, extra, shared), shared
-    holding the shared keys (uint64) or, without ``keep_key``, the values given with them (uint32)."""
+def subdivided(df: DataFrame, n: int, subs: int, kinds: tuple[int, ...]) -> DataFrame:
+    """Rows dealt by bucket; those of ``kinds`` split by the sub-partition of their first array, in its order."""
+    df = df.repartition(n, "bucket")
+    if subs == 1:
+        return df
+
+    def resplit(it):
+        held: dict[int, list] = {k: [] for k in kinds}
+        count, bucket = 0, 0
+
+        def flush():
+            for kind, parts in held.items():
+                if parts:
+                    arrays = [np.concatenate(x) for x in zip(*parts)]
+                    for s, at in split(spread(arrays[0], n * subs) // n, subs):
+                        yield bucket, kind, s, _encode(kind, [a[at] for a in arrays])
+                    parts.clear()
+
+        for b in it:
+            forward = []
+            for bucket, kind, sub, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if kind in held:
+                    held[kind].append(_decode(kind, blob))
+                    count += len(held[kind][-1][0])
+                else:
+                    forward.append((bucket, kind, -1, blob))
+            if count >= RUN:
+                forward += flush()
+                count = 0
+            yield from common.batches(forward, _ROWS, 256)
+        yield from common.batches(flush(), _ROWS, 256)
+
+    return df.mapInArrow(resplit, ROWS).sortWithinPartitions("sub")
+
+
+def by_sub(it, forward: tuple[int, ...] = ()):
+    """(rows to hand on, None) or (None, rows of a sub-partition) from batches in order of the sub-partition."""
+    handed: list = []
+
+    def rows():
+        for b in it:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if r[1] in forward:
+                    handed.append(r)
+                else:
+                    yield r
+
+    for _, own in groupby(rows(), key=lambda r: r[2]):
+        group: list = []
+        for r in own:
+            group.append(r)
+            if len(handed) >= 256:
+                yield list(handed), None
+                handed.clear()
+        yield None, group
+    yield handed, None
+
+
+def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64, keep_key: bool = True, percent: int = 0) -> DataFrame:
+    """``extract(rows)`` gives for a list of rows (doc_id, text): keys (uint64), the row number of each and a uint32 for
+    each; for each row the id of its set (int64) and whether it has one; and arrays to hand on with each row (doc_id,
+    null mark, size, d1, d2), or None.
+
+    Result: a row per set, with ``size`` and ``d1`` its id (``doc_id`` too), ``shared`` holding the shared keys (uint64)
+    or, without ``keep_key``, the values given with them (uint32); and, if rows are handed on, a row for each without
+    ``shared``.  With ``percent``, only sets of which so much is shared have a row."""
     common.bound_batches(rows.sparkSession)
-    targets, shift = common.partition_keys(n), np.uint64(64 - bits)
+    targets, shift, total = common.partition_keys(n), np.uint64(64 - bits), n * subs
 
-    def send(keys, docs, values):
+    def send(keys, sets, values):
+        if not len(keys):
+            return
         order = np.argsort(keys, kind="stable")
-        keys, docs, values = keys[order], docs[order], values[order]
+        keys, sets, values = keys[order], sets[order], values[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        many = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)
+        many = np.minimum.reduceat(sets, start) != np.maximum.reduceat(sets, start)
         local = np.repeat(many, np.diff(np.append(start, len(keys))))
-        answer = keys if keep_key else values
-        for b, at in _split(doc_bucket(docs[local], n), n):
-            yield int(targets[b]), FOUND, pack(docs[local][at], answer[local][at])
+        known = keys if keep_key else values
+        for b, at in split(doc_bucket(sets[local], total) % n, n):
+            yield int(targets[b]), FOUND, 0, pack(sets[local][at], known[local][at])
         witness = keys[start[many]]
-        for b, at in _split((mix(witness) % np.uint64(n)).astype(np.int64), n):
-            yield int(targets[b]), WITNESS, pack(np.diff(witness[at], prepend=np.uint64(0)))
-        keys, docs, values = keys[~local], docs[~local], values[~local]
-        for b, at in _split((mix(keys) % np.uint64(n)).astype(np.int64), n):
-            ask = [np.diff(keys[at], prepend=np.uint64(0)), docs[at]]
-            yield int(targets[b]), ASKING, pack(*ask) if keep_key else pack(*ask, values[at])
+        for b, at in split(spread(witness, total) % n, n):
+            yield int(targets[b]), WITNESS, 0, _encode(WITNESS, [witness[at]])
+        keys, sets, values = keys[~local], sets[~local], values[~local]
+        for b, at in split(spread(keys, total) % n, n):
+            ask = [keys[at], sets[at]]
+            yield int(targets[b]), ASKING, 0, _encode(ASKING, ask if keep_key else [*ask, values[at]])
 
     def gather(it):
         held, count = [], 0
 
         def flush():
-            out = list(send(*(np.concatenate(x) for x in zip(*held))))
+            out = list(send(*(np.concatenate(x) for x in zip(*held)))) if held else []
             held.clear()
             return out
 
         for part in common.chunks(it, lambda r: len(r[1] or "") + 64, 1 << 20):
-            keys, row, values, extra = extract(part)
-            ids = np.array([r[0] if r[0] is not None else 0 for r in part], dtype=np.int64)
-            null = np.array([r[0] is None for r in part])
-            keys, row, values = (x[~null[row]] for x in (keys, row, values))
-            held.append(((keys >> shift) << shift, ids[row], values))
-            count += len(keys)
-            rows_out = []
-            if extra is not None:
-                flat = np.frombuffer(b"".join(extra), dtype=np.uint64).reshape(-1, 3)
-                for b, at in _split(doc_bucket(ids, n), n):
-                    rows_out.append((int(targets[b]), EXTRA, pack(ids[at], null[at].astype(np.uint8), *(np.ascontiguousarray(flat[at, j]) for j in range(3)))))
+            keys, row, values, ids, fit, own = extract(part)
+            asks = fit[row]
+            held.append(((keys[asks] >> shift) << shift, ids[row[asks]], values[asks]))
+            count += int(asks.sum()) + len(part)
+            out = []
+            if own is not None:
+                for b, at in split(doc_bucket(own[0], n), n):
+                    out.append((int(targets[b]), DOCUMENT, 0, pack(*(np.ascontiguousarray(x[at]) for x in own))))
+                for b, at in split(doc_bucket(ids[fit], total) % n, n):
+                    out.append((int(targets[b]), SET, 0, pack(ids[fit][at], own[2][fit][at])))
             if count >= RUN:
-                rows_out += flush()
+                out += flush()
                 count = 0
-            yield from common.batches(rows_out, _ROWS, 256)
-        if count:
-            yield from common.batches(flush(), _ROWS, 256)
+            yield from common.batches(out, _ROWS, 256)
+        yield from common.batches(flush(), _ROWS, 256)
 
     def answer(it):
-        asked, witnesses = [], []
-        for b in it:
-            forward = []
-            for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == ASKING:
-                    x = unpack(blob)
-                    asked.append([np.cumsum(x[0], dtype=np.uint64), *x[1:]])
-                elif kind == WITNESS:
-                    witnesses.append(np.cumsum(unpack(blob)[0], dtype=np.uint64))
-                else:
-                    forward.append((bucket, kind, blob))
-            yield from common.batches(forward, _ROWS, 256)
-        if not asked:
-            return
-        cols = [np.concatenate(x) for x in zip(*asked)]
-        asked.clear()
-        order = np.argsort(cols[0], kind="stable")
-        keys, docs, back = cols[0][order], cols[1][order], cols[0 if keep_key else 2][order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        many = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)
-        if witnesses:
-            w = np.unique(np.concatenate(witnesses))
-            many |= w[np.minimum(np.searchsorted(w, keys[start]), len(w) - 1)] == keys[start]
-        hit = np.repeat(many, np.diff(np.append(start, len(keys))))
-        docs, back = docs[hit], back[hit]
-        out = [(int(targets[b]), FOUND, pack(docs[at], back[at])) for b, at in _split(doc_bucket(docs, n), n)]
-        yield from common.batches(out, _ROWS, 256)
-
-    def by_document(it):
-        found, extras = [], []
-        for b in it:
-            for kind, blob in zip(*(b.column(c).to_pylist() for c in (1, 2))):
-                (found if kind == FOUND else extras).append(unpack(blob))
-        schema = pa.schema([("doc_id", pa.int64()), ("extra", pa.binary()), ("shared", pa.binary())])
-        docs, back = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        found.clear()
-        order = np.lexsort((back, docs))
-        docs, back = docs[order], back[order]
-        if len(docs):
-            new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (back[1:] != back[:-1])])
-            docs, back = docs[new], back[new]
-        ids, first = np.unique(docs, return_index=True)
-        ends = np.append(first, len(docs))
-        place = {d: i for i, d in enumerate(ids.tolist())}
-        bytes_of = lambda i: back[ends[i] : ends[i + 1]].tobytes()
-
-        def rows_of():
-            if not extras:
-                for i, d in enumerate(ids.tolist()):
-                    yield d, None, bytes_of(i)
-            for e in extras:
-                more = np.stack(e[2:], axis=1)
-                for d, null, x in zip(e[0].tolist(), e[1].tolist(), more):
-                    yield None if null else d, x.tobytes(), bytes_of(place[d]) if d in place and not null else b""
-
-        yield from common.batches(rows_of(), schema, 1024)
-
-    runs = rows.mapInArrow(gather, ROWS).repartition(n, "bucket").mapInArrow(answer, ROWS)
-    return runs.repartition(n, "bucket").mapInArrow(by_document, "doc_id long, extra binary, shared binary")
+        for handed, group in by_sub(it, (FOUND, DOCUMENT, SET)):
+            yield from common.batches(handed or [], _ROWS, 256)
+            asked = [_decode(ASKING, r[3]) for r in group or () if r[1] == ASKING]
+            witnesses = [_decode(WITNESS, r[3])[0] for r in group or () if r[1] == WITNESS]
+            if not asked:
+                continue
+            group.clear()
+            cols = [np.concatenate(x) for x in zip(*asked)]
+            asked.clear()
+            order = np.argsort(cols[0], kind="stable")
+            keys, sets, back = cols[0][order], cols[1][order], cols[0 if keep_key else 2][order]
+            del cols, order
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            many = np.minimum.reduceat(sets, start) != np.maximum.reduceat(sets, start)
+            if witnesses:
+                w = np.unique(np.concatenate(witnesses))
+                many |= w[np.minimum(np.searchsorted(w, keys[start]), len(w) - 1)] == keys[start]
+            hit = np.repeat(many, np.diff(np.append(start, len(keys))))
+            sets, back = sets[hit], back[hit]
+            out = ((int(targets[b]), FOUND, 0, pack(sets[at], back[at])) for b, at in split(doc_bucket(sets, total) % n, n))
+            yield from common.batches(out, _ROWS, 256)
+
+    def by_set(it):
+        schema = pa.schema([(f.split()[0], pa.binary() if "binary" in f else pa.int64()) for f in FIELDS.split(", ")])
+        for handed, group in by_sub(it, (DOCUMENT,)):
+            for _, _, _, blob in handed or ():
+                doc, null, size, d1, d2 = unpack(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), pa.nulls(len(doc), pa.binary())], schema=schema)
+            found = [unpack(r[3]) for r in group or () if r[1] == FOUND]
+            sizes = [unpack(r[3]) for r in group or () if r[1] == SET]
+            if not found:
+                continue
+            group.clear()
+            sets, back = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            order = np.lexsort((back, sets))
+            sets, back = sets[order], back[order]
+            new = np.concatenate([[True], (sets[1:] != sets[:-1]) | (back[1:] != back[:-1])])
+            sets, back = sets[new], back[new]
+            ids, first = np.unique(sets, return_index=True)
+            ends = np.append(first, len(sets))
+            size = np.zeros(len(ids), np.int64)
+            if sizes:
+                known, at = np.unique(np.concatenate([x[0] for x in sizes]), return_index=True)
+                size = np.concatenate([x[1] for x in sizes])[at].astype(np.int64)[np.searchsorted(known, ids)]
+            able = np.flatnonzero(100 * np.diff(ends) >= percent * size) if percent else np.arange(len(ids))
+            yield from common.batches(((d, m, d, None, back[a:b].tobytes()) for d, m, a, b in zip(ids[able].tolist(), size[able].tolist(), ends[able].tolist(), ends[able + 1].tolist())), schema, 1024)
+
+    asked = subdivided(rows.mapInArrow(gather, ROWS), n, subs, (ASKING, WITNESS))
+    return subdivided(asked.mapInArrow(answer, ROWS), n, subs, (FOUND, SET)).mapInArrow(by_set, FIELDS)

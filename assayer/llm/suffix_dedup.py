@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import common
-from assayer.llm.shared_keys import doc_bucket, pack, shared_keys, unpack
+from assayer.llm.shared_keys import doc_bucket, layout, pack, shared_keys, unpack
 from assayer.llm.words import as_bytes, mix
 
 LENGTH, GRAM = 50, 24
@@ -74,7 +74,8 @@ def _extract(held):
     texts = [as_bytes(r[1]) for r in held]
     _, bounds, place, _, _, h = anchors(texts)
     row = np.searchsorted(bounds, place, side="right") - 1
-    return h, row, (place - bounds[row]).astype(np.uint32), None
+    ids = np.array([r[0] or 0 for r in held], dtype=np.int64)
+    return h, row, (place - bounds[row]).astype(np.uint32), ids, np.array([r[0] is not None for r in held]), None
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -217,9 +218,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, spans): the byte spans to remove, ascending and apart, as int32 pairs; documents that lose none are absent."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = common.parts(df, 4)
+    n, subs = layout(df, 4)
     targets = common.partition_keys(n)
-    keys = shared_keys(rows, _extract, n, bits=48, keep_key=False).select("doc_id", "shared")
+    keys = shared_keys(rows, _extract, n, subs, bits=48, keep_key=False).select("doc_id", "shared")
     keys = common.save(keys, "anchors")
     common.release(spark)
 

@@ -4,14 +4,17 @@ A word is a maximal run of bytes other than space and 0x09-0x0D."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_MUL, _SLICE = 0x9E3779B97F4A7C15 | 1, 1 << 21
-_tables: dict[str, np.ndarray] = {}
+#: Spans over so many bytes are hashed one by one, by a cryptographic hash.
+LONG = 64
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,38 +24,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("p", ())) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        for name, f in (("p", _MUL), ("q", pow(_MUL, -1, 1 << 64))):
-            t = np.full(m, f, dtype=np.uint64)
-            t[0] = 1
-            _tables[name] = np.multiply.accumulate(t)
-    return _tables["p"], _tables["q"]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], for ascending spans that don't overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + _SLICE, side="right")))
-        n = int(ends[to - 1] - base)
-        p, q = _powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((values[base : base + n].astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        at = to
-    return mix(out)
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of values[start:end]: eight bytes after eight go through ``mix``; long spans are hashed by BLAKE2b.
+    Hashes may collide: who needs exact results compares what was hashed."""
+    width = values.itemsize
+    raw = np.frombuffer(values.tobytes() + b"\0" * 8, dtype=np.uint8)
+    eight = np.ndarray((max(0, len(raw) - 7),), dtype="<u8", buffer=raw, strides=(1,))
+    at, size = starts * width, (ends - starts) * width
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((seed * 0xA0761D6478BD642F + 0x51ED270B) % (1 << 64))
+    out = mix((out ^ (eight[at] & _MASK[np.minimum(size, 8)])) * np.uint64(0x9E3779B97F4A7C15)) if len(at) else out
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(more):
+        left = size[more] - done
+        out[more] = mix((out[more] ^ (eight[at[more] + done] & _MASK[np.minimum(left, 8)])) * np.uint64(0x9FB21C651E98DF25))
+        done += 8
+        more = more[left > 8]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[at[i] : at[i] + size[i]], digest_size=8, key=key).digest(), "little")
+    return out
 
 
 class Words:
     """data: all texts with one space after each; start, end, hash: of each word; first: index of each text's first
     word, and the number of words at the end; bounds: each text's place in data."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, seed: int = 0):
         self.data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
         if lower:
             self.data = LOWER[self.data]
@@ -63,7 +61,7 @@ class Words:
         if len(self.data) and not blank[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = spans_hash(self.data, self.start, self.end)
+        self.hash = spans_hash(self.data, self.start, self.end, seed)
         self.first = np.searchsorted(self.start, self.bounds)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
