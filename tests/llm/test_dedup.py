@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import common, ngram_join, suffix_dedup, vector_dedup
 
@@ -48,8 +49,11 @@ def test_similar_sets(documents, rows, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (sizes[d], want[d]) for d in want}
 
 
-def test_large_family(spark, monkeypatch):
-    """A family over the block bound is dealt as pairs of blocks and still loses no link."""
+@pytest.mark.parametrize("many", [8, 1])
+def test_large_family(spark, monkeypatch, many):
+    """A family over the block bound is dealt as pairs of blocks, or by shingle, and still loses no link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "MANY_BLOCKS", many)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(120)]
     rows = []
@@ -63,6 +67,52 @@ def test_large_family(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def opposite_words(n):
+    """A word of the sequence that repeats nothing three times, and the same with the two letters exchanged."""
+    x = [0]
+    while len(x) < n:
+        x += [1 - i for i in x]
+    return "".join("ab"[i] for i in x), "".join("ba"[i] for i in x)
+
+
+def test_hashes_of_regular_words(spark):
+    """Polynomials modulo a power of two can't tell these words apart."""
+    rows = [(10 * i + j, w) for i, n in enumerate((64, 1024, 4096)) for j, w in enumerate(opposite_words(n))]
+    got = ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_wrong_links_are_found(documents, rows, monkeypatch):
+    """With hashes of three bits links come up that aren't there; the words tell, and another seed is taken."""
+    plain, seeds = ngram_join.shingle_sets, []
+
+    def few_bits(texts, k, seed=0):
+        keys, doc = plain(texts, k, seed)
+        seeds.append(seed)
+        return (keys >> np.uint64(61) if seed == 0 else keys), doc
+
+    monkeypatch.setattr(ngram_join, "shingle_sets", few_bits)
+    links = documents.sparkSession.createDataFrame([(rows[0][0], rows[1][0])], "a long, b long")
+    assert ngram_join._wrong(links, documents.select("doc_id", "text"), 3, 90)
+
+
+def test_partitions_split_in_tasks(documents, rows, monkeypatch):
+    """Few partitions with many sub-partitions give what many partitions give; joined tables don't multiply them."""
+    assert common.parts(documents.join(documents.selectExpr("doc_id as d"), F.col("doc_id") == F.col("d")), 1e-6) <= common.MOST_PARTS
+    sizes, want = brute_sets(rows, 3, 90)
+    monkeypatch.setattr(ngram_join, "layout", lambda df, mb: (2, 7))
+    got = ngram_join.similar_sets(documents).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (sizes[d], want[d]) for d in want}
+
+
+def test_long_texts_and_words(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:30_000], "other", *words[30_000:]])), (3, "x" * 500_000 + " a b c"), (4, "x" * 500_000 + " a b c"), (5, "y" + "x" * 499_999 + " a b c")]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_similar_sets_edges(spark, empty):
     assert ngram_join.similar_sets(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (4, None), (3, "A b\tc D")], "doc_id long, text string")
@@ -120,7 +170,10 @@ def test_loser_tree():
         assert b[0] == suffix_dedup.common_prefix(a[1], b[1], 0)
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("block", [256, 16])
+def test_vectors(spark, monkeypatch, block):
+    """With small blocks, families are dealt by direction and block."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 64))
     rows = []
@@ -148,6 +201,31 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [64, 384])
+@pytest.mark.parametrize("total", [1500, 51282, 10**6, 10**7, 10**9])
+def test_recall_at_every_size(size, total):
+    """Pairs at the least cosine meet, however many vectors there are; these pairs are not those that books were tried on."""
+    books, rng = vector_dedup.Codes(size, total), np.random.default_rng(77)
+    x = vector_dedup.unit_rows(rng.standard_normal((400, size)))
+    y = rng.standard_normal((400, size))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * vector_dedup.unit_rows(y)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(books.listed(x), books.listed(y))]
+    apart = sum(np.bitwise_count(a ^ b) for a, b in zip(books.sketch(x).view(np.uint64).T, books.sketch(y).view(np.uint64).T))
+    assert np.mean(np.array(met) & (apart <= vector_dedup.DIFFER)) >= 0.95
+
+
+def test_vectors_with_repeated_ids(spark):
+    """Rows of one id with different vectors are rows of their own; other columns don't enter."""
+    near = [1.0, 0.05, 0.0, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (1, [0.0, 0.0, 1.0, 0.0], 0), (2, near, 0), (2, near, 0), (3, near, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for c in ("id", "rep", "f", "family", "member"):
+        df = df.selectExpr("*", f"0 as {c}")
+    got = sorted(tuple(r) for r in vector_dedup.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)]
+
+
 def test_partition_keys(spark):
     from pyspark.sql import functions as F
 
