@@ -6,25 +6,45 @@ import numpy as np
 
 
 class Rows:
-    """Sparse rows: column indices and values, and where each row begins."""
+    """Sparse rows: column indices and values, and where each row begins.  Products go through blocks of rows, so that
+    what they hold beside the rows is bounded."""
+
+    BLOCK = 1 << 19
 
     def __init__(self, index: list[np.ndarray], value: list[np.ndarray]):
         self.at = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
-        self.index = np.concatenate(index) if index else np.zeros(0, np.int64)
-        self.value = np.concatenate(value).astype(np.float64) if value else np.zeros(0)
-        self.row = np.repeat(np.arange(len(index)), np.diff(self.at))
+        self.index = np.concatenate(index).astype(np.int32) if index else np.zeros(0, np.int32)
+        self.value = np.concatenate(value).astype(np.float32) if value else np.zeros(0, np.float32)
+
+    def blocks(self):
+        """First and last row, indices, values and row numbers of each block."""
+        a, n = 0, len(self.at) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.at, self.at[a] + self.BLOCK, side="right")) - 1)
+            s = slice(self.at[a], self.at[b])
+            yield a, b, self.index[s], self.value[s], np.repeat(np.arange(b - a), np.diff(self.at[a : b + 1]))
+            a = b
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         """Products with a weight vector or matrix (columns, classes)."""
-        n = len(self.at) - 1
-        if w.ndim == 1:
-            return np.bincount(self.row, self.value * w[self.index], minlength=n)
-        return np.stack([np.bincount(self.row, self.value * w[self.index, c], minlength=n) for c in range(w.shape[1])], axis=1)
+        out = np.zeros((len(self.at) - 1, *w.shape[1:]))
+        for a, b, index, value, row in self.blocks():
+            if w.ndim == 1:
+                out[a:b] = np.bincount(row, value * w[index], minlength=b - a)
+            else:
+                for c in range(w.shape[1]):
+                    out[a:b, c] = np.bincount(row, value * w[index, c], minlength=b - a)
+        return out
 
     def back(self, g: np.ndarray, width: int) -> np.ndarray:
-        if g.ndim == 1:
-            return np.bincount(self.index, self.value * g[self.row], minlength=width)
-        return np.stack([np.bincount(self.index, self.value * g[self.row, c], minlength=width) for c in range(g.shape[1])], axis=1)
+        out = np.zeros((width, *g.shape[1:]))
+        for a, b, index, value, row in self.blocks():
+            if g.ndim == 1:
+                out += np.bincount(index, value * g[a:b][row], minlength=width)
+            else:
+                for c in range(g.shape[1]):
+                    out[:, c] += np.bincount(index, value * g[a:b, c][row], minlength=width)
+        return out
 
 
 def train(x: Rows, y: np.ndarray, width: int, steps: int = 120, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:

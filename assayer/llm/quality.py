@@ -1,11 +1,14 @@
 """Quality rules: counted base rules, then a calibrated classifier.
 
 Base: a text fails with under 50 words, or if over half of its words stand in three-word windows that occur twice or
-more.  The classifier is a logistic regression on hashed word 1- and 2-grams and byte 4-grams (relative frequencies),
-trained on at most ``TRAIN_ROWS`` labelled rows (those of least hash, the bound of the sample) and calibrated on those
-that were held out; a text is kept if the probability of good quality is at least ``THRESHOLD``.
-Null text counts as empty and fails.  Labels that are null don't train; without rows of both classes every text that
-passes the base rules is kept.  Repeated rows are rows of their own."""
+more.  The classifier is a logistic regression on hashed word 1- and 2-grams and character 4-grams of code points
+(relative frequencies in a text; grams don't leave their text, so a score depends on the text alone), trained on at most
+``TRAIN_ROWS`` labelled rows (those of least hash, the bound of the sample) and calibrated on those that were held out; a
+text is kept if the probability of good quality is at least ``THRESHOLD``.
+Null text counts as empty and fails.  Very long texts are scored whole.  Labels that are null don't train; a label that
+repeats trains once, and of texts that share a labelled id the least trains; without rows of both classes every text
+that passes the base rules is kept.  Repeated rows are rows of their own, a tie at the threshold is kept, an empty table
+gives no rows, and other columns don't enter, whatever their names."""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ from assayer.llm.linear import Rows, calibrate, train
 from assayer.llm.words import Words, as_bytes, mix
 
 TRAIN_ROWS, HELD_OUT, THRESHOLD = 3000, 0.25, 0.5
-#: Hashed columns of each kind of feature: words, word pairs, byte 4-grams.
+#: Hashed columns of each kind of feature: words, word pairs, character 4-grams.
 BITS = 16
 WIDTH = 3 << BITS
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -54,19 +57,20 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of feature: hashed columns, and the number of each one's text."""
-    w = Words(texts, lower=False)
+def grams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of feature: hashed columns, and the number of each one's text, ascending."""
+    w = Words([as_bytes(t) for t in texts], lower=False)
     out, mask = [], np.uint64((1 << BITS) - 1)
     for k in (1, 2):
         h, doc = w.windows(k)
         out.append(((mix(h) & mask).astype(np.int64) + ((k - 1) << BITS), doc))
-    x = w.data.astype(np.uint32)
+    x = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(x) >= 4:
         h = x[:-3] * _G[0] + x[1:-2] * _G[1] + x[2:-1] * _G[2] + x[3:] * _G[3]
         h = ((h ^ (h >> np.uint32(15))) * _G[1]) >> np.uint32(32 - BITS)
-        doc = np.repeat(np.arange(len(texts)), np.diff(w.bounds))[: len(h)]
-        out.append((h.astype(np.int64) + (2 << BITS), doc))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t or "") for t in texts])
+        inside = doc[:-3] == doc[3:]
+        out.append((h[inside].astype(np.int64) + (2 << BITS), doc[:-3][inside].astype(np.int64)))
     return out
 
 
@@ -76,7 +80,7 @@ def _training_rows(labelled: DataFrame):
     def run(it):
         schema = pa.schema([("y", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
         for held in common.chunks(it, lambda r: len(r[1] or "") + 64, 1 << 20):
-            kinds, rows = grams([as_bytes(r[1]) for r in held]), []
+            kinds, rows = grams([r[1] for r in held]), []
             parts: list[list] = [[] for _ in held]
             for col, doc in kinds:
                 at = np.searchsorted(doc, np.arange(len(held) + 1))
@@ -91,20 +95,21 @@ def _training_rows(labelled: DataFrame):
 
     got = labelled.mapInArrow(run, "y int, index binary, value binary").toArrow()
     y = np.asarray(got.column("y").to_pylist(), dtype=np.float64)
-    index = [np.frombuffer(b.as_py(), np.int32).astype(np.int64) for b in got.column("index")]
+    index = [np.frombuffer(b.as_py(), np.int32) for b in got.column("index")]
     value = [np.frombuffer(b.as_py(), np.float32) for b in got.column("value")]
     return y, index, value
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
     """(weights, bias, a, c) or None without two classes.  The sample: labelled rows of least hash of the id."""
-    chosen = labels.select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("y")).where("_k is not null and y in (0, 1)")
+    chosen = labels.select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("y")).where("_k is not null and y in (0, 1)").distinct()
     chosen = chosen.orderBy(F.xxhash64("_k"), "_k", "y").limit(TRAIN_ROWS)
     rows = documents.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k"))
-    y, index, value = _training_rows(rows.select("y", "_t"))
+    common.bound_batches(documents.sparkSession)
+    y, index, value = _training_rows(rows.groupBy("_k", "y").agg(F.min("_t").alias("_t")).select("y", "_t"))  # a row a label at most
     if len(set(y.tolist())) < 2:
         return None
-    order = np.lexsort((np.array([i[:64].sum() for i in index]), [len(i) for i in index]))  # whatever order the tasks came in
+    order = np.lexsort((np.array([i[:64].sum(dtype=np.int64) for i in index]), [len(i) for i in index]))  # whatever order the tasks came in
     held = np.zeros(len(y), bool)
     held[order[:: round(1 / HELD_OUT)]] = True
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
@@ -130,7 +135,7 @@ def judge(documents: DataFrame, model, id_col: str = "doc_id", text_col: str = "
         if shared.value is not None:
             w, b, a, c = shared.value
             z = np.full(len(texts), b)
-            for col, doc in grams([as_bytes(t) for t in texts]):
+            for col, doc in grams(texts):
                 n = np.bincount(doc, minlength=len(texts))
                 z += np.bincount(doc, w[col], minlength=len(texts)) / np.maximum(n, 1)
             p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
