@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTER, NUMBER, OTHER, SPACE, STOP, UNKNOWN = 1, 2, 3, 4, 5, 0
 _STOP_CODE = 0x110000
 #: Pieces over so many code points are encoded without the cache; bytes of pieces that a worker keeps.
-LONG, KEEP = 64, 64 << 20
+LONG, KEEP = 64, 96 << 20
 #: Code points cut at a time.
 CHUNK = 1 << 20
 
