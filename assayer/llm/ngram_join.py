@@ -413,3 +413,18 @@ def _attempt(rows: DataFrame, deal: tuple[int, int], k: int, percent: int, seed:
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every pair that shares a shingle; for tables of thousands of rows.
+ORACLE_NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+sizes AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM sets),
+flat AS (SELECT doc_id, unnest(sh) AS t FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM flat x JOIN flat y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * p.n >= 90 * (x.n + y.n - p.n)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id
+"""

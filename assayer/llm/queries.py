@@ -15,4 +15,4 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLE: dict[str, str] = {"op4_vector_dedup": vector_dedup.ORACLE_VECTOR_DEDUP, "op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP, "op8_line_dedup_pages": line_dedup.ORACLE_LINE_DEDUP_PAGES}
+ORACLE: dict[str, str] = {"op3_ngram_join": ngram_join.ORACLE_NGRAM_JOIN, "op5_warc": warc.ORACLE_WARC, "op4_vector_dedup": vector_dedup.ORACLE_VECTOR_DEDUP, "op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP, "op8_line_dedup_pages": line_dedup.ORACLE_LINE_DEDUP_PAGES}
