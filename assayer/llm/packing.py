@@ -4,7 +4,9 @@ A document is cut into full pieces, each a sequence of its own, and a rest.  Res
 descending length each goes to the sequence of least estimated cost (linear plus quadratic in each piece's length, as
 attention is) that has room; one that fits nowhere is cut to fill the roomiest.  A group's sequences are as few as its
 tokens need, so a group leaves less than one sequence of padding.  Groups are made inside tasks: nothing is shuffled.
-Null text is empty and gives a piece of the end id alone; repeated rows are packed apart; a null id is kept."""
+Null text is empty and gives a piece of the end id alone; repeated rows are packed apart; a null id is kept.  Of rests of
+equal length the earlier row goes first, of sequences of equal cost the earlier one is taken.  Very long texts are full
+pieces and a rest; an empty table has no pieces; other columns don't enter, whatever their names."""
 
 from __future__ import annotations
 
