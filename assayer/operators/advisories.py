@@ -1,4 +1,4 @@
-"""Artifacts x runtimes x advisories: every triple yields one finding."""
+"""Artifacts, runtimes and advisories: every triple is judged, those that can't apply only by count."""
 
 from __future__ import annotations
 
@@ -39,21 +39,49 @@ def in_range(build: Column, version: Column, scheme: Column, bounds: str) -> Col
     return out
 
 
-def findings(artifacts: DataFrame, runtimes: DataFrame, rules: DataFrame) -> DataFrame:
-    """artifacts: artifact_id, has_template.  runtimes: runtime_id, component, build, version, confidence.  Only the
-    distinct facts that rules read are joined with the broadcast rules; artifacts meet their facts again by equality."""
-    facts = artifacts.select(F.col("has_template")).distinct()
-    pairs = facts.crossJoin(F.broadcast(rules)).crossJoin(F.broadcast(runtimes.withColumn("own", component(F.col("component")))))
+def judgements(facts: DataFrame, runtimes: DataFrame, rules: DataFrame, every: bool = False) -> DataFrame:
+    """facts: has_template and other columns, a few rows (the classes of artifacts).  runtimes: runtime_id, component,
+    build, version, confidence.  Rules, tens of rows, meet runtimes by component; a row for each runtime, rule of its
+    component and class.  With ``every``, rules of other components have their rows too, not applicable."""
+    named, own = runtimes.withColumn("own", component(F.col("component"))), F.col("own") == F.col("rule_component")
+    own = named.crossJoin(F.broadcast(rules)) if every else named.join(F.broadcast(rules), own)
+    pairs = own.crossJoin(F.broadcast(facts))
     known = F.when(F.col("scheme") == "build", F.col("build").isNotNull()).otherwise(F.col("version").isNotNull())
     here = lambda bounds: in_range(F.col("build"), F.col("version"), F.col("scheme"), bounds)
     applies = (~F.col("needs_template") | F.col("has_template")) & (F.col("own") == F.col("rule_component"))
     status = F.when(~applies, "not_applicable").when(~known, "unchecked").when(here("affected"), "suspicious").when(here("fixed"), "verified").otherwise("unchecked")
     rank = lambda c: F.when(c == "low", 0).when(c == "medium", 1).otherwise(2)
     least = F.when(rank(F.col("rule_confidence")) <= rank(F.col("confidence")), F.col("rule_confidence")).otherwise(F.col("confidence"))
-    judged = pairs.withColumn("status", status).select(
-        "has_template", "runtime_id", "advisory", "status",
+    return pairs.withColumn("status", status).select(
+        *facts.columns, "runtime_id", "advisory", "status",
         F.when(F.col("status") == "suspicious", F.col("rule_severity")).otherwise("info").alias("severity"),
-        F.when(F.col("status") == "suspicious", least).when(F.col("status") == "unchecked", "low").otherwise("high").alias("found_confidence"),
+        F.when(F.col("status") == "suspicious", least).when(F.col("status") == "unchecked", "low").otherwise("high").alias("confidence"),
         (F.col("status") == "suspicious").alias("mandatory"),
     )
-    return artifacts.select("artifact_id", "has_template").join(judged, "has_template").drop("has_template").withColumnRenamed("found_confidence", "confidence")
+
+
+def findings(artifacts: DataFrame, runtimes: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row for each artifact (artifact_id, has_template), runtime and advisory: for reports of a run.  ``counts`` is for
+    fleets."""
+    facts = artifacts.select("has_template").distinct()
+    return artifacts.select("artifact_id", "has_template").join(judgements(facts, runtimes, rules, every=True), "has_template").drop("has_template")
+
+
+def counts(artifacts: DataFrame, runtimes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(advisory, status, severity, confidence, findings): how many triples came out how, without making them.  Triples of
+    another component are not applicable."""
+    facts = artifacts.groupBy("has_template").agg(F.count("*").alias("artifacts"))
+    judged = judgements(facts, runtimes, rules).groupBy("advisory", "status", "severity", "confidence").agg(F.sum("artifacts").alias("findings"))
+    total = facts.agg(F.sum("artifacts").alias("a")).crossJoin(runtimes.agg(F.count("*").alias("r")))  # a row
+    rest = judged.groupBy("advisory").agg(F.sum("findings").alias("n"))
+    rest = rules.select("advisory").join(rest, "advisory", "left").crossJoin(total).select("advisory", F.lit("not_applicable").alias("status"), F.lit("info").alias("severity"), F.lit("high").alias("confidence"), (F.col("a") * F.col("r") - F.coalesce("n", F.lit(0))).alias("findings"))
+    every = judged.unionByName(rest).groupBy("advisory", "status", "severity", "confidence").agg(F.sum("findings").alias("findings"))
+    return every.where("findings > 0")
+
+
+def from_bundle(rules: DataFrame) -> DataFrame:
+    """Rules of a loaded bundle in the form of ``advisories``; a predicate on the chat template is the one that artifacts
+    differ in here."""
+    bounds = lambda side: F.struct(*(F.try_element_at(F.col(side), F.lit(k)).alias(k) for k in ("gt", "gte", "lt", "lte"))).alias(side)
+    template = F.exists("predicates", lambda p: p["field"].startswith("has_chat_template") & ((p["operator"] == "present") | (p["value"] == "true")))
+    return rules.select(F.col("id").alias("advisory"), F.lower(F.trim("component")).alias("rule_component"), F.when(F.col("version_scheme") == "semver", "semver").otherwise("build").alias("scheme"), bounds("affected"), bounds("fixed"), template.alias("needs_template"), F.col("severity").alias("rule_severity"), F.col("confidence").alias("rule_confidence"))

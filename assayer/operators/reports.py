@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -33,10 +34,14 @@ def write_atomically(text: str, path: str) -> None:
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """(id, rule_index, level, summary): the first finding of each id, numbered in order of appearance (column seq)."""
-    first = findings.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).where("_n = 1")
-    numbered = first.select("id", "seq", sarif_level(F.col("severity")).alias("level"), "summary")
-    return numbered.withColumn("rule_index", F.row_number().over(Window.orderBy("seq")) - 1).drop("seq")
+    """(id, rule_index, level, summary): the first finding of each id, numbered in order of appearance (column seq).  Ids
+    are numbered within ranges of seq, and ranges by the ids before them, so no task sees all ids."""
+    first = findings.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by(F.struct("severity", "summary"), "seq").alias("f"))
+    sorted_ids = first.repartitionByRange("seq").withColumn("_part", F.spark_partition_id())
+    counts = sorted_ids.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    numbered = sorted_ids.join(F.broadcast(before), "_part").withColumn("rule_index", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1)
+    return numbered.select("id", sarif_level(F.col("f.severity")).alias("level"), F.col("f.summary").alias("summary"), F.col("rule_index").cast("int").alias("rule_index"))
 
 
 def sarif_results(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def sarif_results(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
     paths = artifacts.select(F.col("path").alias("_p")).distinct()
     head = artifacts.orderBy("seq").limit(1).select(F.col("path").alias("_first"))
     rows = findings.where(F.col("status").isin("suspicious", "error")).join(paths, F.col("path") == F.col("_p"), "left")
-    rows = rows.crossJoin(F.broadcast(head)).join(F.broadcast(rules), F.col("id") == F.col("rule_id"))  # head: one row; rules: one row a kind of finding
+    rows = rows.crossJoin(F.broadcast(head)).join(rules, F.col("id") == F.col("rule_id"))  # head: one row
     return rows.select("rule_id", "rule_index", sarif_level(F.col("severity")).alias("level"), F.col("summary").alias("message"), F.coalesce("_p", "_first").alias("uri"))
 
 
@@ -58,3 +63,116 @@ def report_rows(findings: DataFrame, by: list[str]) -> DataFrame:
 
 def markdown_escape(text):
     return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")
+
+
+def explain(findings: DataFrame, ident: str) -> DataFrame:
+    """The first finding of an id."""
+    return findings.where(F.col("id") == ident).orderBy("seq").limit(1)
+
+
+def previews(text, most: int = 200):
+    """The first characters of a value, by code points."""
+    return F.substring(text, 1, most)
+
+
+def status_counts(findings: DataFrame, by: list[str]) -> DataFrame:
+    return findings.groupBy(*by).agg(F.count_if(F.col("status") == "suspicious").alias("suspicious"), F.count_if(F.col("status") == "error").alias("errors"))
+
+
+def errors_by_place(findings: DataFrame, by: list[str], place: str) -> DataFrame:
+    """(by, place, errors): the ids of a place's errors in order of appearance."""
+    rows = findings.where(F.col("status") == "error").groupBy(*by, place).agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("e"))
+    return rows.select(*by, place, F.transform("e", lambda x: x["id"]).alias("errors"))
+
+
+def needs(findings: DataFrame, by: list[str]) -> DataFrame:
+    """Whether findings bear on the network or call for a sandbox, by their ids."""
+    some = lambda *words: F.bool_or(F.col("id").rlike("|".join(words)))
+    return findings.groupBy(*by).agg(some("bind_all_interfaces", "api_key").alias("network"), some("template\\.", "CVE", "GHSA").alias("sandbox"))
+
+
+def summaries(findings: DataFrame, verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, verdict, summary): a sentence with the number of suspicious findings and the first of them."""
+    bad = F.col("status") == "suspicious"
+    rows = findings.groupBy(*by).agg(F.count_if(bad).alias("n"), F.min_by(F.struct("id", "summary"), F.when(bad, F.col("seq"))).alias("f"))
+    said = F.when(F.col("n") > 0, F.concat(F.lit("Verdict: "), "verdict", F.lit(". "), F.col("n").cast("string"), F.lit(" suspicious finding(s). First: "), "f.id", F.lit(" — "), F.coalesce("f.summary", F.lit("")))).otherwise(F.concat(F.lit("Verdict: "), "verdict", F.lit(". No suspicious findings.")))
+    return verdicts.join(rows.withColumn("n", F.coalesce("n", F.lit(0))), by, "left").fillna({"n": 0}).select(*by, "verdict", said.alias("summary"))
+
+
+def missing_core(findings: DataFrame, by: list[str], core: tuple[str, ...]) -> DataFrame:
+    """(by, missing, gaps, checked): core checks without a row, those with rows but none positive, and all that ran."""
+    good = F.col("status").isin("verified", "clean", "not_applicable")
+    rows = findings.groupBy(*by).agg(F.collect_set("check").alias("checked"), F.collect_set(F.when(good, F.col("check"))).alias("positive"))
+    wanted = F.array(*map(F.lit, core))
+    gaps = F.array_except(F.array_intersect(wanted, "checked"), "positive")
+    return rows.select(*by, F.array_sort(F.array_except(wanted, "checked")).alias("missing"), F.array_sort(gaps).alias("gaps"), F.array_sort(F.array_union("checked", F.array())).alias("checked"))
+
+
+# Documents of one run, whose findings a caller has collected: bounded by what a run reports.
+LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note"}
+
+
+def in_order(findings: list[dict]) -> list[dict]:
+    return [f for _, f in sorted(enumerate(findings), key=lambda x: (x[1]["id"], x[0]))]
+
+
+def projection(report: dict) -> dict:
+    """What of a report doesn't depend on when it was made: findings by id, coverage and limitations, no timings."""
+    counts = {s: sum(f["status"] == s for f in report["findings"]) for s in ("verified", "clean", "suspicious", "unchecked", "not_applicable", "error")}
+    own = {k: v for k, v in report.items() if k not in ("observations", "began", "seconds")}
+    return own | {"findings": in_order(report["findings"]), "coverage": counts | {"total": len(report["findings"])}, "limitations": ["Static checks only: nothing was loaded or executed.", "A verdict covers the checks that were performed."]}
+
+
+def sarif(report: dict, tool: str = "assayer", version: str = "1") -> dict:
+    """A SARIF 2.1.0 document: a rule for the first finding of each id, results for what is suspicious or failed."""
+    rules: dict[str, dict] = {}
+    for f in report["findings"]:
+        text = f.get("summary") or f["id"]
+        rules.setdefault(f["id"], {"id": f["id"], "shortDescription": {"text": text}, "fullDescription": {"text": text}, "defaultConfiguration": {"level": LEVELS.get(f["severity"], "none")}, "properties": {"tags": [f["check"]]}})
+    number, paths = {k: i for i, k in enumerate(rules)}, [a["path"] for a in report.get("artifacts", [])]
+    results = []
+    for f in report["findings"]:
+        if f["status"] in ("suspicious", "error"):
+            place = f.get("path") if f.get("path") in paths else paths[0] if paths else None
+            where = {"locations": [{"physicalLocation": {"artifactLocation": {"uri": place}}}]} if place else {}
+            results.append({"ruleId": f["id"], "ruleIndex": number[f["id"]], "level": LEVELS.get(f["severity"], "none"), "message": {"text": f.get("summary") or f["id"]}, **where})
+    run = {"tool": {"driver": {"name": tool, "version": version, "rules": list(rules.values())}}, "results": results, "artifacts": [{"location": {"uri": p}} for p in paths], "properties": {"verdict": report["verdict"]}, "invocations": [{"executionSuccessful": report["exit_code"] < 3, "exitCode": report["exit_code"]}]}
+    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
+
+
+def escaped(text) -> str:
+    return re.sub(r"([\\`*_\[\]<>|])", r"\\\1", str(text))
+
+
+def markdown(report: dict) -> str:
+    """Verdict, artifacts, and findings by status, worst first."""
+    out = [f"# Verdict: {escaped(report['verdict'])}", "", *(f"- {escaped(a['path'])}" for a in report.get("artifacts", [])), ""]
+    for status in ("suspicious", "error", "unchecked", "verified", "clean", "not_applicable"):
+        rows = [f for f in in_order(report["findings"]) if f["status"] == status]
+        if rows:
+            out += [f"## {status} ({len(rows)})", "", "| id | severity | summary |", "|-|-|-|", *(f"| {escaped(f['id'])} | {f['severity']} | {escaped(f.get('summary') or '')} |" for f in rows), ""]
+    return "\n".join(out) + "\n"
+
+
+def terminal(report: dict, notes: int = 10) -> str:
+    """A short text: verdict, what is suspicious, errors by place, mandatory gaps, some notes, coverage and advice."""
+    found = in_order(report["findings"])
+    pick = lambda s: [f for f in found if f["status"] == s]
+    out = [f"Verdict: {report['verdict']}"]
+    out += [f"  ! {f['id']} [{f['severity']}] {f.get('summary') or ''}" for f in pick("suspicious")]
+    for place in dict.fromkeys(f.get("path") or "" for f in pick("error")):
+        out += [f"  errors in {place or 'the run'}:", *(f"    {f['id']} {f.get('summary') or ''}" for f in pick("error") if (f.get("path") or "") == place)]
+    out += [f"  gap: {f['id']}" for f in pick("unchecked") if f["mandatory"]]
+    rest = [f for f in pick("unchecked") if not f["mandatory"]]
+    out += [f"  note: {f['id']}" for f in rest[:notes]] + ([f"  and {len(rest) - notes} more"] if len(rest) > notes else [])
+    counts = projection(report)["coverage"]
+    out.append("  " + ", ".join(f"{k} {v}" for k, v in counts.items() if v))
+    out += [f"  advice [{r['priority']}]: {r['title']}" for r in report.get("recommendations", [])[:5]]
+    return "\n".join(out) + "\n"
+
+
+def agent(report: dict) -> dict:
+    """What a program that asked needs: verdict, a sentence, findings, facts."""
+    bad = [f for f in report["findings"] if f["status"] == "suspicious"]
+    said = f"Verdict: {report['verdict']}. " + (f"{len(bad)} suspicious finding(s). First: {bad[0]['id']} — {bad[0].get('summary') or ''}" if bad else "No suspicious findings.")
+    return {k: report.get(k) for k in ("verdict", "exit_code", "artifacts", "runtimes", "findings", "bundle")} | {"summary": said}

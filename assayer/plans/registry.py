@@ -42,6 +42,12 @@ def read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df):
+    """A table that comes in fewer partitions than there are cores, dealt to all: patterns cost more than moving rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _quote(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -51,7 +57,7 @@ def _detector(family: str, text, sql: str, table: str, key: str) -> None:
     own, first = rules.FAMILIES[family], family in rules.FIRST_ONLY
 
     def run(spark, sf_dir):
-        df = read(spark, sf_dir, table).select(key, text().alias("t"))
+        df = dealt(read(spark, sf_dir, table).select(key, "text")).select(key, text().alias("t"))
         return df.select(key, F.explode(rules.hits(F.col("t"), own, first)).alias("h")).select(key, "h.rule", "h.severity")
 
     match = lambda r: f"regexp_matches(t, {_quote(r.sql)})"
@@ -66,13 +72,13 @@ def _detector(family: str, text, sql: str, table: str, key: str) -> None:
 for _family in ("rules_file", "companion", "model_card", "metadata", "runtime_flags", "supply_chain"):
     _detector(_family, spark_text, sql_text(), "documents", "doc_id")
 QUERIES["detect_template_text"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.explode(rules.hits(spark_text(), rules.TEMPLATE_TEXT)).alias("h")).select("doc_id", "h.rule", "h.severity")
-ORACLE["detect_template_text"] = f"SELECT doc_id, 'poison_dangerous_function' AS rule, 'high' AS severity FROM (SELECT doc_id, {sql_text()} AS t FROM documents) WHERE regexp_matches(t, '(?i)(?:os\\.system|os\\.environ|subprocess\\.|__import__|eval\\(|exec\\(|compile\\()')"
+ORACLE["detect_template_text"] = f"WITH s AS (SELECT doc_id, {sql_text()} AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, {_quote(r.name)} AS rule, '{r.severity}' AS severity FROM s WHERE regexp_matches(t, {_quote(r.sql)})" for r in rules.TEMPLATE_TEXT)
 
 
 # Verdicts.
 def document_findings(spark, sf_dir):
     """Findings of seeded documents, and rows for the core checks by a rule on the id."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", spark_text().alias("t"))
+    docs = dealt(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", spark_text().alias("t"))
     cols = ["doc_id", "source", "status", "severity", "classification", "check", "mandatory"]
     hit = docs.select("doc_id", "source", F.explode(F.concat(rules.hits(F.col("t"), rules.RULES_FILE, True), rules.hits(F.col("t"), rules.COMPANION))).alias("h"))
     found = hit.select("doc_id", "source", F.when(F.col("h.severity") == "high", "suspicious").otherwise("unchecked").alias("status"), "h.severity", F.when(F.col("doc_id") % 3 == 0, "medium").otherwise("high").alias("classification"), F.lit("companion_config").alias("check"), (F.col("h.severity") == "high").alias("mandatory"))
@@ -156,7 +162,7 @@ def advisory_join(spark, sf_dir):
     names = F.when(s % 5 == 0, " Llama-Server").when(s % 5 == 1, "ollama").when(s % 5 == 2, "sglang").when(s % 5 == 3, "llama-cpp-python").otherwise("llama-cli")
     version = F.when(s % 11 != 0, F.concat(F.lit("v0."), (s % 18).cast("string"), F.lit("."), (s % 75).cast("string")))
     runtimes = read(spark, sf_dir, "supplier").select(s.alias("runtime_id"), names.alias("component"), F.when(s % 7 != 0, s * 997 % 9500).alias("build"), version.alias("version"), F.when(s % 3 == 0, "low").when(s % 3 == 1, "medium").otherwise("high").alias("confidence"))
-    return advisories.findings(artifacts, runtimes, advisories.advisories(spark)).groupBy("advisory", "status", "severity", "confidence").agg(F.count("*").alias("findings"))
+    return advisories.counts(artifacts, runtimes, advisories.advisories(spark))
 
 
 # Tensors.
@@ -238,7 +244,7 @@ def _identity_sql(patterns, flags="im"):
 
 @query("runtime_identity", f"WITH s AS (SELECT doc_id, {sql_text()} AS t FROM documents) SELECT doc_id, CAST({_identity_sql(scalars.BUILD)} AS BIGINT) AS build, {_identity_sql(scalars.VERSION)} AS version, lower({_identity_sql(scalars.COMMIT)}) AS \"commit\" FROM s")
 def runtime_identity(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", scalars.identity(spark_text()).alias("i")).select("doc_id", "i.*")
+    return dealt(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", scalars.identity(spark_text()).alias("i")).select("doc_id", "i.*")
 
 
 @query("executable_formats", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'elf' WHEN 1 THEN 'mach-o' WHEN 2 THEN 'pe' END AS format FROM events")
@@ -270,3 +276,6 @@ def template_evidence(spark, sf_dir):
     plant = F.element_at(F.array(*map(F.lit, plants)), (F.col("doc_id") % len(plants) + 1).cast("int"))
     df = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.translate("text", "{}", "()"), plant).alias("t"))
     return scan(df, "doc_id", "t").select("doc_id", "seq", "kind", "node_type", "severity")
+
+
+from assayer.plans import inspections  # noqa: E402, F401  registers its queries here
