@@ -27,7 +27,7 @@ RUN = 1 << 19
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("sub", pa.int32()), ("blob", pa.binary())])
 ROWS = "bucket int, kind byte, sub int, blob binary"
 FIELDS = "doc_id long, size long, d1 long, d2 long, shared binary"
-WITNESS, ASKING, FOUND, DOCUMENT, SET = 0, 1, 2, 3, 4
+WITNESS, ASKING, FOUND, DOCUMENT, SET, HOT = 0, 1, 2, 3, 4, 5
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -146,14 +146,15 @@ def by_sub(it, forward: tuple[int, ...] = ()):
     yield handed, None
 
 
-def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64, keep_key: bool = True, percent: int = 0) -> DataFrame:
+def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64, keep_key: bool = True, percent: int = 0, hot: int = 0) -> DataFrame:
     """``extract(rows)`` gives for a list of rows (doc_id, text): keys (uint64), the row number of each and a uint32 for
     each; for each row the id of its set (int64) and whether it has one; and arrays to hand on with each row (doc_id,
     null mark, size, d1, d2), or None.
 
     Result: a row per set, with ``size`` and ``d1`` its id (``doc_id`` too), ``shared`` holding the shared keys (uint64)
     or, without ``keep_key``, the values given with them (uint32); and, if rows are handed on, a row for each without
-    ``shared``.  With ``percent``, only sets of which so much is shared have a row."""
+    ``shared``.  With ``percent``, only sets of which so much is shared have a row.  With ``hot``, keys that stand in
+    so many places have a row: ``d1`` the key, ``d2`` the number of places, no ``size``."""
     common.bound_batches(rows.sparkSession)
     targets, shift, total = common.partition_keys(n), np.uint64(64 - bits), n * subs
 
@@ -169,8 +170,9 @@ def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64,
         for b, at in split(doc_bucket(sets[local], total) % n, n):
             yield int(targets[b]), FOUND, 0, pack(sets[local][at], known[local][at])
         witness = keys[start[many]]
+        held = np.diff(np.append(start, len(keys)))[many].astype(np.uint32)
         for b, at in split(spread(witness, total) % n, n):
-            yield int(targets[b]), WITNESS, 0, _encode(WITNESS, [witness[at]])
+            yield int(targets[b]), WITNESS, 0, _encode(WITNESS, [witness[at], held[at]])
         keys, sets, values = keys[~local], sets[~local], values[~local]
         for b, at in split(spread(keys, total) % n, n):
             ask = [keys[at], sets[at]]
@@ -205,7 +207,16 @@ def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64,
         for handed, group in by_sub(it, (FOUND, DOCUMENT, SET)):
             yield from common.batches(handed or [], _ROWS, 256)
             asked = [_decode(ASKING, r[3]) for r in group or () if r[1] == ASKING]
-            witnesses = [_decode(WITNESS, r[3])[0] for r in group or () if r[1] == WITNESS]
+            counted = [_decode(WITNESS, r[3]) for r in group or () if r[1] == WITNESS]
+            witnesses = [x[0] for x in counted]
+            if hot and counted:
+                # Without a witness a key stands in one set a run, which is too few to be hot.
+                seen = [*witnesses, *(x[0] for x in asked)]
+                each, at = np.unique(np.concatenate(seen), return_inverse=True)
+                number = np.bincount(at, np.concatenate([*(x[1] for x in counted), *(np.ones(len(x[0])) for x in asked)]), minlength=len(each))
+                much = number >= hot
+                if much.any():
+                    yield from common.batches([(int(targets[0]), HOT, -1, pack(each[much], number[much].astype(np.int64)))], _ROWS, 256)
             if not asked:
                 continue
             group.clear()
@@ -226,8 +237,13 @@ def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64,
 
     def by_set(it):
         schema = pa.schema([(f.split()[0], pa.binary() if "binary" in f else pa.int64()) for f in FIELDS.split(", ")])
-        for handed, group in by_sub(it, (DOCUMENT,)):
-            for _, _, _, blob in handed or ():
+        for handed, group in by_sub(it, (DOCUMENT, HOT)):
+            for _, kind, _, blob in handed or ():
+                if kind == HOT:
+                    key, number = unpack(blob)
+                    none = pa.nulls(len(key), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(key.view(np.int64)), pa.array(number), pa.nulls(len(key), pa.binary())], schema=schema)
+                    continue
                 doc, null, size, d1, d2 = unpack(blob)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), pa.nulls(len(doc), pa.binary())], schema=schema)
             found = [unpack(r[3]) for r in group or () if r[1] == FOUND]

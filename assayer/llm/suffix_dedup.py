@@ -5,10 +5,13 @@ equal anchors, so only suffixes that start at anchors are sorted, and only those
 has too.  Each task sorts its suffixes and sends front-coded runs to the grams' partitions; there loser trees merge the
 runs by the common prefixes they already know and never compare those bytes again.  Neighbours that share less than a
 gram part groups; in a group, windows are compared whole and all but the least document's are removed.  What repeats
-inside a task's own run is settled there, and one witness is sent.
+inside a task's own run is settled there, and one witness is sent.  A gram that stands in very many places (``HOT``, say at
+the edge of a passage, with another text before it each time) would be one task's group: its suffixes are not merged,
+their windows go by a cryptographic digest of the 50 bytes to all tasks, each run's least document only.
 
-Null text: empty.  Texts under 50 bytes lose nothing.  An id is a key: rows that repeat one must repeat its text and are
-treated alike; rows with a null id neither lose bytes nor count as earlier documents."""
+Null text: empty.  Texts under 50 bytes lose nothing, very long ones are taken whole.  An id is a key: rows that repeat
+one must repeat its text and are treated alike; rows with a null id neither lose bytes nor count as earlier documents.
+An empty table has no spans; other columns don't enter, whatever their names."""
 
 from __future__ import annotations
 
@@ -20,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import common
-from assayer.llm.shared_keys import doc_bucket, layout, pack, shared_keys, unpack
+from assayer.llm.shared_keys import doc_bucket, layout, pack, shared_keys, split, unpack
 from assayer.llm.words import as_bytes, mix
 
 LENGTH, GRAM = 50, 24
 #: Suffixes of a run.
 RUN = 1 << 17
+#: Places that make a gram hot, at least; and hot grams at most: where there would be more, more places make one.
+HOT, MOST_HOT = 20_000, 100_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -49,12 +54,13 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if len(data) < LENGTH:
         return data, bounds, none, none, none, np.zeros(0, np.uint64)
     h = _gram_hashes(data)
-    low, at, width, want = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32), 1, LENGTH - GRAM + 1
+    # The hash above the place: of equal hashes the leftmost is the least.
+    least, width, want = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1, LENGTH - GRAM + 1
     while width < want:
         step = min(width, want - width)
-        left = low[:-step] <= low[step:]
-        low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
+        least = np.minimum(least[:-step], least[step:])
         width += step
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int32)
     ok = np.zeros(len(at), dtype=bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         ok[a : max(a, b - LENGTH + 1)] = True
@@ -201,11 +207,11 @@ def settle(group: list[tuple[bytes, bytes, int, int]]):
 
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
-_RUN, _SPANS = 0, 1
+_RUN, _SPANS, _WINDOWS = 0, 1, 2
 
 
-def _spans_out(spans: list, n: int, targets: np.ndarray) -> list:
-    if not spans:
+def _spans_out(spans: list | np.ndarray, n: int, targets: np.ndarray) -> list:
+    if not len(spans):
         return []
     a = np.array(spans, dtype=np.int64)
     bucket = doc_bucket(a[:, 0], n)
@@ -218,18 +224,47 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, spans): the byte spans to remove, ascending and apart, as int32 pairs; documents that lose none are absent."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n, subs = layout(df, 4)
+    n, subs = layout(df, 8)
     targets = common.partition_keys(n)
-    keys = shared_keys(rows, _extract, n, subs, bits=48, keep_key=False).select("doc_id", "shared")
-    keys = common.save(keys, "anchors")
+    # There is an anchor for a dozen bytes or so; text is stored in a half of its size, or less.
+    size = common.plan_bytes(df)
+    table = common.save(shared_keys(rows, _extract, n, subs, bits=48, keep_key=False, hot=max(HOT, size // (4 * MOST_HOT) if size < 1 << 60 else 0)), "anchors")
+    keys = table.where("shared is not null").select("doc_id", "shared")
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in table.where("shared is null").select("d1").collect()], np.int64).view(np.uint64)))  # MOST_HOT by order of size
     common.release(spark)
 
     def sort_runs(it):
         held: dict[tuple[bytes, bytes], list] = {}
+        warm: dict[tuple[bytes, bytes], list] = {}
         count = 0
 
+        def windows():
+            """Spans that a lesser document of the run has too, and rows of the windows that are left."""
+            spans, least, rows = [], {}, []
+            for (suffix, left), found in warm.items():
+                s, first = left + suffix, min(x[0] for x in found)
+                marks = [hashlib.blake2b(s[q : q + LENGTH], digest_size=16).digest() for q in range(len(s) - LENGTH + 1)]
+                for doc, place in found:
+                    if doc != first:
+                        spans.append((doc, place, place + len(s)))
+                        continue
+                    for q, mark in enumerate(marks):
+                        rows.append((mark, doc, place + q))
+                        if least.get(mark, doc) >= doc:
+                            least[mark] = doc
+            warm.clear()
+            spans += [(doc, p, p + LENGTH) for mark, doc, p in rows if doc != least[mark]]
+            rows = [r for r in rows if r[1] == least[r[0]]]
+            if not rows:
+                return spans, []
+            marks = np.frombuffer(b"".join(r[0] for r in rows), np.uint64).reshape(-1, 2)
+            a, b = np.ascontiguousarray(marks[:, 0]), np.ascontiguousarray(marks[:, 1])
+            doc, place = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32)
+            return spans, [(int(targets[t]), _WINDOWS, pack(a[at], b[at], doc[at], place[at])) for t, at in split((a % np.uint64(n)).astype(np.int64), n)]
+
         def flush():
-            spans, out = [], [[] for _ in range(n)]
+            spans, sent = windows()
+            out = [[] for _ in range(n)]
             for (suffix, left), found in held.items():
                 least = min(x[0] for x in found)
                 for doc, place, b in found:
@@ -238,7 +273,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     else:
                         spans.append((doc, place, place + len(left) + len(suffix)))
             held.clear()
-            sent = _spans_out(spans, n, targets)
+            sent += _spans_out(spans, n, targets)
             for b, items in enumerate(out):
                 if items:
                     items.sort()
@@ -252,22 +287,39 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keep = np.isin(place, np.concatenate(own)) if own else np.zeros(len(place), bool)
             raw = data.tobytes()
             bucket = (mix(h[keep]) % np.uint64(n)).tolist()
-            for a, p, q, i, b in zip(place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), row[keep].tolist(), bucket):
-                held.setdefault((raw[a : q + LENGTH], raw[p:a]), []).append((part[i][0], p - int(bounds[i]), b))
+            known, low = hot.value, (h[keep] >> np.uint64(16)) << np.uint64(16)
+            many = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low if len(known) else np.zeros(len(low), bool)
+            for a, p, q, i, b, m in zip(place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), row[keep].tolist(), bucket, many.tolist()):
+                if m:
+                    warm.setdefault((raw[a : q + LENGTH], raw[p:a]), []).append((part[i][0], p - int(bounds[i])))
+                else:
+                    held.setdefault((raw[a : q + LENGTH], raw[p:a]), []).append((part[i][0], p - int(bounds[i]), b))
             count += int(keep.sum())
             if count >= RUN:
                 yield from common.batches(flush(), _ROWS, 256)
                 count = 0
-        if held:
+        if held or warm:
             yield from common.batches(flush(), _ROWS, 256)
 
     def merge_runs(it):
-        runs = []
+        runs, digests = [], []
         for b in it:
             forward = []
             for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
-                runs.append(blob) if kind == _RUN else forward.append((bucket, kind, blob))
+                if kind == _WINDOWS:
+                    digests.append(unpack(blob))
+                else:
+                    runs.append(blob) if kind == _RUN else forward.append((bucket, kind, blob))
             yield from common.batches(forward, _ROWS, 256)
+        if digests:
+            x, y, doc, place = (np.concatenate(c) for c in zip(*digests))
+            digests.clear()
+            order = np.lexsort((doc, y, x))
+            x, y, doc, place = x[order], y[order], doc[order], place[order]
+            start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            later = doc != np.repeat(doc[start], np.diff(np.append(start, len(doc))))
+            at = place[later].astype(np.int64)
+            yield from common.batches(_spans_out(np.stack([doc[later], at, at + LENGTH], axis=1), n, targets), _ROWS, 256)
         group: list = []
         spans: list = []
         for lcp, suffix, left, doc, place in merge([front_decode(r) for r in runs]) if runs else ():

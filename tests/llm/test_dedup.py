@@ -150,6 +150,29 @@ def test_suffix_dedup_random(spark, tmp_path):
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect()} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_grams(spark, tmp_path, monkeypatch, hot):
+    """A passage with other text around it each time, and text of few letters: windows of hot grams go by digest."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(14)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, blocks = letters(80), ["".join(rng.choice("ab") for _ in range(60)) for _ in range(6)]
+    rows = [(i * 7 % 101, f"{letters(rng.randint(0, 90))}{passage}{letters(rng.randint(0, 90))}" if i % 3 else "".join(rng.choice(blocks) for _ in range(4))) for i in range(90)]
+    rows += [(200, None), (201, passage), (202, passage * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect()} == brute_repeats(rows)
+
+
+def test_suffix_dedup_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, very long texts."""
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(400_000))
+    rows = [(None, long), (1, long), (1, long), (2, long[1000:] + "x"), (None, None), (3, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 0), (0, 400_000, 0), (1, 400_000, 0), (1, 400_000, 0), (2, 399_001, 399_000), (3, 1, 0)]
+
+
 def test_remove_repeats_keeps_columns(documents, empty):
     left = suffix_dedup.remove_repeats(documents)
     assert left.columns == documents.columns and left.count() == documents.count()
