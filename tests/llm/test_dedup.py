@@ -83,17 +83,13 @@ def test_hashes_of_regular_words(spark):
 
 
 def test_wrong_links_are_found(documents, rows, monkeypatch):
-    """With hashes of three bits links come up that aren't there; the words tell, and another seed is taken."""
-    plain, seeds = ngram_join.shingle_sets, []
-
-    def few_bits(texts, k, seed=0):
-        keys, doc = plain(texts, k, seed)
-        seeds.append(seed)
-        return (keys >> np.uint64(61) if seed == 0 else keys), doc
-
-    monkeypatch.setattr(ngram_join, "shingle_sets", few_bits)
-    links = documents.sparkSession.createDataFrame([(rows[0][0], rows[1][0])], "a long, b long")
-    assert ngram_join._wrong(links, documents.select("doc_id", "text"), 3, 90)
+    """A link that the words don't bear out is found, and then another seed is taken."""
+    make = lambda *ids: documents.sparkSession.createDataFrame([tuple(rows[i][0] for i in ids)], "a long, b long")
+    texts = documents.select("doc_id", "text")
+    assert ngram_join._wrong(make(0, 1), texts, 3, 90) and not ngram_join._wrong(make(2, 7), texts, 3, 90)
+    seeds = []
+    monkeypatch.setattr(ngram_join, "_attempt", lambda rows, deal, k, percent, seed: seeds.append(seed) or (rows if seed == 2 else None))
+    assert ngram_join.similar_sets(documents).count() == len(rows) and seeds == [0, 1, 2]
 
 
 def test_partitions_split_in_tasks(documents, rows, monkeypatch):
