@@ -4,7 +4,10 @@ Encoding walks a piece once.  Aho-Corasick gives the longest token that starts a
 compatible with the one before it, that is, if merging would never join across their border; else the next shorter
 prefix token is tried, and where none is left the walk steps back a token and never enters that position that way again.
 Compatible neighbours everywhere are exactly the merge result.  Decoding gathers bytes by a table of offsets.
-Null text is empty: no ids, and the digests of nothing."""
+Null text is empty: no ids, and the digests of nothing.  Ids are kept, null ones too; repeated rows are rows of their
+own, with equal results.  Very long texts are encoded whole, and merges are unique, so there are no ties.  An empty table
+gives no rows; other columns don't enter, whatever their names.  Tokenizer files with a normalizer, or another
+pre-tokenizer than the one in ``pretokens``, are refused."""
 
 from __future__ import annotations
 

@@ -1,4 +1,13 @@
-"""Five stages over the documents table; each writes its result and reads it back for the next."""
+"""Five stages over the documents table; each writes its result and reads it back for the next.
+
+Every stage but the last returns the columns of its input, whatever their names; ``n_chars``, where there is one, follows
+the text that is left.  Null text and text of few words is rejected by the quality rules, so later stages see none; a
+document that loses all its lines or bytes stays, with what is left of it, and packing gives it a piece.  Whole texts go
+through, however long.  Rows with a null id are judged by the quality rules and line dedup, are like no other document,
+lose no repeats and are packed.  Documents that repeat an id must repeat their text: the quality rules judge and line
+dedup counts each, the join keeps or drops them together, suffix dedup treats them alike and packing packs them apart.
+Of documents of equal content, and of a group of similar ones, the least id stays.  An empty table passes through every
+stage as an empty table; without usable labels the base rules alone decide."""
 
 from __future__ import annotations
 
