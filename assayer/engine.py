@@ -130,9 +130,12 @@ def check(spark: SparkSession, targets: list[str], runtime: str | None = None, r
         known = [r.asDict() for r in identified.select("runtime", "component", "format", "build", "version", "commit", "method", "confidence", "flags").collect()]
         done("runtime")
         if models:
-            rows = headers.select(F.col("path").alias("artifact_id"), F.col("chat_template").isNotNull().alias("has_template"))
-            table = advisories.from_bundle(bundle.table(spark)) if bundle else advisories.advisories(spark)
-            joined = advisories.findings(rows, identified.select(F.col("runtime").alias("runtime_id"), "component", "build", "version", "confidence"), table)
+            rows = headers.where("error_class is null").withColumnRenamed("path", "artifact_id").withColumn("has_chat_template", F.col("chat_template").isNotNull())
+            about = identified.select(F.col("runtime").alias("runtime_id"), "component", "build", "version", "confidence")
+            if bundle:
+                joined = advisories.findings_by_predicates(rows, about, advisories.from_bundle(bundle.table(spark)))
+            else:
+                joined = advisories.findings(rows.withColumnRenamed("has_chat_template", "has_template"), about, advisories.advisories(spark))
             parts.append(shaped(joined.select(F.col("artifact_id").alias("path"), F.concat(F.lit("join."), "advisory").alias("id"), F.lit("runtime_advisory_join").alias("check"), "status", "severity", F.col("confidence").alias("classification"), "mandatory")))
             done("advisories")
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import compare_versions, component, version_key
+from assayer.operators import knowledge
 
 # The published ranges.  (id, component, scheme, affected, fixed, needs a chat template, severity, confidence)
 ADVISORIES = (
@@ -39,16 +40,17 @@ def in_range(build: Column, version: Column, scheme: Column, bounds: str) -> Col
     return out
 
 
-def judgements(facts: DataFrame, runtimes: DataFrame, rules: DataFrame, every: bool = False) -> DataFrame:
+def judgements(facts: DataFrame, runtimes: DataFrame, rules: DataFrame, every: bool = False, holds: Column | None = None) -> DataFrame:
     """facts: has_template and other columns, a few rows (the classes of artifacts).  runtimes: runtime_id, component,
     build, version, confidence.  Rules, tens of rows, meet runtimes by component; a row for each runtime, rule of its
-    component and class.  With ``every``, rules of other components have their rows too, not applicable."""
+    component and class.  With ``every``, rules of other components have their rows too, not applicable.  ``holds``:
+    whether a rule is for a class, if not by its need of a template."""
     named, own = runtimes.withColumn("own", component(F.col("component"))), F.col("own") == F.col("rule_component")
     own = named.crossJoin(F.broadcast(rules)) if every else named.join(F.broadcast(rules), own)
     pairs = own.crossJoin(F.broadcast(facts))
     known = F.when(F.col("scheme") == "build", F.col("build").isNotNull()).otherwise(F.col("version").isNotNull())
     here = lambda bounds: in_range(F.col("build"), F.col("version"), F.col("scheme"), bounds)
-    applies = (~F.col("needs_template") | F.col("has_template")) & (F.col("own") == F.col("rule_component"))
+    applies = (~F.col("needs_template") | F.col("has_template") if holds is None else holds) & (F.col("own") == F.col("rule_component"))
     status = F.when(~applies, "not_applicable").when(~known, "unchecked").when(here("affected"), "suspicious").when(here("fixed"), "verified").otherwise("unchecked")
     rank = lambda c: F.when(c == "low", 0).when(c == "medium", 1).otherwise(2)
     least = F.when(rank(F.col("rule_confidence")) <= rank(F.col("confidence")), F.col("rule_confidence")).otherwise(F.col("confidence"))
@@ -80,8 +82,24 @@ def counts(artifacts: DataFrame, runtimes: DataFrame, rules: DataFrame) -> DataF
 
 
 def from_bundle(rules: DataFrame) -> DataFrame:
-    """Rules of a loaded bundle in the form of ``advisories``; a predicate on the chat template is the one that artifacts
-    differ in here."""
+    """Rules of a loaded bundle in the form of ``advisories``, with their predicates in place of the need of a template."""
     bounds = lambda side: F.struct(*(F.try_element_at(F.col(side), F.lit(k)).alias(k) for k in ("gt", "gte", "lt", "lte"))).alias(side)
-    template = F.exists("predicates", lambda p: p["field"].startswith("has_chat_template") & ((p["operator"] == "present") | (p["value"] == "true")))
-    return rules.select(F.col("id").alias("advisory"), F.lower(F.trim("component")).alias("rule_component"), F.when(F.col("version_scheme") == "semver", "semver").otherwise("build").alias("scheme"), bounds("affected"), bounds("fixed"), template.alias("needs_template"), F.col("severity").alias("rule_severity"), F.col("confidence").alias("rule_confidence"))
+    return rules.select(F.col("id").alias("advisory"), component(F.col("component")).alias("rule_component"), F.when(F.col("version_scheme") == "semver", "semver").otherwise("build").alias("scheme"), bounds("affected"), bounds("fixed"), "predicates", F.col("severity").alias("rule_severity"), F.col("confidence").alias("rule_confidence"))
+
+
+def met(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``artifacts`` (architecture, name, has_chat_template, file_type and metadata, a JSON object) with ``met``: the ids,
+    in order, of the rules whose predicates all hold.  All rules are one row, as large as a bundle may be at most."""
+    text = lambda c: F.when(F.col(c).isNotNull(), F.regexp_extract(F.to_json(F.array(F.col(c).cast("string"))), r"(?s)^\[(.*)\]$", 1))
+    facts = {"format": F.lit('"gguf"'), "architecture": text("architecture"), "name": text("name"), "has_chat_template": F.col("has_chat_template").cast("string"), "file_type": F.col("file_type").cast("string")}
+    values = F.transform_values(F.from_json("metadata", "map<string,variant>"), lambda _, v: F.to_json(v))
+    listed = rules.agg(F.sort_array(F.collect_list(F.struct("advisory", "predicates"))).alias("_rules"))
+    held = F.filter("_rules", lambda r: knowledge.predicates_hold(r["predicates"], facts, F.col("_values")))
+    return artifacts.crossJoin(F.broadcast(listed)).withColumn("_values", values).withColumn("met", held["advisory"]).drop("_rules", "_values")
+
+
+def findings_by_predicates(artifacts: DataFrame, runtimes: DataFrame, rules: DataFrame) -> DataFrame:
+    """As ``findings``, for rules ``from_bundle``; artifacts: artifact_id and what ``met`` reads."""
+    classed = met(artifacts, rules).select("artifact_id", "met")
+    judged = judgements(classed.select("met").distinct(), runtimes, rules, every=True, holds=F.array_contains("met", F.col("advisory")))
+    return classed.join(judged, "met").drop("met")

@@ -51,7 +51,7 @@ class Bundle(NamedTuple):
 
     def table(self, spark):
         """The rules as a table; as many rows as advisories."""
-        text = lambda v: json.dumps(v)
+        text = lambda v: json.dumps(v, ensure_ascii=False)
         rows = []
         for r in self.rules:
             limits = [{k: str(v) for k, v in r[side].items()} for side in ("affected", "fixed")]

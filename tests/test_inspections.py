@@ -241,6 +241,20 @@ def test_check(spark, models):
     assert engine.label(str(models)) == "directory" and engine.label(str(models / "x")) == "missing"
 
 
+def test_check_with_a_bundle(spark, models, tmp_path):
+    """Rules are for models that meet their predicates, and for none that can't be read."""
+
+    def change(m, a):
+        now = {"version_scheme": "llama_cpp_build", "component": "llama-cli", "affected": {"lt": 20000}, "fixed": {"gte": 20000}}
+        for r, architecture in zip(a["advisories"], ("llama", "qwen2")):
+            r.update(now, artifact_predicates=[{"field": "format", "operator": "equals", "value": "gguf"}, {"field": "architecture", "operator": "equals", "value": architecture}])
+
+    known = knowledge.load(bundle(tmp_path, change), datetime(2026, 6, 1, tzinfo=timezone.utc))
+    run = lambda name: {(f["id"], f["status"]) for f in engine.check(spark, [str(models / name)], str(models / "rt/llama-server"), bundle=known)["findings"] if f["check"] == "runtime_advisory_join"}
+    assert run("good") == {("join.A-1", "suspicious"), ("join.B-1", "not_applicable")}
+    assert run("broken") == set()
+
+
 def test_documents(spark, models):
     report = engine.check(spark, [str(models / "bad")])
     sarif = reports.sarif(report)["runs"][0]

@@ -40,6 +40,24 @@ def test_advisories(spark):
     assert got[5, "CVE-2026-33298"].status == "unchecked" and got[6, "CVE-2026-5760"].status == "not_applicable"
 
 
+def test_advisories_by_predicates(spark):
+    """Every predicate of a bundle's rule decides for which artifacts it is."""
+    columns = "artifact_id long, architecture string, name string, has_chat_template boolean, file_type long, metadata string"
+    rows = [(1, "llama", 'a "b" é', True, 7, '{"license": "mit", "count": 3, "flag": true}'), (2, "qwen", None, False, None, '{"license": "true", "flag": "true"}'), (3, None, None, False, None, None)]
+    tests = {
+        "A": [("architecture", "equals", '"llama"')], "B": [("name", "equals", '"a \\"b\\" é"')], "C": [("has_chat_template", "equals", "false")], "D": [("has_chat_template", "present", None), ("license", "present", None)],
+        "E": [("license.name", "equals", '"mit"'), ("count", "equals", "3"), ("flag", "equals", "true")], "F": [("file_type", "equals", "7")], "G": [("name", "equals", "null"), ("format", "equals", '"gguf"')], "H": [("flag", "equals", '"true"')],
+    }
+    kind = "id string, component string, version_scheme string, affected map<string,string>, fixed map<string,string>, predicates array<struct<field:string,operator:string,value:string>>, severity string, confidence string"
+    rules = advisories.from_bundle(spark.createDataFrame([(i, " Ollama", "semver", {"lt": "2"}, {"gte": "2"}, p, "high", "high") for i, p in tests.items()], kind))
+    artifacts = spark.createDataFrame(rows, columns)
+    assert {r.artifact_id: r.met for r in advisories.met(artifacts, rules).collect()} == {1: ["A", "B", "D", "E", "F"], 2: ["C", "D", "G", "H"], 3: ["C", "G"]}
+    runtimes = spark.createDataFrame([(1, "ollama", None, "1.0", "high"), (2, "sglang", None, "1.0", "high")], "runtime_id long, component string, build long, version string, confidence string")
+    got = {(r.artifact_id, r.runtime_id, r.advisory): r.status for r in advisories.findings_by_predicates(artifacts, runtimes, rules).collect()}
+    assert len(got) == 3 * 2 * 8 and {k for k, v in got.items() if v == "suspicious"} == {(1, 1, x) for x in "ABDEF"} | {(2, 1, x) for x in "CDGH"} | {(3, 1, x) for x in "CG"}
+    assert set(got.values()) == {"suspicious", "not_applicable"}
+
+
 def test_versions_and_sizes(spark):
     one = spark.range(1)
     c = lambda a, b: one.select(scalars.compare_versions(scalars.version_key(F.lit(a)), scalars.version_key(F.lit(b)))).first()[0]
