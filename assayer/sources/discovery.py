@@ -1,4 +1,4 @@
-"""Finding and classifying targets under a folder, on the driver: names and first bytes only."""
+"""Finding and classifying targets under a folder: by names and first bytes only."""
 
 from __future__ import annotations
 
@@ -44,12 +44,11 @@ def classify(path: str) -> Target:
     return Target(path, "unknown", "none")
 
 
-def discover(root: str, depth: int = 4, most: int | None = 256) -> list[Target]:
-    """Models and runtimes in sorted depth-first order; links are not followed; at most ``most`` files are looked at."""
-    found, seen = [], 0
+def files(root: str, depth: int = 4, most: int | None = 256) -> list[str]:
+    """Files under a folder in sorted depth-first order, by name alone: none is opened, links are not followed."""
+    found: list[str] = []
 
     def walk(folder: str, left: int) -> bool:
-        nonlocal seen
         try:
             entries = sorted(os.scandir(folder), key=lambda e: (e.name.casefold(), e.name))
         except OSError:
@@ -61,13 +60,16 @@ def discover(root: str, depth: int = 4, most: int | None = 256) -> list[Target]:
                 if left > 0 and e.name not in IGNORED and not walk(e.path, left - 1):
                     return False
             else:
-                if most is not None and seen >= most:
+                if most is not None and len(found) >= most:
                     return False
-                seen += 1
-                t = classify(e.path)
-                if t.kind in ("gguf", "runtime"):
-                    found.append(t)
+                found.append(e.path)
         return True
 
     walk(root, depth)
+    return found
+
+
+def discover(root: str, depth: int = 4, most: int | None = 256) -> list[Target]:
+    """Models and runtimes by path; at most ``most`` files are looked at."""
+    found = [t for t in map(classify, files(root, depth, most)) if t.kind in ("gguf", "runtime")]
     return sorted(found, key=lambda t: t.path.casefold())

@@ -208,7 +208,10 @@ def read_header(path: str, limits: Limits = Limits()) -> tuple:
 
 @dataclass
 class Files(InputPartition):
+    """Paths of a task; those of a folder are probed by the task, so the driver opens none."""
+
     paths: list
+    probe: bool
 
 
 class GgufReader(DataSourceReader):
@@ -220,15 +223,19 @@ class GgufReader(DataSourceReader):
         self.limits = Limits(**given)
 
     def partitions(self):
-        from assayer.sources.discovery import discover
+        from assayer.sources.discovery import files
 
         path, n = self.options["path"].removeprefix("file:"), int(self.options.get("perPartition", 64))
-        files = [path] if not os.path.isdir(path) else [t.path for t in discover(path, int(self.options.get("maxDepth", 4)), most=None) if t.kind == "gguf"]
-        return [Files(files[i : i + n]) for i in range(0, len(files), n)] or [Files([])]
+        folder = os.path.isdir(path)
+        listed = files(path, int(self.options.get("maxDepth", 4)), most=None) if folder else [path]
+        return [Files(listed[i : i + n], folder) for i in range(0, len(listed), n)] or [Files([], folder)]
 
     def read(self, partition):
+        from assayer.sources.discovery import classify
+
         for path in partition.paths:
-            yield read_header(path, self.limits)
+            if not partition.probe or classify(path).kind == "gguf":
+                yield read_header(path, self.limits)
 
 
 class GgufSource(DataSource):

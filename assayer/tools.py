@@ -99,6 +99,11 @@ def render(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, default=str)
 
 
+def _fits(value, schema: dict) -> bool:
+    kind = {"string": str, "array": list, "object": dict}[schema["type"]]
+    return isinstance(value, kind) and (kind is not list or all(_fits(v, schema["items"]) for v in value))
+
+
 def invoke(spark: SparkSession, name: str, arguments: dict | str | None = None) -> dict:
     """The answer of a tool under ``result``, or ``error`` with a kind: unknown_tool, invalid_arguments, io_error or
     internal_error; never an exception."""
@@ -114,6 +119,9 @@ def invoke(spark: SparkSession, name: str, arguments: dict | str | None = None)
         lacking = set(schema["required"]) - set(given)
         if odd or lacking:
             raise ValueError(f"unknown arguments {sorted(odd)}, missing arguments {sorted(lacking)}")
+        for k, v in given.items():
+            if not _fits(v, schema["properties"][k]) and (v is not None or k in schema["required"]):
+                raise ValueError(f"{k} must be of type {schema['properties'][k]['type']}")
         return {"result": call(spark, **given)}
     except OSError as e:
         return {"error": {"kind": "io_error", "message": str(e)}}

@@ -241,6 +241,11 @@ def test_check(spark, models):
     assert engine.label(str(models)) == "directory" and engine.label(str(models / "x")) == "missing"
 
 
+@pytest.mark.parametrize("name, given", [("inspect", {"targets": "abc"}), ("inspect", {"targets": [1]}), ("artifact_facts", {"path": None}), ("hash", {"path": 5}), ("self_test", {"vectors": ["x"]}), ("check_template", ["x"]), ("hash", "{"), ("list_advisories", {"x": 1})])
+def test_tools_refuse_arguments(name, given):
+    assert tools.invoke(None, name, given)["error"]["kind"] == "invalid_arguments"
+
+
 def test_check_with_a_bundle(spark, models, tmp_path):
     """Rules are for models that meet their predicates, and for none that can't be read."""
 
