@@ -33,14 +33,20 @@ def write_atomically(text: str, path: str) -> None:
         raise
 
 
+#: Ranges of seq in which rules are numbered; their bounds are all that the driver holds.
+RANGES = 200
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """(id, rule_index, level, summary): the first finding of each id, numbered in order of appearance (column seq).  Ids
-    are numbered within ranges of seq, and ranges by the ids before them, so no task sees all ids."""
+    """(id, rule_index, level, summary): the first finding of each id, numbered in order of appearance (column seq, ties
+    by id).  Ids are numbered within ranges of seq, and ranges by the ids before them, so no task sees all ids.  Ranges
+    are by fixed bounds, a function of seq alone, so that it doesn't matter which task counts or numbers a row."""
     first = findings.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by(F.struct("severity", "summary"), "seq").alias("f"))
-    sorted_ids = first.repartitionByRange("seq").withColumn("_part", F.spark_partition_id())
-    counts = sorted_ids.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a partition
+    bounds = F.array(*map(F.lit, findings.approxQuantile("seq", [i / RANGES for i in range(1, RANGES)], 1e-3))).cast("array<double>")
+    ranged = first.withColumn("_part", F.size(F.filter(bounds, lambda b: b <= F.col("seq"))))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a range
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    numbered = sorted_ids.join(F.broadcast(before), "_part").withColumn("rule_index", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1)
+    numbered = ranged.join(F.broadcast(before), "_part").withColumn("rule_index", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("seq", "id")) - 1)
     return numbered.select("id", sarif_level(F.col("f.severity")).alias("level"), F.col("f.summary").alias("summary"), F.col("rule_index").cast("int").alias("rule_index"))
 
 

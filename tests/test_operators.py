@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import rules, scalars
-from assayer.operators import advisories, structure, verdict
+from assayer.operators import advisories, reports, structure, verdict
 
 GOOD = [("clean", "info", "high", "gguf_structure", False), ("clean", "info", "high", "chat_template_static", False), ("verified", "info", "high", "runtime_advisory_join", False)]
 
@@ -122,8 +122,6 @@ def test_read_limits(spark):
 
 
 def test_reports(spark, tmp_path):
-    from assayer.operators import reports
-
     rows = [(1, 0, "b", "suspicious", "high", "c", "B", "/x"), (1, 1, "a", "error", "low", "c", "A", "/gone"), (1, 2, "b", "suspicious", "medium", "c", "B2", None), (1, 3, "z", "clean", "info", "c", "Z", None)]
     df = spark.createDataFrame(rows, "run long, seq long, id string, status string, severity string, check string, summary string, path string")
     artifacts = spark.createDataFrame([("/first", 0), ("/x", 1)], "path string, seq long")
@@ -137,6 +135,16 @@ def test_reports(spark, tmp_path):
     assert spark.range(1).select(reports.markdown_escape(F.lit("a*b_[c]"))).first()[0] == r"a\*b\_\[c\]"
 
 
+def test_rules_are_numbered_without_gaps(spark):
+    """Whatever the spread of seq, over many partitions and ranges; an empty table has no rules."""
+    seqs = [*range(700), *range(10**9, 10**9 + 300), *(2**40 * i for i in range(1, 100))]
+    rows = [(f"r{n // 2}", q, "high", str(q)) for n, q in enumerate(seqs)]
+    df = spark.createDataFrame(rows[::-1], "id string, seq long, severity string, summary string").repartition(7)
+    got = sorted((r.rule_index, r.id, r.summary) for r in reports.sarif_rules(df).collect())
+    assert got == [(i, f"r{i}", str(seqs[2 * i])) for i in range((len(seqs) + 1) // 2)]
+    assert reports.sarif_rules(df.limit(0)).count() == 0
+
+
 def test_companion_findings(spark):
     from assayer.operators import companions
 
