@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, vector_dedup, warc
+from assayer.llm import bpe, centroids, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, vector_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,5 +14,13 @@ QUERIES = {
     "op8_line_dedup_pages": line_dedup.op8_line_dedup_pages,
     "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
+}
+ORACLE: dict[str, str] = {
+    "op3_ngram_join": ngram_join.ORACLE_NGRAM_JOIN,
+    "op4_vector_dedup": vector_dedup.ORACLE_VECTOR_DEDUP,
+    "op5_warc": warc.ORACLE_WARC,
+    "op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP,
+    "op8_line_dedup_pages": line_dedup.ORACLE_LINE_DEDUP_PAGES,
+    "op11_centroid_clusters": centroids.ORACLE_CENTROIDS,
 }
-ORACLE: dict[str, str] = {"op3_ngram_join": ngram_join.ORACLE_NGRAM_JOIN, "op5_warc": warc.ORACLE_WARC, "op4_vector_dedup": vector_dedup.ORACLE_VECTOR_DEDUP, "op8_line_dedup": line_dedup.ORACLE_LINE_DEDUP, "op8_line_dedup_pages": line_dedup.ORACLE_LINE_DEDUP_PAGES}
