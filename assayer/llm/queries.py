@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from assayer.llm import bpe, centroids, codebooks, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, vector_dedup, warc
+from assayer.llm import bpe, centroids, codebooks, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_files, toxicity, vector_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_vector_codes": codebooks.op13_vector_codes,
 }
 ORACLE: dict[str, str] = {
