@@ -149,7 +149,8 @@ def compress(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     size = rows.where((F.size("v") > 0) & (F.size("v") % parts == 0)).orderBy(*first).select(F.size("v")).limit(1).collect()
     size = size[0][0] if size else 0
     width, fits = size // parts, (F.size("v") == size) & (F.size("v") > 0)
-    chosen = blocks.whole(np.array([r["v"] for r in rows.where(fits).orderBy(*first).limit(entries).collect()], np.float64).reshape(-1, size))
+    chosen = [r["v"] for r in rows.where(fits).orderBy(*first).limit(entries).collect()]
+    chosen = blocks.whole(np.array(chosen, np.float64).reshape(len(chosen), size))
     books = [chosen[:, p * width : (p + 1) * width].copy() for p in range(parts)]
     common.bound_batches(spark, blocks.BLOCK)
     trees = common.save(_trees(rows.where(fits), size, parts), "trees")
