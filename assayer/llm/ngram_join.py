@@ -11,8 +11,9 @@ one set from the start.
 2. Rest.  Only sets of different components that still share a prefix shingle are left.  They are grouped by it, under
    one order after the other; in a group, pairs of different components that meet under all orders are verified.
    Large groups are dealt as blocks, and those of the largest component meet the blocks of other components only.
-3. Links are of 64-bit hashes of shingles, so they may only be too many.  The two texts of each link are compared word
-   by word; should one fail, all is done again with another seed.
+3. Links are of 64-bit hashes of shingles.  Shingles of one text that have one hash are compared word by word, so that
+   every set has as many hashes as shingles; links of hashes may then only be too many, and the two texts of each link are
+   compared word by word as well.  Should either fail, all is done again with another seed.
 
 Tasks return spanning links, never all pairs.  Null or wordless text: empty set, linked with nothing.  Very long texts
 and words are taken whole.  Rows with a null id get a null component; rows that repeat an id must repeat its text, and
@@ -37,6 +38,8 @@ ORDERS = 3
 BLOCK, BLOCK_SHINGLES, MANY_BLOCKS = 64, 1 << 18, 16
 #: Shingles that a task looks at together.
 HELD = 1 << 19
+#: No set is so large: a text has fewer bytes.
+MIXED = (1 << 32) - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MEMBERS = "id long, n long, tokens array<long>, heads array<array<long>>"
 
@@ -45,10 +48,12 @@ def plain_words(text: str | None) -> list[bytes]:
     return as_bytes(text).translate(_LOWER).split()
 
 
-def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of each text, hashed; the text's number of each, ascending.  Fewer words: all as one."""
+def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of each text, hashed; the text's number of each, ascending; and the texts in which
+    different shingles have one hash.  Fewer words: all as one."""
     w = Words(texts, lower=True, seed=seed)
     keys, doc = w.windows(k)
+    word = w.window_words(k)
     few = np.flatnonzero((np.diff(w.first) < k) & (np.diff(w.first) > 0))
     if len(few):
         own = []
@@ -57,21 +62,27 @@ def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> tuple[np.ndarray,
             for x in w.hash[w.first[i] : w.first[i + 1]]:
                 h = mix(np.array([h]) * np.uint64(0x9FB21C651E98DF25) + x + np.uint64(k))[0]
             own.append(h)
-        keys, doc = np.concatenate([keys, np.array(own, np.uint64)]), np.concatenate([doc, few])
+        keys, doc, word = np.concatenate([keys, np.array(own, np.uint64)]), np.concatenate([doc, few]), np.concatenate([word, few])
     order = np.lexsort((keys, doc))
-    keys, doc = keys[order], doc[order]
-    if len(keys):
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
-        keys, doc = keys[new], doc[new]
-    return keys, doc
+    keys, doc, word = keys[order], doc[order], word[order]
+    if not len(keys):
+        return keys, doc, doc
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
+    again = np.flatnonzero(~new)
+    differ = np.zeros(len(again), bool)
+    for j in range(k if len(again) else 0):
+        differ |= ~w.same(word[again - 1] + j, word[again] + j)
+    return keys[new], doc[new], np.unique(doc[again[differ]])
 
 
 def _extract(k: int, seed: int):
-    """Sets are named by their document; a digest of the words tells copies."""
+    """Sets are named by their document; a digest of the words tells copies.  ``MIXED`` as the size of a set says that its
+    shingles need another seed."""
 
     def extract(held):
-        keys, doc = shingle_sets([as_bytes(r[1]) for r in held], k, seed)
+        keys, doc, mixed = shingle_sets([as_bytes(r[1]) for r in held], k, seed)
         size = np.bincount(doc, minlength=len(held)).astype(np.uint32)
+        size[mixed] = MIXED
         key = seed.to_bytes(8, "little")
         digests = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(plain_words(r[1])), digest_size=16, key=key).digest() for r in held), np.int64).reshape(-1, 2)
         d1, d2 = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
@@ -356,10 +367,12 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _attempt(rows: DataFrame, deal: tuple[int, int], k: int, percent: int, seed: int) -> DataFrame | None:
-    """None if a link doesn't stand."""
+    """None if a link doesn't stand, or different shingles of a text have one hash."""
     spark, (n, subs) = rows.sparkSession, deal
     table = common.save(shared_keys(rows, _extract(k, seed), n, subs, percent=percent), "sets")
     common.release(spark)
+    if not table.where(f"shared is null and size = {MIXED}").isEmpty():
+        return None
     docs = table.where("shared is null").select("doc_id", F.col("size").alias("n_shingles"), "d1", "d2")
     classes = docs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = common.save(classes, "classes")

@@ -64,6 +64,30 @@ class Words:
         self.hash = spans_hash(self.data, self.start, self.end, seed)
         self.first = np.searchsorted(self.start, self.bounds)
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words numbered a and b are equal, byte by byte."""
+        size = self.end - self.start
+        out = size[a] == size[b]
+        raw = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+        left, done = np.flatnonzero(out), 0
+        while len(left) and done < LONG:
+            x, y, rest = a[left], b[left], size[a[left]] - done
+            equal = ((eight[self.start[x] + done] ^ eight[self.start[y] + done]) & _MASK[np.minimum(rest, 8)]) == 0
+            out[left[~equal]] = False
+            done += 8
+            left = left[equal & (rest > 8)]
+        for i in left.tolist():
+            x, y = (self.data[self.start[w] : self.end[w]] for w in (a[i], b[i]))
+            out[i] = bool((x == y).all())
+        return out
+
+    def window_words(self, k: int) -> np.ndarray:
+        """The number of the first word of each window that ``windows`` gives."""
+        n = max(0, len(self.hash) - k + 1)
+        doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        return np.flatnonzero(doc[:n] == doc[len(doc) - n :])
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k-word windows inside texts, and the number of each window's text."""
         n = len(self.hash) - k + 1
