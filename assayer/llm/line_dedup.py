@@ -1,10 +1,11 @@
 """Line dedup by site-relative frequency: a line that more than ``percent`` of its site's pages hold is boilerplate.
 
-Lines are cut at \\n and compared without white space around them, by two 64-bit hashes; a page counts a line once.
+Lines are cut at \\n and compared without white space around them, by SHA-256; a page counts a line once.
 Lines without a word never count and stay, and so does a line that one page alone holds, as nothing repeats there.
 Pages of a site are counted whether they have text or not.  Null text stays null; a null site is a site of its own;
 repeated rows are pages of their own; a share of exactly ``percent`` stays.  Very long lines are compared whole.  An
-empty table gives no rows; other columns are kept, whatever their names."""
+empty table gives no rows; other columns are kept, whatever their names, and a column asked for under the name of one of
+them is refused."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ def host(url: Column) -> Column:
 
 def _key(line: Column) -> Column:
     bare = F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
+    return F.when(bare != "", F.unhex(F.sha2(bare, 256)))
 
 
 def boilerplate(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -47,12 +48,14 @@ def boilerplate(df: DataFrame, site: Column, text_col: str = "text", percent: in
 def drop_lines(df: DataFrame, site: Column, text_col: str = "text", percent: int = PERCENT, extra: str | None = None) -> DataFrame:
     """``df`` with boilerplate lines taken out of the text; ``extra`` names a column for how many went.  Sites' arrays
     are broadcast if all together are small; else pages are dealt by site and salt, and the arrays go to every salt."""
+    if extra and extra.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {extra} already")
     p = common.prefix(df)
     found = boilerplate(df, site, text_col, percent).toDF(f"{p}site", f"{p}lines")
     names, same = df.columns, F.col(f"{p}own").eqNullSafe(F.col(f"{p}site"))
     joined = df.withColumn(f"{p}own", site)
     lines = found.agg(F.count("*").alias("sites"), F.sum(F.size(f"{p}lines")).alias("lines")).first()
-    if 64 * lines.sites + 32 * (lines.lines or 0) <= BROADCAST_BYTES:
+    if 64 * lines.sites + 64 * (lines.lines or 0) <= BROADCAST_BYTES:
         joined = joined.join(F.broadcast(found), same, "left")
     else:
         salted = found.withColumn(f"{p}at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
