@@ -11,28 +11,13 @@ from pyspark.sql import functions as F
 from assayer.functions import companion, rules
 from assayer.functions.scalars import error_origin, slug
 from assayer.operators import advisories, companion_scan, companions, digests, reports, runtimes, template_findings, verdict
-from assayer.sources import discovery, knowledge, scanners
-from assayer.sources.gguf import GgufSource
+from assayer.sources import discovery, gguf, knowledge, scanners
 from assayer.streaming import arrivals  # noqa: F401  part of the engine
 
 FINDING = ["path", "id", "check", "status", "severity", "classification", "mandatory", "summary"]
 HOOKS = ("targets", "scan", "templates", "companions", "runtime", "advisories", "verdict")
 
 
-def discover(paths: list[str]) -> tuple[list[discovery.Target], bool]:
-    """Targets of several paths: files as they are given, folders searched; by path; and whether a folder held more files
-    than are looked at."""
-    found, more = [], False
-    for p in paths:
-        t = discovery.classify(p)
-        if t.kind == "directory":
-            found += discovery.discover(p)
-            more |= companion_scan.walk(p)[1]
-        else:
-            found.append(t)
-    return sorted(found, key=lambda t: t.path.casefold()), more
-
-
 def label(path: str) -> str:
     """A word for a target."""
     kind = discovery.classify(path)
@@ -46,13 +31,9 @@ def shaped(df: DataFrame, **given) -> DataFrame:
 
 
 def facts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Headers of models: one row a file, errors as rows."""
-    spark.dataSource.register(GgufSource)
-    frames = [spark.read.format("gguf").load(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """Headers of models: one row a file, errors as rows; one scan for all."""
+    gguf.register(spark)
+    return spark.read.format("gguf").load(paths)
 
 
 def structure_findings(headers: DataFrame) -> DataFrame:
@@ -94,7 +75,8 @@ def check(spark: SparkSession, targets: list[str], runtime: str | None = None, r
             observe(stage, timing[stage])
 
     one = lambda ident, chk, status, mandatory=True, summary=None, path=None: spark.createDataFrame([(path, ident, chk, status, "info", "high", mandatory, summary)], "path string, id string, check string, status string, severity string, classification string, mandatory boolean, summary string")
-    found, more = discover(targets)
+    walked = discovery.targets(spark, targets)
+    found, more = walked.targets, walked.limit_reached
     models, programs = [t.path for t in found if t.kind == "gguf"], [t.path for t in found if t.kind == "runtime"]
     parts = []
     if more:
@@ -156,4 +138,4 @@ def check(spark: SparkSession, targets: list[str], runtime: str | None = None, r
     return {"verdict": result.verdict, "exit_code": result.exit_code, "findings": listed, "artifacts": artifacts, "runtimes": known, "recommendations": advice, "bundle": {"version": bundle.version, "digest": bundle.digest} if bundle else None, "observations": {"seconds": timing}}
 
 
-__all__ = ["check", "discover", "facts", "label", "reports"]
+__all__ = ["check", "facts", "label", "reports"]

@@ -1,20 +1,29 @@
-"""A data source for model files: ``spark.read.format("gguf").load(path)``.
+"""A data source for model files: ``spark.read.format("gguf").load(paths)``.
 
 Only headers are read: metadata and tensor descriptors, never tensor data.  A file that cannot be read gives a row with
 its error, so one bad file fails no task.  Files are dealt to partitions in groups; limits are options.
 
-Options: path (a file or a folder), maxDepth (4), perPartition (64), and the limits of ``Limits`` by name."""
+Paths are files or folders, local ones or URIs of any Arrow file system; files are read forward by ranges, and arrays that
+are not kept are passed over.  Strings that are not kept are checked in pieces and never held.  With a schema of fewer
+columns, reading stops where the last of them is known: tensor descriptors are only read for ``tensors``, offsets, errors
+and ``bytes_read``, so without these a file whose descriptors are broken looks sound.  ``register`` also lets Spark push
+filters on ``path`` and ``file_size`` into the scan: files they rule out are never opened.
+
+Options: path, maxDepth (4), perPartition (64), opener (of ``places.place``), and the limits of ``Limits`` by name."""
 
 from __future__ import annotations
 
+import codecs
 import json
-import os
 import struct
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from assayer.functions.scalars import GGML_TYPES
+from assayer.sources import places
 
 # Fixed values of the format.
 MAGIC = b"GGUF"
@@ -35,6 +44,7 @@ error_class string, error_message string"""
 class Limits:
     metadata_bytes: int = 256 << 20
     retained_bytes: int = 64 << 20
+    essential_bytes: int = 16 << 20
     string_bytes: int = 16 << 20
     template_bytes: int = 1 << 20
     array_elements: int = 2_000_000
@@ -51,59 +61,135 @@ class Unreadable(Exception):
         self.kind = kind
 
 
+#: Strings that aren't kept are checked, and arrays passed over, in pieces of so many bytes.
+PIECE = 64 << 10
+#: Stands for a value that isn't kept.
+GONE = object()
+
+
 class Header:
-    """Reads one header from a binary stream, counting every byte against the limits."""
+    """Reads one header from a ``Ranged`` file, counting every byte against the limits.
+
+    What is kept is counted too: strings by their bytes, numbers by theirs, array entries by eight bytes more each.
+    Expected keys draw on a share of their own, so no other key can take their place; a value that doesn't fit is checked
+    and left out.  Of an array whose entries don't all fit those that did stay counted."""
 
     def __init__(self, stream, size: int, limits: Limits):
         self.stream, self.size, self.limits = stream, size, limits
-        self.at, self.elements, self.kept, self.order = 0, 0, 0, "<"
+        self.at, self.elements, self.order = 0, 0, "<"
+        self.until, self.kept, self.essential = None, 0, 0
 
-    def take(self, n: int) -> bytes:
-        if self.at + n > self.limits.metadata_bytes:
+    def _room(self, n: int) -> None:
+        if self.until is not None and self.at + n > self.until:
             raise Unreadable("limit", "metadata limit exceeded")
-        data = self.stream.read(n) if self.at + n <= self.size else b""
+        if self.at + n > self.size:
+            raise Unreadable("truncated", f"file is truncated at byte {self.at}")
+
+    def take(self, n: int) -> bytes:
+        self._room(n)
+        data = self.stream.read(n)
         if len(data) != n:
             raise Unreadable("truncated", f"file is truncated at byte {self.at}")
         self.at += n
         return data
 
+    def skip(self, n: int) -> None:
+        self._room(n)
+        if self.stream.skip(n) != n:
+            raise Unreadable("truncated", f"file is truncated at byte {self.at}")
+        self.at += n
+
+    def pieces(self, n: int):
+        self._room(n)
+        while n:
+            yield self.take(min(n, PIECE))
+            n -= min(n, PIECE)
+
     def number(self, code: str):
         return struct.unpack(self.order + code, self.take(struct.calcsize(code)))[0]
 
-    def text(self, most: int) -> str:
+    def fits(self, n: int, key: str, each: int = 1) -> int:
+        """How many of ``each`` things of n bytes are kept; they are counted."""
+        if key in EXPECTED:
+            if n > self.limits.essential_bytes:
+                return 0
+            self.essential += n * each
+            self.kept += n * each
+            return each
+        room = self.limits.retained_bytes - self.kept - (self.limits.essential_bytes - self.essential)
+        many = each if not n else max(0, min(each, room // n))
+        self.kept += n * many
+        return many
+
+    def text(self, most: int, keep: str | None = None, counted: bool = False):
+        """A string, or GONE if it is of a key (``keep``) and not kept; ``counted``: that is so whatever room there is."""
         n = self.number("Q")
         if n > most:
             raise Unreadable("limit", f"string of {n} bytes exceeds the limit of {most}")
+        self._room(n)
         try:
-            return self.take(n).decode("utf-8")
+            if not counted and (keep is None or self.fits(n, keep)):
+                return self.take(n).decode("utf-8")
+            check = codecs.getincrementaldecoder("utf-8")()
+            for piece in self.pieces(n):
+                check.decode(piece)
+            check.decode(b"", final=True)
+            return GONE
         except UnicodeDecodeError:
             raise Unreadable("validation", "string is not valid UTF-8") from None
 
-    def value(self, kind: int, key: str, depth: int = 0):
+    def value(self, kind: int, key: str, depth: int = 0, gone: bool = False):
+        """A value of a key, or GONE.  ``gone``: it stands in an array that isn't kept."""
         if kind == STRING:
-            return self.text(self.limits.template_bytes if key == "tokenizer.chat_template" else self.limits.string_bytes)
+            return self.text(self.limits.template_bytes if key == "tokenizer.chat_template" and not depth else self.limits.string_bytes, key, gone)
         if kind == ARRAY:
-            if depth >= self.limits.array_depth:
-                raise Unreadable("limit", "array depth limit exceeded")
-            inner, n = self.number("I"), self.number("Q")
-            if inner not in SCALARS and inner not in (STRING, ARRAY):
-                raise Unreadable("type", f"unknown value type {inner}")
-            self.elements += n
-            if self.elements > self.limits.array_elements:
-                raise Unreadable("limit", "array element limit exceeded")
-            if inner in SCALARS and inner != BOOL:
-                return list(struct.unpack(f"{self.order}{n}{SCALARS[inner]}", self.take(n * struct.calcsize(SCALARS[inner]))))
-            return [self.value(inner, key, depth + 1) for _ in range(n)]
+            return self.array(key, depth, gone)
         if kind not in SCALARS:
             raise Unreadable("type", f"unknown value type {kind}")
         v = self.number(SCALARS[kind])
         if kind == BOOL:
             if v > 1:
                 raise Unreadable("validation", "boolean is neither 0 nor 1")
-            return bool(v)
-        return v
+            v = bool(v)
+        return v if not gone and self.fits(struct.calcsize(SCALARS[kind]), key) else GONE
+
+    def array(self, key: str, depth: int, gone: bool):
+        if depth >= self.limits.array_depth:
+            raise Unreadable("limit", "array depth limit exceeded")
+        inner, n = self.number("I"), self.number("Q")
+        if inner not in SCALARS and inner not in (STRING, ARRAY):
+            raise Unreadable("type", f"unknown value type {inner}")
+        self.elements += n
+        if self.elements > self.limits.array_elements:
+            raise Unreadable("limit", "array element limit exceeded")
+        width = struct.calcsize(SCALARS[inner]) if inner in SCALARS else 8 if inner == STRING else 12
+        self._room(n * width)
+        gone = gone or not self.fits(8 * n, key)
+        if inner in SCALARS:
+            gone = gone or self.fits(width, key, n) < n
+            if inner == BOOL:
+                flags = []
+                for piece in self.pieces(n):
+                    if max(piece) > 1:
+                        raise Unreadable("validation", "boolean is neither 0 nor 1")
+                    flags += [] if gone else [b == 1 for b in piece]
+                return GONE if gone else flags
+            if gone:
+                self.skip(n * width)
+                return GONE
+            return list(struct.unpack(f"{self.order}{n}{SCALARS[inner]}", self.take(n * width)))
+        out, whole = [], not gone
+        for _ in range(n):
+            v = self.value(inner, key, depth + 1, gone)
+            whole = whole and v is not GONE
+            if whole:
+                out.append(v)
+            else:
+                out.clear()
+        return out if whole else GONE
 
-    def read(self) -> dict:
+    def read(self, tensors_too: bool = True) -> dict:
+        """All there is, or without ``tensors_too`` what stands before the tensor descriptors."""
         if self.size < 4 or (magic := self.take(4)) != MAGIC:
             raise Unreadable("truncated", "file is truncated before its magic") if self.size < 4 else Unreadable("magic", f"bad magic {magic!r}")
         raw = self.take(4)
@@ -115,27 +201,31 @@ class Header:
         for n, most, what in ((tensor_count, self.limits.tensors, "tensor"), (entry_count, self.limits.entries, "metadata")):
             if n > most:
                 raise Unreadable("limit", f"{what} count {n} exceeds the limit of {most}")
-        metadata, omitted = {}, []
+        metadata, omitted, seen = {}, [], set()
+        self.until = self.at + self.limits.metadata_bytes
         for _ in range(entry_count):
             key = self.text(self.limits.name_bytes)
             if not _good_key(key):
                 raise Unreadable("validation", f"bad metadata key {key!r}")
-            if key in metadata or key in omitted:
+            if key in seen:
                 raise Unreadable("duplicate", f"duplicate metadata key {key}")
+            seen.add(key)
             kind = self.number("I")
             if EXPECTED.get(key, kind) != kind:
                 raise Unreadable("type", f"{key} has value type {kind}")
-            before = self.at
             v = self.value(kind, key)
-            if key not in EXPECTED and self.kept + self.at - before > self.limits.retained_bytes * 3 // 4:
+            if v is GONE:
                 omitted.append(key)
             else:
                 metadata[key] = v
-                self.kept += self.at - before
+        self.until = None
         alignment = metadata.get("general.alignment", 32)
         if alignment < 8 or alignment & (alignment - 1):
             raise Unreadable("validation", f"alignment {alignment} is not a power of two of 8 or more")
         metadata_end = self.at
+        out = {"version": version, "order": "little" if self.order == "<" else "big", "metadata": metadata, "omitted": omitted, "alignment": alignment, "metadata_end": metadata_end, "tensor_count": tensor_count}
+        if not tensors_too:
+            return out
         tensors, names = [], set()
         for _ in range(tensor_count):
             t = self.tensor(alignment)
@@ -153,7 +243,7 @@ class Header:
             if offset < end:
                 raise Unreadable("range", f"tensors {last} and {name} overlap")
             end, last = offset + size, name
-        return {"version": version, "order": "little" if self.order == "<" else "big", "metadata": metadata, "omitted": omitted, "alignment": alignment, "metadata_end": metadata_end, "data": data, "tensors": tensors}
+        return out | {"data": data, "tensors": tensors}
 
     def tensor(self, alignment: int) -> tuple:
         name, n = self.text(self.limits.name_bytes), self.number("I")
@@ -183,59 +273,136 @@ def _good_key(key: str) -> bool:
     return re.fullmatch(r"[a-z0-9]+(?:[_-][a-z0-9]+)*(?:\.[a-z0-9]+(?:[_-][a-z0-9]+)*)*", key) is not None
 
 
-def read_header(path: str, limits: Limits = Limits()) -> tuple:
-    """A row of SCHEMA for one file."""
-    from decimal import Decimal
+COLUMNS = [c.strip().split(" ")[0] for c in SCHEMA.replace("\n", " ").split(", ") if not c.startswith(("dims", "ggml_type", "rel_offset", "byte_size"))]
+#: What can't be told before the tensor descriptors are read.
+LATE = {"tensor_data_offset", "bytes_read", "tensors", "error_class", "error_message"}
 
-    size = None
+
+def read_header(path: str, limits: Limits = Limits(), wanted: list[str] | None = None, opener: str | None = None, sizes=None) -> tuple | None:
+    """A row for one file, of the columns ``wanted`` (all of SCHEMA).  ``sizes``: tests of the file's size; None if one
+    fails."""
+    names, row = wanted or COLUMNS, dict.fromkeys(COLUMNS)
+    row["path"] = path
     try:
-        if os.path.islink(path) or not os.path.isfile(path):
+        at = places.place(path, opener)
+        entry = at.look(path)
+        row["file_size"] = entry.size
+        if sizes and not all(test(entry.size) for test in sizes):
+            return None
+        if entry.kind != places.FILE:
             raise Unreadable("io", "not a regular file")
-        size = os.path.getsize(path)
-        with open(path, "rb", buffering=1 << 16) as f:
-            header = Header(f, size, limits)
-            h = header.read()
+        if not {*names} <= {"path", "file_size"}:
+            with at.open(path) as f:
+                header = Header(places.Ranged(f, entry.size), entry.size, limits)
+                row |= _facts(header.read(not LATE.isdisjoint(names)), header.at, names)
     except Unreadable as e:
-        return (path, size, *([None] * 16), e.kind, str(e))
+        row |= {"error_class": e.kind, "error_message": str(e)}
     except OSError as e:
-        return (path, size, *([None] * 16), "io", str(e))
-    m = h["metadata"]
-    tensors = [(n, [Decimal(x) for x in d], k, Decimal(o), Decimal(b)) for n, d, k, o, b in h["tensors"]]
-    known = [m.get(f"general.{k}") for k in ("architecture", "name", "file_type", "quantization_version")]
-    text = json.dumps(m, sort_keys=True, ensure_ascii=False)
-    return (path, size, h["version"], h["order"], len(tensors), len(m) + len(h["omitted"]), h["metadata_end"], h["data"], h["alignment"], *known, m.get("tokenizer.chat_template"), text, h["omitted"], header.at, tensors, None, None)
+        row |= {"error_class": "io", "error_message": str(e)}
+    return tuple(row[n] for n in names)
+
+
+def _facts(h: dict, at: int, names: list[str]) -> dict:
+    from decimal import Decimal
+
+    m, tensors = h["metadata"], h.get("tensors")
+    return {
+        "gguf_version": h["version"], "byte_order": h["order"], "tensor_count": h["tensor_count"], "metadata_count": len(m) + len(h["omitted"]), "metadata_end": h["metadata_end"],
+        "tensor_data_offset": h.get("data"), "alignment": h["alignment"], **{k: m.get(f"general.{k}") for k in ("architecture", "name", "file_type", "quantization_version")},
+        "chat_template": m.get("tokenizer.chat_template"), "metadata": json.dumps(m, sort_keys=True, ensure_ascii=False) if "metadata" in names else None, "omitted_metadata_keys": h["omitted"], "bytes_read": at,
+        "tensors": [(n, [Decimal(x) for x in d], k, Decimal(o), Decimal(b)) for n, d, k, o, b in tensors] if tensors is not None and "tensors" in names else None,
+    }
 
 
 @dataclass
 class Files(InputPartition):
-    """Paths of a task; those of a folder are probed by the task, so the driver opens none."""
+    """What a task reads: files as they are given, files of folders, which it probes, and folders, which it walks."""
 
     paths: list
-    probe: bool
+    probed: list
+    folders: list
+
+
+def _path_test(f):
+    """A test of paths for a filter on them, or None."""
+    v = getattr(f, "value", None)
+    tests = {
+        ds.EqualTo: lambda p: p == v, ds.EqualNullSafe: lambda p: p == v, ds.In: lambda p: p in v,
+        ds.StringStartsWith: lambda p: p.startswith(v), ds.StringEndsWith: lambda p: p.endswith(v), ds.StringContains: lambda p: v in p, ds.IsNotNull: lambda p: True,
+    }
+    return tests.get(type(f))
+
+
+def _size_test(f):
+    """A test of sizes, null for what is no file."""
+    v = getattr(f, "value", None)
+    tests = {ds.EqualTo: lambda s: s == v, ds.GreaterThan: lambda s: s > v, ds.GreaterThanOrEqual: lambda s: s >= v, ds.LessThan: lambda s: s < v, ds.LessThanOrEqual: lambda s: s <= v, ds.IsNotNull: lambda s: True}
+    test = tests.get(type(f))
+    return test and (lambda s: s is not None and test(s))
 
 
 class GgufReader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, schema=None):
         self.options = dict(options)
         given = {f.name: int(options[f.name]) for f in fields(Limits) if f.name in options}
         if any(v <= 0 for v in given.values()):
             raise ValueError("limits must be positive")
-        self.limits = Limits(**given)
+        self.limits, self.opener, self.filters = Limits(**given), self.options.get("opener"), []
+        self.wanted = [f.name for f in schema.fields] if schema is not None else COLUMNS
+        if odd := {*self.wanted} - {*COLUMNS}:
+            raise ValueError(f"there are no columns {sorted(odd)}")
 
-    def partitions(self):
-        from assayer.sources.discovery import files
+    def _tests(self, column: str, make) -> list:
+        return [make(f) for f in self.filters if f.attribute == (column,)]
 
-        path, n = self.options["path"].removeprefix("file:"), int(self.options.get("perPartition", 64))
-        folder = os.path.isdir(path)
-        listed = files(path, int(self.options.get("maxDepth", 4)), most=None) if folder else [path]
-        return [Files(listed[i : i + n], folder) for i in range(0, len(listed), n)] or [Files([], folder)]
+    def partitions(self):
+        from assayer.sources.discovery import DEPTH, classify, plan
+
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        paths, n = [p.removeprefix("file://") if p.startswith("file:///") else p.removeprefix("file:") for p in paths], int(self.options.get("perPartition", 64))
+        folders = [p for p in paths if classify(p, self.opener).kind == "directory"] if len(paths) == 1 or "paths" in self.options else []
+        rows, left = plan(folders, int(self.options.get("maxDepth", DEPTH)), self.opener)
+        tests = self._tests("path", _path_test)
+        asked = lambda found: [p for p in found if all(t(p) for t in tests)]
+        given, probed = asked([p for p in paths if p not in folders]), asked(sorted(r[3] for r in rows if r[4] == "file"))
+        out = [Files(given[i : i + n], [], []) for i in range(0, len(given), n)] + [Files([], probed[i : i + n], []) for i in range(0, len(probed), n)]
+        return out + [Files([], [], [(folders[r[0]], r[3], r[6])]) for r in left] or [Files([], [], [])]
+
+    def _walked(self, root: str, folder: str, level: int):
+        from assayer.sources.discovery import DEPTH, visit
+
+        at, left = places.place(root, self.opener), [(folder, level)]
+        while left:
+            folder, level = left.pop()
+            for r in visit(at, 0, folder, "", level, int(self.options.get("maxDepth", DEPTH))):
+                if r[4] == "folder":
+                    left.append((r[3], r[6]))
+                elif r[4] == "file":
+                    yield r[3]
 
     def read(self, partition):
         from assayer.sources.discovery import classify
 
+        tests, sizes = self._tests("path", _path_test), self._tests("file_size", _size_test)
         for path in partition.paths:
-            if not partition.probe or classify(path).kind == "gguf":
-                yield read_header(path, self.limits)
+            if (row := read_header(path, self.limits, self.wanted, self.opener, sizes)) is not None:
+                yield row
+        for found in (partition.probed, *(self._walked(*f) for f in partition.folders)):
+            for path in found:
+                if all(t(path) for t in tests) and classify(path, self.opener).kind == "gguf":
+                    if (row := read_header(path, self.limits, self.wanted, self.opener, sizes)) is not None:
+                        yield row
+
+
+class PushedReader(GgufReader):
+    """Takes filters on path and size."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if (f.attribute == ("path",) and _path_test(f)) or (f.attribute == ("file_size",) and _size_test(f)):
+                self.filters.append(f)
+            else:
+                yield f
 
 
 class GgufSource(DataSource):
@@ -247,4 +414,15 @@ class GgufSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return GgufReader(self.options)
+        return GgufReader(self.options, schema)
+
+
+class PushedSource(GgufSource):
+    def reader(self, schema):
+        return PushedReader(self.options, schema)
+
+
+def register(spark: SparkSession) -> None:
+    """The source under the name ``gguf``, with filters pushed into it (a setting of the session)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PushedSource)

@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from assayer.sources.discovery import classify, discover
+from assayer.sources.discovery import classify, targets
 from assayer.sources.gguf import GgufSource, Limits, read_header
 
 CODES = {4: "I", 6: "f", 7: "B", 10: "Q"}
@@ -71,7 +71,7 @@ def test_broken(tmp_path, raw, kind):
 def test_limits(tmp_path):
     assert scan(tmp_path, model(), string_bytes=4)[1] == "limit"
     assert scan(tmp_path, model(), metadata_bytes=32)[1] == "limit"
-    row, error = scan(tmp_path, model([("a.long", 8, "x" * 1000)]), retained_bytes=400)
+    row, error = scan(tmp_path, model([("a.long", 8, "x" * 1000)]), retained_bytes=400, essential_bytes=100)
     assert error is None and row[15] == ["a.long"]
 
 
@@ -83,7 +83,7 @@ def test_source_and_discovery(spark, tmp_path):
     (tmp_path / "bad.gguf").write_bytes(b"GGUF\1")
     (tmp_path / "llama-cli").write_bytes(b"x")
     (tmp_path / "link.gguf").symlink_to(tmp_path / "b.gguf")
-    assert [t.kind for t in discover(str(tmp_path))] == ["gguf", "gguf", "gguf", "runtime"]
+    assert [t.kind for t in targets(spark, [str(tmp_path)]).targets] == ["gguf", "gguf", "gguf", "runtime"]
     assert classify(str(tmp_path / "link.gguf")).detection_method == "symlink"
     spark.dataSource.register(GgufSource)
     rows = spark.read.format("gguf").option("perPartition", 1).load(str(tmp_path)).select("path", "architecture", "error_class").collect()
