@@ -6,8 +6,8 @@ its error, so one bad file fails no task.  Files are dealt to partitions in grou
 Paths are files or folders, local ones or URIs of any Arrow file system; files are read forward by ranges, and arrays that
 are not kept are passed over.  Strings that are not kept are checked in pieces and never held.  With a schema of fewer
 columns, reading stops where the last of them is known: tensor descriptors are only read for ``tensors``, offsets, errors
-and ``bytes_read``, so without these a file whose descriptors are broken looks sound.  ``register`` also lets Spark push
-filters on ``path`` and ``file_size`` into the scan: files they rule out are never opened.
+and ``bytes_read``, so without these a file whose descriptors are broken looks sound.  ``scan`` pushes conditions on
+``path`` and ``file_size`` into the source too: files they rule out are never opened.
 
 Options: path, maxDepth (4), perPartition (64), opener (of ``places.place``), and the limits of ``Limits`` by name."""
 
@@ -15,15 +15,18 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import struct
 from dataclasses import dataclass, fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructField, StructType
 
 from assayer.functions.scalars import GGML_TYPES
 from assayer.sources import places
+from assayer.tables import save
 
 # Fixed values of the format.
 MAGIC = b"GGUF"
@@ -380,6 +383,10 @@ class GgufReader(DataSourceReader):
                 elif r[4] == "file":
                     yield r[3]
 
+    def _fits(self, path: str, sizes: list) -> bool:
+        size = places.place(path, self.opener).look(path).size
+        return all(test(size) for test in sizes)
+
     def read(self, partition):
         from assayer.sources.discovery import classify
 
@@ -389,7 +396,9 @@ class GgufReader(DataSourceReader):
                 yield row
         for found in (partition.probed, *(self._walked(*f) for f in partition.folders)):
             for path in found:
-                if all(t(path) for t in tests) and classify(path, self.opener).kind == "gguf":
+                if not all(t(path) for t in tests) or (sizes and not self._fits(path, sizes)):
+                    continue
+                if classify(path, self.opener).kind == "gguf":
                     if (row := read_header(path, self.limits, self.wanted, self.opener, sizes)) is not None:
                         yield row
 
@@ -417,12 +426,33 @@ class GgufSource(DataSource):
         return GgufReader(self.options, schema)
 
 
-class PushedSource(GgufSource):
+class GgufOnce(GgufSource):
+    """The source under the name ``gguf_once``, with filters on path and size pushed into it.  Spark 4.1 keeps the filters
+    of a DataFrame's first query for all its later ones, so a DataFrame of this source serves one query only: see ``scan``."""
+
+    @classmethod
+    def name(cls):
+        return "gguf_once"
+
     def reader(self, schema):
         return PushedReader(self.options, schema)
 
 
 def register(spark: SparkSession) -> None:
-    """The source under the name ``gguf``, with filters pushed into it (a setting of the session)."""
+    spark.dataSource.register(GgufSource)
+
+
+def scan(spark: SparkSession, paths: list[str], where: Column | None = None, columns: list[str] | None = None, **options) -> DataFrame:
+    """Headers of the files that a condition holds for, with some columns, read once and saved.  Files that conditions on
+    path and size rule out are not opened, and of the others no more is read than the columns and the condition need."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PushedSource)
+    spark.dataSource.register(GgufOnce)
+    names, given = columns or COLUMNS, spark.read.format("gguf_once").options(**options)
+    if where is not None:
+        tried = spark.createDataFrame([], SCHEMA).where(where)  # which columns the condition is about
+        named = {x.strip() for x in re.findall(r"(\w+)#\d+", tried._jdf.queryExecution().analyzed().toString().split("\n")[0])}
+        names = [*names, *(n for n in COLUMNS if n in named and n not in names)]
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], SCHEMA).schema}
+    found = given.schema(StructType([StructField(n, kinds[n]) for n in names])).load(paths)
+    found = found if where is None else found.where(where)
+    return save(found.select(*(columns or COLUMNS)), "headers")
