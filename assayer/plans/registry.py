@@ -278,4 +278,4 @@ def template_evidence(spark, sf_dir):
     return scan(df, "doc_id", "t").select("doc_id", "seq", "kind", "node_type", "severity")
 
 
-from assayer.plans import inspections  # noqa: E402, F401  registers its queries here
+from assayer.plans import fleets, inspections  # noqa: E402, F401  they register their queries here
