@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.operators import digests
 from assayer.plans.registry import query, read
 from assayer.sources import discovery, gguf, places
 from assayer.tables import shared_folder
@@ -125,3 +126,12 @@ def walked_targets(spark, sf_dir):
         found = discovery.inventory(spark, [f"{root}/{lang}"])
         rows += [(lang, t.path[len(root) + 1 :], t.kind, found.candidates, found.limit_reached) for t in found.targets]
     return spark.createDataFrame(rows, "lang string, path string, kind string, candidates int, limit_reached boolean")
+
+
+@query("fleet_digests", "SELECT doc_id, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes_read FROM documents WHERE text IS NOT NULL")
+def fleet_digests(spark, sf_dir):
+    """A file a document, found by tasks and hashed in partitions of equal bytes."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    root = write_files(spark, docs.select(F.concat(F.col("doc_id") % 50, F.lit("/"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("data")), "texts")
+    found = digests.file_digests(discovery.listing(spark, [root]).where("kind = 'file'"))
+    return found.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("long").alias("doc_id"), "digest", "bytes_read")
