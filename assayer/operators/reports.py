@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import sarif_level
+from assayer.sources import report_sink
+from assayer.tables import save
 
 
 def canonical(value) -> str:
@@ -41,13 +43,19 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     """(id, rule_index, level, summary): the first finding of each id, numbered in order of appearance (column seq, ties
     by id).  Ids are numbered within ranges of seq, and ranges by the ids before them, so no task sees all ids.  Ranges
     are by fixed bounds, a function of seq alone, so that it doesn't matter which task counts or numbers a row."""
-    first = findings.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by(F.struct("severity", "summary"), "seq").alias("f"))
+    return _numbered_rules(findings).select("id", sarif_level(F.col("f.severity")).alias("level"), F.col("f.summary").alias("summary"), F.col("rule_index").cast("int").alias("rule_index"))
+
+
+def _numbered_rules(findings: DataFrame) -> DataFrame:
+    """(id, seq, f, rule_index): f the first finding of each id."""
+    extra = ["check"] if "check" in findings.columns else []
+    first = findings.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by(F.struct("severity", "summary", *extra), "seq").alias("f"))
     bounds = F.array(*map(F.lit, findings.approxQuantile("seq", [i / RANGES for i in range(1, RANGES)], 1e-3))).cast("array<double>")
     ranged = first.withColumn("_part", F.size(F.filter(bounds, lambda b: b <= F.col("seq"))))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a range
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     numbered = ranged.join(F.broadcast(before), "_part").withColumn("rule_index", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("seq", "id")) - 1)
-    return numbered.select("id", sarif_level(F.col("f.severity")).alias("level"), F.col("f.summary").alias("summary"), F.col("rule_index").cast("int").alias("rule_index"))
+    return numbered.select("id", "seq", "f", "rule_index")
 
 
 def sarif_results(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -146,6 +154,40 @@ def sarif(report: dict, tool: str = "assayer", version: str = "1") -> dict:
     return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
 
 
+# The same documents for findings that nothing holds at once.
+def write_json(findings: DataFrame, report: dict, path: str, **options) -> None:
+    """What ``canonical(projection(report))`` is, for findings in a table (columns of a finding and seq): tasks write the
+    findings by id, ties by seq."""
+    shown = [c for c in findings.columns if c != "seq"]
+    counts = findings.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("verified", "clean", "suspicious", "unchecked", "not_applicable", "error"))).first()
+    frame = projection(report | {"findings": []}) | {"findings": "@findings", "coverage": counts.asDict()}
+    rows = findings.select(F.lit("findings").alias("section"), report_sink.item(**{c: F.col(c) for c in shown}).alias("item"), "id", "seq")
+    report_sink.write_report(rows, frame, path, "id", "seq", **options)
+
+
+def write_sarif(findings: DataFrame, artifacts: DataFrame, report: dict, path: str, **options) -> None:
+    """What ``canonical(sarif(report))`` is, for findings (columns of a finding and seq) and artifacts (path, seq) in tables."""
+    frame = sarif(report | {"findings": [], "artifacts": []})
+    run = frame["runs"][0]
+    run["tool"]["driver"]["rules"], run["results"], run["artifacts"] = "@rules", "@results", "@artifacts"
+    numbered = save(_numbered_rules(findings), "rules")
+    said = F.coalesce(F.when(F.col("f.summary") != "", F.col("f.summary")), F.col("id"))
+    text = lambda c: F.struct(c.alias("text"))
+    level = lambda c: F.coalesce(sarif_level(c), F.lit("none"))
+    rules = numbered.select(F.lit("rules").alias("section"), report_sink.item(id=F.col("id"), shortDescription=text(said), fullDescription=text(said), defaultConfiguration=F.struct(level(F.col("f.severity")).alias("level")), properties=F.struct(F.array(F.col("f.check")).alias("tags"))).alias("item"), F.col("rule_index").cast("long").alias("seq"))
+    paths = artifacts.select(F.col("path").alias("_p")).distinct()
+    head = artifacts.orderBy("seq").limit(1).select(F.col("path").alias("_first"))
+    bad = findings.where(F.col("status").isin("suspicious", "error")).join(paths, F.col("path") == F.col("_p"), "left").join(F.broadcast(head), how="left")  # head: a row at most
+    bad = bad.join(numbered.select(F.col("id").alias("_id"), "rule_index"), F.col("id") == F.col("_id"))
+    place = F.coalesce("_p", "_first")
+    message = text(F.coalesce(F.when(F.col("summary") != "", F.col("summary")), F.col("id")))
+    base = {"ruleId": F.col("id"), "ruleIndex": F.col("rule_index"), "level": level(F.col("severity")), "message": message}
+    where = F.array(F.struct(F.struct(F.struct(place.alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
+    results = bad.select(F.lit("results").alias("section"), F.when(place.isNull(), report_sink.item(**base)).otherwise(report_sink.item(**base, locations=where)).alias("item"), F.col("seq").cast("long").alias("seq"))
+    listed = artifacts.select(F.lit("artifacts").alias("section"), report_sink.item(location=F.struct(F.col("path").alias("uri"))).alias("item"), F.col("seq").cast("long").alias("seq"))
+    report_sink.write_report(rules.unionByName(results).unionByName(listed), frame, path, "seq", **options)
+
+
 def escaped(text) -> str:
     return re.sub(r"([\\`*_\[\]<>|])", r"\\\1", str(text))
 
