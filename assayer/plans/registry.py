@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import rules, scalars
-from assayer.operators import advisories, structure, template_nodes, templates, verdict
+from assayer.operators import advisories, advisory_index, structure, template_nodes, templates, verdict
 from assayer.plans.seeds import spark_text, sql_text
 
 QUERIES: dict = {}
@@ -165,6 +165,28 @@ def advisory_join(spark, sf_dir):
     return advisories.counts(artifacts, runtimes, advisories.advisories(spark))
 
 
+_parts_sql = """rules AS (SELECT 'A-' || p_partkey AS advisory, ['llama.cpp', 'ollama', 'sglang', 'vllm'][p_partkey % 4 + 1] AS c, p_partkey % 4 IN (0, 3) AS numbered, p_partkey * 7919 % 100000 AS low, p_partkey * 7919 % 100000 + p_size AS high,
+ p_partkey % 3 = 0 AS needs_template, p_partkey % 5 = 0 AS ends_open, CASE p_partkey % 2 WHEN 0 THEN 'critical' ELSE 'high' END AS severity, ['low', 'medium', 'high'][p_partkey % 3 + 1] AS rule_confidence FROM part),
+runs AS (SELECT o_orderkey AS runtime_id, [' Llama-Server', 'ollama', 'SGLang', 'vllm', 'other'][o_custkey % 5 + 1] AS component, ['llama.cpp', 'ollama', 'sglang', 'vllm', 'other'][o_custkey % 5 + 1] AS own, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey * 31 % 100100 END AS n, o_custkey % 2 = 0 AS has_template, ['low', 'medium', 'high'][o_orderkey % 3 + 1] AS confidence FROM orders)"""
+
+
+@query("affected_runtimes", f"""WITH {_parts_sql} SELECT runtime_id, advisory, severity, ['low', 'medium', 'high'][least(list_position(['low', 'medium', 'high'], rule_confidence), list_position(['low', 'medium', 'high'], confidence))] AS confidence
+FROM runs JOIN rules ON own = c AND n >= low AND (CASE WHEN ends_open THEN n < high ELSE n <= high END) AND (NOT needs_template OR has_template)""")
+def affected_runtimes(spark, sf_dir):
+    """Parts as advisories, each with a narrow range of builds or dotted versions, and orders as runtimes: the rows of an
+    interval index against those of a join by inequalities.  A dotted version's two last parts make up the number."""
+    key, pick = F.col("p_partkey"), lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (F.col(k) % len(v) + 1).cast("int"))
+    numbered, low = (key % 4).isin(0, 3), key * 7919 % 100_000
+    dotted = lambda n, v="": F.concat(F.lit(f"{v}0."), F.floor(n / 100).cast("string"), F.lit("."), (n % 100).cast("string"))
+    at = lambda n: F.when(numbered, n.cast("string")).otherwise(dotted(n))
+    none, open_ = F.lit(None).cast("string"), key % 5 == 0
+    sides = F.struct(none.alias("gt"), at(low).alias("gte"), F.when(open_, at(low + F.col("p_size"))).alias("lt"), F.when(~open_, at(low + F.col("p_size"))).alias("lte"))
+    rules = read(spark, sf_dir, "part").select(F.concat(F.lit("A-"), key).alias("advisory"), pick("p_partkey", "llama.cpp", "ollama", "sglang", "vllm").alias("rule_component"), F.when(numbered, "build").otherwise("semver").alias("scheme"), sides.alias("affected"), (key % 3 == 0).alias("needs_template"), F.when(key % 2 == 0, "critical").otherwise("high").alias("rule_severity"), pick("p_partkey", "low", "medium", "high").alias("rule_confidence"))
+    n = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") * 31 % 100_100)
+    runtimes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("runtime_id"), pick("o_custkey", " Llama-Server", "ollama", "SGLang", "vllm", "other").alias("component"), n.alias("build"), dotted(n, "v").alias("version"), pick("o_orderkey", "low", "medium", "high").alias("confidence"), (F.col("o_custkey") % 2 == 0).alias("has_template"))
+    return advisory_index.affected(runtimes, rules)
+
+
 # Tensors.
 @query("tensor_overlap", "WITH t AS (SELECT *, lag(e) OVER (PARTITION BY l_orderkey ORDER BY s, e, name) AS previous_end FROM (SELECT l_orderkey, l_linenumber * 64 AS s, l_linenumber * 64 + CAST(l_quantity AS BIGINT) * 3 AS e, CAST(l_partkey AS VARCHAR) AS name FROM lineitem)) SELECT l_orderkey, s, e, name, previous_end FROM t WHERE s < previous_end")
 def tensor_overlap(spark, sf_dir):
