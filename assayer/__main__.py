@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif own.summary_only:
         print(report["verdict"])
     elif own.json_path != "-":
-        shown = {"terminal": reports.terminal, "markdown": reports.markdown, "sarif": lambda r: reports.canonical(reports.sarif(r)), "agent": lambda r: reports.canonical(reports.agent(r)), "json": lambda r: reports.canonical(reports.projection(r))}
+        shown = {"terminal": reports.terminal, "markdown": lambda r: reports.markdown(r, bool(own.include_observations)), "sarif": lambda r: reports.canonical(reports.sarif(r)), "agent": lambda r: reports.canonical(reports.agent(r)), "json": lambda r: reports.canonical(reports.projection(r))}
         print(shown[own.format](report))
     return report["exit_code"]
 

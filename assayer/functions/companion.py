@@ -81,11 +81,19 @@ def from_sources(text: Column) -> Column:
 
 def remote_snippets(text: Column) -> Column:
     """From each remote address to the end of its line, 512 characters at most."""
-    # An address within the rest of a line that another one begins counts on its own, so ends are looked up, not matched.
-    starts = F.split(F.regexp_replace(text, REMOTE, "\u0001$0"), "\u0001")
-    places = F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.substring_index(F.array_join(F.slice(starts, i + 1, F.size(starts)), ""), "\n", 1))
-    found = F.when(F.size(starts) > 1, places).otherwise(F.array().cast("array<string>"))
-    return F.transform(found, lambda s: F.substring(stripped(s, " \"',"), 1, 512))
+
+    def of_line(line: Column) -> Column:
+        # An address within the rest of a line that another one begins counts on its own, so each begins where the texts
+        # between addresses and the addresses before it end.
+        between, found = F.split(line, REMOTE, -1), F.regexp_extract_all(line, F.lit(REMOTE), F.lit(0))
+        lengths = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda x, y: F.struct(F.length(x).alias("x"), F.length(y).alias("y")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+        places = F.aggregate(lengths, start, lambda s, n: F.struct((s["at"] + n["x"] + n["y"]).alias("at"), F.concat(s["out"], F.array(s["at"] + n["x"])).alias("out")), lambda s: s["out"])
+        bare = F.regexp_replace(line, "[ \"',]+$", "")
+        return F.transform(places, lambda p: F.substring(bare, p, F.lit(512)))
+
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(REMOTE))
+    return F.flatten(F.transform(lines, of_line))
 
 
 def blocked_host(metadata: Column) -> Column:

@@ -83,14 +83,41 @@ def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(out, F.lit("")), F.lit("unknown"))
 
 
+#: What a parse error points to: words of its message, tried in order, a word for it, what it means and a likely cause.
+ORIGINS = (
+    (("zero-sized dimension",), "zero_dimension", "One of the tensors has no extent along one of its dimensions, so it can hold nothing.", "A converter or quantizer wrote a tensor that it had emptied."),
+    (("truncat",), "truncated", "The header announces more than the file holds.", "A download or copy stopped early, or the storage lost the end."),
+    (("magic",), "magic", "The first four bytes are not those of a model file.", "Another kind of file under this name."),
+    (("version",), "version", "The file's format version is one that is not read here; versions 2 and 3 are.", "A writer that is older or newer than that."),
+    (("duplicate",), "duplicate", "A name that must be unique occurs twice.", "Metadata or tensors were merged or patched in by a tool."),
+    (("limit", "budget"), "limit", "Reading on would take more memory or steps than is allowed for a header.", "Very large metadata, or a file made to exhaust its reader."),
+    (("alignment",), "alignment", "The place where tensor data begins is not a power of two of eight bytes or more.", "A converter set the wrong alignment."),
+    (("overlap",), "overlap", "Two tensors share bytes, so that loading one would read the other.", "A damaged header, or a converter that miscounted."),
+    (("utf-8",), "encoding", "A text in the metadata is no valid UTF-8.", "A writer with another encoding, or damage to the file."),
+)
+OTHER_ORIGIN = ("other", "The header could not be read for another reason.", "Unknown: damage, or something that is not read here.")
+
+
+def _origin(message: Column, part: int) -> Column:
+    low, out = F.lower(message), F.lit(OTHER_ORIGIN[part])
+    for words, *said in reversed(ORIGINS):
+        out = F.when(reduce(lambda x, y: x | y, (low.contains(w) for w in words)), said[part]).otherwise(out)
+    return out
+
+
 def error_origin(message: Column) -> Column:
     """What a parse error points to, by its words in order."""
-    low = F.lower(message)
-    order = (("zero-sized dimension", "zero_dimension"), ("truncat", "truncated"), ("magic", "magic"), ("version", "version"), ("duplicate", "duplicate"), ("limit", "limit"), ("budget", "limit"), ("alignment", "alignment"), ("overlap", "overlap"), ("utf-8", "encoding"))
-    out = F.lit("other")
-    for word, name in reversed(order):
-        out = F.when(low.contains(word), name).otherwise(out)
-    return out
+    return _origin(message, 0)
+
+
+def error_explanation(message: Column) -> Column:
+    """(origin, explanation, cause) of a parse error."""
+    return F.struct(*(_origin(message, i).alias(n) for i, n in enumerate(("origin", "explanation", "cause"))))
+
+
+def explained(message: str) -> tuple[str, str, str]:
+    """The same for one message."""
+    return next((tuple(said) for words, *said in ORIGINS if any(w in message.lower() for w in words)), OTHER_ORIGIN)
 
 
 def sarif_level(severity: Column) -> Column:

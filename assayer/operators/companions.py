@@ -17,8 +17,3 @@ def findings(evidence: DataFrame, folders: DataFrame, by: str = "folder") -> Dat
     none = folders.join(evidence.select(by).distinct(), by, "left_anti").select(by, F.lit("config.no_signals").alias("id"), F.lit("clean").alias("status"), F.lit("info").alias("severity"), F.lit(False).alias("mandatory"))
     return rows.unionByName(none)
 
-
-def is_companion(name):
-    """Whether a file name belongs to text that goes along with a model."""
-    low = F.lower(name)
-    return low.rlike(r"\.(json|md|txt|yaml|yml|pem|key|cfg|ini|conf)\z") | low.isin("modelfile", "dockerfile")

@@ -10,7 +10,7 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.scalars import sarif_level
+from assayer.functions.scalars import explained, sarif_level
 from assayer.sources import report_sink
 from assayer.tables import save
 
@@ -192,13 +192,51 @@ def escaped(text) -> str:
     return re.sub(r"([\\`*_\[\]<>|])", r"\\\1", str(text))
 
 
-def markdown(report: dict) -> str:
-    """Verdict, artifacts, and findings by status, worst first."""
-    out = [f"# Verdict: {escaped(report['verdict'])}", "", *(f"- {escaped(a['path'])}" for a in report.get("artifacts", [])), ""]
-    for status in ("suspicious", "error", "unchecked", "verified", "clean", "not_applicable"):
-        rows = [f for f in in_order(report["findings"]) if f["status"] == status]
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    line = lambda cells: "| " + " | ".join(escaped(c) for c in cells) + " |"
+    return [line(head), "|" + "-|" * len(head), *map(line, rows), ""] if rows else []
+
+
+def markdown(report: dict, include_observations: bool = False) -> str:
+    """All of a report for people: verdict, artifacts, runtimes, what is suspicious, errors with what they mean, gaps,
+    coverage, advice, the bundle and, if asked for, observations.  Sections without anything to say are left out."""
+    found = in_order(report["findings"])
+    pick = lambda s: [f for f in found if f["status"] == s]
+    out = [f"# Verdict: {escaped(report['verdict'])}", "", *(f"> {x}" for x in projection(report)["limitations"]), ""]
+    artifacts, runtimes = report.get("artifacts", []), report.get("runtimes") or []
+    if artifacts:
+        template = lambda a: {True: "yes", False: "no"}.get(a.get("has_chat_template"), "")
+        rows = [[a.get("name") or os.path.basename(a["path"]), a["path"], a.get("architecture") or "unknown", a.get("gguf_version") or "", "" if a.get("tensor_count") is None else a["tensor_count"], template(a)] for a in artifacts]
+        out += ["## Artifacts", "", *_table(["name", "path", "architecture", "format version", "tensors", "chat template"], rows)]
+    if runtimes:
+        known = lambda r: r.get("version") or (f"build {r['build']}" if r.get("build") is not None else r.get("commit") or "unknown")
+        out += ["## Runtimes", "", *_table(["component", "version", "found by", "confidence"], [[r.get("component"), known(r), r.get("method") or "", r.get("confidence") or ""] for r in runtimes])]
+    if bad := pick("suspicious"):
+        out += [f"## Suspicious ({len(bad)})", ""]
+        for f in bad:
+            out += [f"- **{escaped(f.get('summary') or f['id'])}**", f"  - id: {escaped(f['id'])}", f"  - severity: {f['severity']}, confidence: {f.get('classification') or 'high'}", *([f"  - path: {escaped(f['path'])}"] if f.get("path") else [])]
+        out.append("")
+    if errors := pick("error"):
+        out += [f"## Errors ({len(errors)})", ""]
+        for f in errors:
+            said = f.get("summary") or ""
+            _, meaning, cause = explained(said)
+            out += [f"- **{escaped(f.get('path') or f['id'])}**: {escaped(said or f['id'])}", *([f"  - meaning: {meaning}", f"  - likely cause: {cause}"] if f.get("check") == "gguf_structure" else [])]
+        out.append("")
+    if gaps := [f for f in pick("unchecked") if f["mandatory"]]:
+        out += [f"## Not checked ({len(gaps)})", "", *(f"- {escaped(f.get('summary') or f['id'])}" for f in gaps), ""]
+    for status in ("unchecked", "verified", "clean", "not_applicable"):
+        rows = [[f["id"], f["severity"], f.get("summary") or ""] for f in pick(status) if status != "unchecked" or not f["mandatory"]]
         if rows:
-            out += [f"## {status} ({len(rows)})", "", "| id | severity | summary |", "|-|-|-|", *(f"| {escaped(f['id'])} | {f['severity']} | {escaped(f.get('summary') or '')} |" for f in rows), ""]
+            out += [f"## {'notes' if status == 'unchecked' else status} ({len(rows)})", "", *_table(["id", "severity", "summary"], rows)]
+    counts = projection(report)["coverage"]
+    out += ["## Coverage", "", ", ".join(f"{n} {escaped(s)}" for s, n in counts.items() if n) or "nothing was checked", ""]
+    if advice := report.get("recommendations"):
+        out += ["## Advice", "", *(f"{i}. {escaped(r['title'])} ({r['priority']})" for i, r in enumerate(advice, 1)), ""]
+    if bundle := report.get("bundle"):
+        out += ["## Advisories", "", f"- bundle: {escaped(bundle['version'])}", f"- digest: {escaped(bundle['digest'])}", ""]
+    if include_observations and report.get("observations"):
+        out += ["## Observations", "", *(f"- {escaped(k)}: {escaped(v)}" for k, v in sorted(report["observations"].items())), ""]
     return "\n".join(out) + "\n"
 
 

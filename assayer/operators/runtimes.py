@@ -17,7 +17,7 @@ from assayer.functions.scalars import RUNTIME_NAMES, component, executable_forma
 
 # Where identities are looked for, and the forms in which a user may give one.
 NEARBY = ("build-info.json", "build-info.txt", "build_info.json", "build_info.txt", "llama-build-info.txt", "llama-version.txt", "version.txt", "build.txt", "CMakeCache.txt")
-LEVELS, NEARBY_BYTES, HEAD_BYTES, WINDOW_BYTES, BINARY_BYTES, PE_OFFSET = 4, 64 << 10, 4096, 1 << 20, 64 << 20, 1 << 20
+LEVELS, NEARBY_BYTES, HEAD_BYTES, WINDOW_BYTES, BINARY_BYTES = 4, 64 << 10, 4096, 1 << 20, 64 << 20
 GIVEN_BUILD = r"(?i)^\s*(?:build\s*[:= -]?\s*)?b?(\d+)\s*\z"
 GIVEN_VERSION = r"(?i)^\s*(?:version\s*[:= -]?\s*)?v?([0-9]+\.[0-9]+(?:\.[0-9]+)?(?:[-+][0-9A-Za-z.-]+)?)\s*\z"
 GIVEN_COMMIT = r"(?i)^\s*(?:commit\s*[:= -]?\s*)?([0-9a-f]{7,40})\s*\z"
@@ -25,6 +25,11 @@ FLAGS_LINE = r"(?im)^\s*flags?\s*[:=]\s*(.+?)\s*$"
 #: Sources in order of belief, with the name of the method and the confidence.
 SOURCES = (("given", "explicit_override", "high"), ("nearby", "nearby_build_file", "high"), ("git", "git_metadata", "medium"), ("binary", "static_binary_strings", "low"))
 # End of fixed values.
+#: Bytes of a file that a task reads, and those read on at a time where a run goes beyond them.
+RANGE_BYTES, CARRY_BYTES = 8 << 20, 64 << 10
+SOURCE_ROWS = "runtime string, source string, place int, name string, text string"
+TELLING = re.compile(r"build|version|llama|commit|revision|rev\b|^\s*b\d+\s*$", re.I | re.M)
+_RUN = re.compile(rb"[\x20-\x7e]+")
 IDENTITY = "struct<build:bigint,version:string,commit:string>"
 
 
@@ -139,22 +144,54 @@ def git_commit(folder: str) -> str | None:
     return packed[ref].lower() if whole.fullmatch(packed.get(ref, "")) else None
 
 
-def binary_windows(path: str):
-    """Printable runs of a binary, a line each, window by window."""
-    at, size = 0, os.path.getsize(path) if os.path.isfile(path) else 0
-    while at < min(size, BINARY_BYTES):
-        data = read_bounded(os.path.realpath(path), min(WINDOW_BYTES, size - at), at)
-        if not data:
-            return
-        yield re.sub(r"[^\x20-\x7e]+", "\n", data.decode("latin-1"))
-        at += len(data)
+def printable_runs(path: str, start: int, end: int):
+    """(place, text) of the printable runs of a binary that begin in a range of its bytes, each whole: one that goes on
+    beyond the range is read on, and one that began before it is another range's."""
+    with open(path, "rb") as f:
+        f.seek(max(0, start - 1))
+        before = f.read(1) if start else b""
+        data = f.read(end - start)
+        for m in _RUN.finditer(data):
+            if m.start() == 0 and before and _RUN.match(before):
+                continue
+            run = m[0]
+            while m.end() == len(data) and f.tell() < BINARY_BYTES:
+                more = f.read(min(CARRY_BYTES, BINARY_BYTES - f.tell()))
+                on = _RUN.match(more)
+                run += on[0] if on else b""
+                if not more or not on or on.end() < len(more):
+                    break
+            yield start + m.start(), run.decode("ascii")
+
+
+def binary_sources(runtimes: DataFrame, parts: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(runtime, source, place, name, text) of the printable runs of binaries (runtime, size) that may name an identity, a
+    row for each window that they begin in.  Tasks read ranges of files, so one long file is many tasks' work."""
+    size = F.least(F.col("size"), F.lit(BINARY_BYTES))
+    starts = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1, F.lit(range_bytes).cast("long")))
+    ranges = runtimes.select("runtime", F.explode(starts).alias("start"), size.alias("size")).select("runtime", "start", F.least(F.col("start") + range_bytes, "size").alias("end"))
+
+    def run(it):
+        for b in it:
+            for path, start, end in zip(*(c.to_pylist() for c in b.columns)):
+                windows: dict[int, list[str]] = {}
+                try:
+                    for at, text in printable_runs(os.path.realpath(path), start, end):
+                        if TELLING.search(text):
+                            windows.setdefault(at // WINDOW_BYTES, []).append(text)
+                except OSError:
+                    continue
+                if windows:
+                    cols = [[path] * len(windows), ["binary"] * len(windows), list(windows), [""] * len(windows), ["\n".join(x) for x in windows.values()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["runtime", "source", "place", "name", "text"])
+
+    return ranges.repartition(parts or runtimes.sparkSession.sparkContext.defaultParallelism, "runtime", "start").mapInArrow(run, SOURCE_ROWS)
 
 
 def read_runtimes(spark, paths: list[str], given: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(runtimes, sources) of executables, read in tasks: path, mode, head, error, recognized; and what ``identify`` takes.
-    Windows of a binary that hold no digit after a letter are left out, as no identity is in them."""
+    Binaries of runtimes that a user names are not searched."""
     listed = spark.createDataFrame([(p, (given or {}).get(p)) for p in paths], "runtime string, given string").repartition(max(1, len(paths)))
-    telling = re.compile(r"build|version|llama|commit|revision|rev\b|^\s*b\d+\s*$", re.I | re.M)
 
     def facts(it):
         for b in it:
@@ -175,14 +212,19 @@ def read_runtimes(spark, paths: list[str], given: dict[str, str] | None = None)
                     near = [(name, read_bounded(os.path.join(d, name), NEARBY_BYTES)) for d in around for name in NEARBY]
                     rows += [("nearby", i, name, raw.decode("utf-8", "replace")) for i, (name, raw) in enumerate(near) if raw]
                     rows += [("git", i, ".git", f"commit: {c}") for i, c in enumerate(map(git_commit, around)) if c]
-                    rows += [("binary", i, "", "\n".join(x for x in w.split("\n") if telling.search(x))) for i, w in enumerate(binary_windows(path)) if telling.search(w)]
                 if rows:
                     cols = [[path] * len(rows), *zip(*rows)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["runtime", "source", "place", "name", "text"])
 
+    def sizes(it):
+        for b in it:
+            paths = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([os.path.getsize(p) if os.path.isfile(p) else 0 for p in paths], pa.int64())], names=["runtime", "size"])
+
+    binaries = binary_sources(listed.where("given is null").select("runtime").mapInArrow(sizes, "runtime string, size long"))
     runtimes = listed.select("runtime").mapInArrow(facts, "runtime string, mode int, head binary, error string")
     runtimes = runtimes.withColumn("component", runtime_component(F.col("runtime"))).withColumn("recognized", F.col("component") != "unknown").withColumn("format", executable_format(F.col("head")))
-    return runtimes, listed.mapInArrow(sources, "runtime string, source string, place int, name string, text string")
+    return runtimes, listed.mapInArrow(sources, SOURCE_ROWS).unionByName(binaries)
 
 
-__all__ = ["component", "identify", "posture", "read_runtimes"]
+__all__ = ["binary_sources", "component", "identify", "posture", "read_runtimes"]

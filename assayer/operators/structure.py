@@ -31,11 +31,11 @@ def sibling_mismatch(artifacts: DataFrame, by: str, order: str, template: str, m
     return first.withColumn("_first", F.first(template).over(w)).where(F.col(template) != F.col("_first")).drop("_n", "_first")
 
 
-def budget(rows: DataFrame, by: list[str], order: list[str], size: str, most: int) -> DataFrame:
-    """Rows before the running total of all rows passes ``most``, per group.  Rows that don't fit use up the total as
-    well: this is what the SQL of companion_budget says, not the rule for reading companions (``read_within``)."""
+def running_total(rows: DataFrame, by: list[str], order: list[str], size: str, most: int) -> DataFrame:
+    """Every row with ``running``, its group's total up to it, and ``fits``, whether that keeps to ``most``.  Which files are
+    read under a total is another rule: ``read_within``."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= most)
+    return rows.withColumn("running", F.sum(size).over(w)).withColumn("fits", F.col("running") <= most)
 
 
 def read_within(rows: DataFrame, by: list[str], order: list[str], size: str, most_file: int = FILE_BYTES, most_total: int = TOTAL_BYTES) -> DataFrame:

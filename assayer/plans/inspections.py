@@ -242,10 +242,14 @@ def template_families(spark, sf_dir):
     return docs.join(F.broadcast(known), "family", "left").select("doc_id", "family", "revision")
 
 
-@query("plain_space", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')")
+_SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ODD_SPACES = ("\u00a0x\u2003 \u3000", " \x85\u2028y\u1680", "\x1cz\x1f", "\u202f\u205f\u200a", "")
+
+
+@query("plain_space", f"SELECT doc_id, md5(regexp_replace(regexp_replace({one_of_sql('doc_id', ODD_SPACES)} || text, '{_SPACES}', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def plain_space(spark, sf_dir):
-    odd = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    return read(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(odd)).select("doc_id", F.md5(templates.plain_space(F.col("text"))).alias("digest"))
+    """Every text, most behind white space of other scripts."""
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(templates.plain_space(F.concat(one_of("doc_id", ODD_SPACES), "text"))).alias("digest"))
 
 
 EVIDENCE = ("call", "macro", "dangerous_function", "poison_dangerous_function", "exfiltration_url", "call")
@@ -290,7 +294,7 @@ SCANNED = ("a.pkl: Dangerous import 'os system' FOUND\nok\nb.bin: suspicious imp
 _LINES = f"l AS (SELECT doc_id, i - 1 AS n, string_split(t, chr(10))[i] AS line FROM (SELECT doc_id, {one_of_sql('doc_id', SCANNED)} AS t FROM documents) d, range(1, 4) r(i) WHERE i <= len(string_split(t, chr(10)))), p AS (SELECT doc_id, n, lower(regexp_extract(line, {lit('(?i)' + scanners.IMPORT_LINE)}, 2)) AS kind, regexp_extract(line, {lit('(?i)' + scanners.IMPORT_LINE)}, 3) AS imported, regexp_extract(line, {lit('(?i)' + scanners.IMPORT_LINE)}, 1) AS location FROM l WHERE regexp_matches(line, {lit('(?i)' + scanners.IMPORT_LINE)}))"
 
 
-@query("scanner_lines", f"WITH {_LINES} SELECT doc_id, kind || '-import-' || CAST(n AS VARCHAR) AS external, CASE kind WHEN 'dangerous' THEN 'critical' ELSE 'medium' END AS severity, kind || ' import: ' || imported AS message, location FROM p")
+@query("scanner_lines", f"WITH {_LINES} SELECT doc_id, 'line-' || CAST(n AS VARCHAR) AS external, CASE kind WHEN 'dangerous' THEN 'critical' ELSE 'medium' END AS severity, kind || ': ' || imported AS message, location FROM p")
 def scanner_lines(spark, sf_dir):
     return scanners.import_lines(read(spark, sf_dir, "documents").select("doc_id", one_of("doc_id", SCANNED).alias("t")), "t").drop("n")
 

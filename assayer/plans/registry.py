@@ -8,6 +8,8 @@ from assayer.functions import rules, scalars
 from assayer.operators import advisories, advisory_index, structure, template_nodes, templates, verdict
 from assayer.plans.seeds import spark_text, sql_text
 
+#: Bytes of a partition that is worth a task of its own.
+DEALT_BYTES = 32 << 20
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -43,9 +45,11 @@ def read(spark, sf_dir, table):
 
 
 def dealt(df):
-    """A table that comes in fewer partitions than there are cores, dealt to all: patterns cost more than moving rows."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """A table of so few bytes that it comes in fewer partitions than there are cores, dealt to all: patterns cost more than
+    moving rows."""
+    spark = df.sparkSession
+    n, size = spark.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * DEALT_BYTES else df
 
 
 def _quote(p: str) -> str:
@@ -224,10 +228,11 @@ def manifest_coherence(spark, sf_dir):
     return structure.coherence(docs, manifests, "source")
 
 
-@query("companion_budget", "WITH t AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE n_chars <= 8000) SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM t WHERE running <= 100000")
+@query("companion_budget", f"SELECT source, doc_id, CAST(sum(coalesce(strlen(text), 0)) OVER w AS BIGINT) AS running, sum(coalesce(strlen(text), 0)) OVER w <= {structure.TOTAL_BYTES} AS fits FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
 def companion_budget(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where("n_chars <= 8000").select("source", "doc_id", "n_chars")
-    return structure.budget(rows, ["source"], ["doc_id"], "n_chars", 100_000).select("source", "doc_id", "running")
+    """Every document of a source's folder: the bytes up to it, and whether reading all of them would keep to the total."""
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return structure.running_total(rows, ["source"], ["doc_id"], "bytes", structure.TOTAL_BYTES).select("source", "doc_id", "running", "fits")
 
 
 @query("companion_reads", f"""WITH RECURSIVE t AS (SELECT source, doc_id, strlen(text) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),

@@ -100,40 +100,56 @@ def version(tool: str) -> str | None:
     return (run.out or run.err).strip() or None if run.code == 0 else None
 
 
+def _read_lines(run: Run) -> tuple[list, str | None]:
+    """A line for each import."""
+    found = []
+    for at, line in enumerate(run.out.splitlines()):
+        if m := re.match(IMPORT_LINE, line, re.IGNORECASE):
+            place, kind, name = m[1], m[2].lower(), m[3]
+            found.append((f"line-{at}", "critical" if kind == "dangerous" else "medium", f"{kind}: {name}", place))
+    return found, "an exit code of findings without any" if run.code == 1 and not found else None
+
+
+def _read_assessment(run: Run) -> tuple[list, str | None]:
+    """One word for the whole file."""
+    report = json.loads(run.report)
+    word = str(report.get("severity", "UNKNOWN")).upper()
+    found = [(word.lower(), ASSESSMENTS[word], str(report.get("analysis", word.lower())), "")] if word in ASSESSMENTS else []
+    return found, "an exit code of findings without any" if run.code == 1 and not found else None
+
+
+def _issue_reader(text, fields: tuple[tuple[str, ...], ...], failed: str):
+    """A list of issues; fields: the keys of an id, a message and a place, the first that is there counts."""
+
+    def read(run: Run) -> tuple[list, str | None]:
+        report = json.loads(text(run.out))
+        issues = report.get("issues", [])
+        if not isinstance(issues, list):
+            raise ValueError("its issues are no list")
+        first = lambda issue, keys, other: str(next((issue[k] for k in keys if issue.get(k)), other))
+        ident, message, place = fields
+        found = [(first(x, ident, f"issue-{i}"), str(x.get("severity", "info")), first(x, message, "no message"), first(x, place, "")) for i, x in enumerate(issues) if isinstance(x, dict)]
+        return found, "errors of its own" if report.get(failed) else None
+
+    return read
+
+
+READERS = {
+    "picklescan": _read_lines,
+    "fickling": _read_assessment,
+    "modelaudit": _issue_reader(lambda out: out, (("rule_code", "type"), ("message",), ("location",)), "has_errors"),
+    "modelscan": _issue_reader(lambda out: out[out.index("{") : out.rindex("}") + 1], (("operator",), ("description",), ("source",)), "errors"),
+}
+
+
 def parse(tool: str, run: Run) -> tuple[list[tuple[str, str, str, str]], str | None]:
     """(id, severity, message, location) of each finding, and an error, which leaves no findings."""
-    found: list[tuple[str, str, str, str]] = []
-    error = None if run.code in (0, 1) else run.err.strip() or run.out.strip() or f"{tool} ended with {run.code}"
+    ended = None if run.code in (0, 1) else run.err.strip() or run.out.strip() or f"exit code {run.code}"
     try:
-        if tool == "picklescan":
-            for i, line in enumerate(run.out.splitlines()):
-                m = re.match(IMPORT_LINE, line, re.IGNORECASE)
-                if m:
-                    kind = m[2].lower()
-                    found.append((f"{kind}-import-{i}", "critical" if kind == "dangerous" else "medium", f"{kind} import: {m[3]}", m[1]))
-        elif tool == "fickling":
-            x = json.loads(run.report)
-            said = str(x.get("severity", "UNKNOWN")).upper()
-            if said in ASSESSMENTS:
-                found.append((said.lower().replace("_", "-"), ASSESSMENTS[said], str(x.get("analysis", "unsafe")), ""))
-        else:
-            text = run.out if tool == "modelaudit" else run.out[run.out.index("{") : run.out.rindex("}") + 1]
-            x = json.loads(text)
-            issues, broken = x.get("issues", []), x.get("errors" if tool == "modelscan" else "has_errors")
-            if not isinstance(issues, list):
-                raise ValueError("issues is no list")
-            for i, issue in enumerate(issues):
-                if isinstance(issue, dict):
-                    if tool == "modelaudit":
-                        found.append((str(issue.get("rule_code") or issue.get("type") or f"issue-{i}"), str(issue.get("severity", "info")), str(issue.get("message", "finding")), str(issue.get("location", ""))))
-                    else:
-                        found.append((f"{str(issue.get('scanner', tool)).rsplit('.', 1)[-1]}-{issue.get('operator', i)}", str(issue.get("severity", "info")), str(issue.get("description", "finding")), str(issue.get("source", ""))))
-            if broken:
-                error = error or f"{tool} had errors of its own"
+        found, fault = READERS[tool](run)
     except (ValueError, AttributeError, TypeError) as e:
-        error = error or f"{tool}: output can't be read: {e}"
-    if run.code == 1 and not found and tool in ("picklescan", "fickling"):
-        error = error or f"{tool} reports findings but lists none"
+        found, fault = [], f"output that can't be read ({e})"
+    error = ended or (f"{tool} gave {fault}" if fault else None)
     return ([] if error else found), error
 
 
@@ -178,7 +194,7 @@ def import_lines(outputs: DataFrame, text_col: str) -> DataFrame:
     part = lambda g: F.regexp_extract("line", f"(?i){IMPORT_LINE}", g)
     kind = F.lower(part(2))
     rows = lines.where(F.col("line").rlike(f"(?i){IMPORT_LINE}"))
-    return rows.select(*rest, F.concat(kind, F.lit("-import-"), F.col("at").cast("string")).alias("external"), F.when(kind == "dangerous", "critical").otherwise("medium").alias("severity"), F.concat(kind, F.lit(" import: "), part(3)).alias("message"), part(1).alias("location"), F.col("at").alias("n"))
+    return rows.select(*rest, F.concat(F.lit("line-"), F.col("at").cast("string")).alias("external"), F.when(kind == "dangerous", "critical").otherwise("medium").alias("severity"), F.concat(kind, F.lit(": "), part(3)).alias("message"), part(1).alias("location"), F.col("at").alias("n"))
 
 
 def findings(results: DataFrame) -> DataFrame:

@@ -170,13 +170,13 @@ def test_template_findings(spark):
 
 def test_scanner_outputs():
     run = lambda code, out="", report="": scanners.Run(code, out, "", 0.0, report)
-    assert scanners.parse("picklescan", run(1, "a.pkl: dangerous import 'os system' FOUND\n")) == ([("dangerous-import-0", "critical", "dangerous import: os system", "a.pkl")], None)
+    assert scanners.parse("picklescan", run(1, "a.pkl: dangerous import 'os system' FOUND\n")) == ([("line-0", "critical", "dangerous: os system", "a.pkl")], None)
     assert scanners.parse("picklescan", run(1, "nothing"))[1] and scanners.parse("picklescan", run(0)) == ([], None) and scanners.parse("picklescan", run(2, "boom"))[1] == "boom"
     assert scanners.parse("modelaudit", run(1, '{"issues": [{"type": "t", "severity": "high", "message": "m", "location": "l"}, 3]}')) == ([("t", "high", "m", "l")], None)
     assert scanners.parse("modelaudit", run(0, '{"issues": {}}'))[1] and scanners.parse("modelaudit", run(0, '{"has_errors": true}'))[1]
-    assert scanners.parse("modelscan", run(1, 'log {"issues": [{"scanner": "a.b", "operator": "o", "severity": "LOW", "description": "d", "source": "s"}], "errors": []} end')) == ([("b-o", "LOW", "d", "s")], None)
+    assert scanners.parse("modelscan", run(1, 'log {"issues": [{"scanner": "a.b", "operator": "o", "severity": "LOW", "description": "d", "source": "s"}], "errors": []} end')) == ([("o", "LOW", "d", "s")], None)
     assert scanners.parse("modelscan", run(0, "none"))[1]
-    assert scanners.parse("fickling", run(1, "", '{"severity": "LIKELY_UNSAFE", "analysis": "x"}')) == ([("likely-unsafe", "high", "x", "")], None)
+    assert scanners.parse("fickling", run(1, "", '{"severity": "LIKELY_UNSAFE", "analysis": "x"}')) == ([("likely_unsafe", "high", "x", "")], None)
     assert scanners.parse("fickling", run(1, "", '{"severity": "LIKELY_SAFE"}'))[1]
 
 
