@@ -79,18 +79,18 @@ def json_signals(spark, sf_dir):
 FROMS = ("FROM ./local.gguf\nfrom https://x.example/m # c", f"PARAMETER x\n FROM 'hf://x/y@sha256:{_PIN}'", 'FROM "llama3"', "# FROM x\nXFROM y", "FROM /abs\nFROM ../up\nFROM file://z")
 
 
-@query("modelfile_sources", f"WITH d AS (SELECT doc_id, {one_of_sql('doc_id', FROMS)} AS t FROM documents), r AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '(?im)^\\s*FROM\\s+([^\\s#]+)', 1)), '^[\"'']+|[\"'']+$', '', 'g') AS reference FROM d) SELECT doc_id, reference, regexp_matches(reference, '(?i)(@|:|\\b)sha256[:=]?[0-9a-f]{{64}}\\b') AS pinned FROM r WHERE NOT (starts_with(reference, './') OR starts_with(reference, '../') OR starts_with(reference, '/') OR starts_with(reference, 'file://'))")
+@query("modelfile_sources", f"WITH d AS (SELECT doc_id, text || chr(10) || {one_of_sql('doc_id', FROMS)} AS t FROM documents), r AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '(?im)^\\s*FROM\\s+([^\\s#]+)', 1)), '^[\"'']+|[\"'']+$', '', 'g') AS reference FROM d) SELECT doc_id, reference, regexp_matches(reference, '(?i)(@|:|\\b)sha256[:=]?[0-9a-f]{{64}}\\b') AS pinned FROM r WHERE NOT (starts_with(reference, './') OR starts_with(reference, '../') OR starts_with(reference, '/') OR starts_with(reference, 'file://'))")
 def modelfile_sources(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(companion.from_sources(one_of("doc_id", FROMS))).alias("reference"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(companion.from_sources(F.concat("text", F.lit("\n"), one_of("doc_id", FROMS)))).alias("reference"))
     return docs.withColumn("pinned", companion.is_pinned(F.col("reference")))
 
 
 REFS = ('a: "https://x.example/1", ', f"see hf://x/y@sha256:{_PIN}\nand\nHuggingFace.co/z", "nothing", "u: 'http://y.example'\n", "p: https://" + "z" * 600)
 
 
-@query("manifest_references", f"WITH d AS (SELECT doc_id, {one_of_sql('doc_id', REFS)} AS t FROM documents), r AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)(?:https?://|hf://|huggingface\\.co/)[^\\n]*')) AS s FROM d) SELECT doc_id, left(regexp_replace(s, '^[ \"'',]+|[ \"'',]+$', '', 'g'), 512) AS snippet FROM r")
+@query("manifest_references", f"WITH d AS (SELECT doc_id, text || chr(10) || {one_of_sql('doc_id', REFS)} AS t FROM documents), r AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)(?:https?://|hf://|huggingface\\.co/)[^\\n]*')) AS s FROM d) SELECT doc_id, left(regexp_replace(s, '^[ \"'',]+|[ \"'',]+$', '', 'g'), 512) AS snippet FROM r")
 def manifest_references(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(companion.remote_snippets(one_of("doc_id", REFS))).alias("snippet"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(companion.remote_snippets(F.concat("text", F.lit("\n"), one_of("doc_id", REFS)))).alias("snippet"))
 
 
 MANIFESTS = ('{"artifact": "a.gguf", "sha256": "AB", "name": 1}', '{"artifact": "", "model": "m", "architecture": "llama"}', '{"artifact": null, "model": 0, "file": "f", "name": "n"}', '{"artifact": ["x"], "file": "f"}', '{"sha256": "x"}', "broken")
