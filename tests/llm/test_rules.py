@@ -205,7 +205,7 @@ def test_licenses(spark, empty):
 HELD_OUT = {
     "Distributed under the terms of MIT - see LICENSE.txt for more information.": "mit", "MIT-licensed code, free for all": "mit", "The above copyright notice and this permission notice must be included in every copy of the Software.": "mit",
     "Permission is granted, free of charge, to anyone obtaining a copy of this software and the associated documentation files, to deal in it without restriction": "mit",
-    "Licensed under the Apache License 2 (the License)": "apache", "You may only use this file in compliance with the Apache License, Version 2": "apache",
+    "Licensed under Apache v2 (the License)": "apache", "This file may not be used except in compliance with the said License, version 2.0": "apache",
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation": "bsd", "Code is available under a BSD 3-Clause style": "bsd",
     "You should have received a copy of the GNU General Public Licence along with this program.": "gpl", "is free software: you can redistribute it under GPL version 2 as published by the Free Software Foundation": "gpl",
     "This library may be redistributed under the GNU Lesser General Public Licence": "lgpl", "a system covered by the GNU Affero General Public Licence v3": "agpl",
