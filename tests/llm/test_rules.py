@@ -330,7 +330,7 @@ def test_licenses_inside_long_paragraphs(license_model, around):
     assert all(set(x) <= {c} for x, (_, c) in zip(families, notices))  # never another family
     assert sum(x == [c] for x, (_, c) in zip(found, notices)) >= 0.96 * len(notices), [(t, x) for x, (t, c) in zip(found, notices) if x != [c]]
     plain_text = licenses.notices([" ".join(made(around)).encode() for _ in range(50)], model)
-    assert sum(map(bool, plain_text)) <= 2 and not {n for x in plain_text for n in x} - {"unknown"}
+    assert sum(map(bool, plain_text)) <= max(2, around // 200) and not {n for x in plain_text for n in x} - {"unknown"}
 
 
 def test_licenses_several_in_a_line_and_no_generic_family(license_model):
