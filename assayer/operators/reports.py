@@ -240,20 +240,23 @@ def markdown(report: dict, include_observations: bool = False) -> str:
     return "\n".join(out) + "\n"
 
 
-def terminal(report: dict, notes: int = 10) -> str:
-    """A short text: verdict, what is suspicious, errors by place, mandatory gaps, some notes, coverage and advice."""
+def terminal(report: dict, notes: int = 10, advice: tuple[int, int] = (5, 3), verbose: bool = True) -> str:
+    """A short text: verdict, what is suspicious, errors by place, mandatory gaps, coverage and the most urgent advice;
+    ``verbose``: also the first of the other findings and of the other advice."""
     found = in_order(report["findings"])
-    pick = lambda s: [f for f in found if f["status"] == s]
+    pick = lambda *s: [f for f in found if f["status"] in s]
     out = [f"Verdict: {report['verdict']}"]
     out += [f"  ! {f['id']} [{f['severity']}] {f.get('summary') or ''}" for f in pick("suspicious")]
     for place in dict.fromkeys(f.get("path") or "" for f in pick("error")):
         out += [f"  errors in {place or 'the run'}:", *(f"    {f['id']} {f.get('summary') or ''}" for f in pick("error") if (f.get("path") or "") == place)]
     out += [f"  gap: {f['id']}" for f in pick("unchecked") if f["mandatory"]]
-    rest = [f for f in pick("unchecked") if not f["mandatory"]]
+    rest = [f for f in pick("unchecked", "clean", "verified", "not_applicable") if f["status"] != "unchecked" or not f["mandatory"]] if verbose else []
     out += [f"  note: {f['id']}" for f in rest[:notes]] + ([f"  and {len(rest) - notes} more"] if len(rest) > notes else [])
     counts = projection(report)["coverage"]
     out.append("  " + ", ".join(f"{k} {v}" for k, v in counts.items() if v))
-    out += [f"  advice [{r['priority']}]: {r['title']}" for r in report.get("recommendations", [])[:5]]
+    urgent = [r for r in report.get("recommendations", []) if r["priority"] in ("critical", "high")]
+    other = [r for r in report.get("recommendations", []) if r["priority"] not in ("critical", "high")] if verbose else []
+    out += [f"  advice [{r['priority']}]: {r['title']}" for r in urgent[: advice[0]] + other[: advice[1]]]
     return "\n".join(out) + "\n"
 
 

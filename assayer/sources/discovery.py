@@ -103,9 +103,10 @@ def plan(roots: list[str], depth: int, opener: str | None = None, most: int = PL
     return rows, left
 
 
-def listing(spark: SparkSession, roots: list[str], depth: int = DEPTH, opener: str | None = None) -> DataFrame:
-    """Rows of LISTING for all entries under the roots.  Folders that are left by the plan are visited by tasks."""
-    rows, left = plan(roots, depth, opener)
+def listing(spark: SparkSession, roots: list[str], depth: int = DEPTH, opener: str | None = None, planned: tuple[list, list] | None = None) -> DataFrame:
+    """Rows of LISTING for all entries under the roots.  Folders that are left by the plan (``planned``, if it was made
+    already) are visited by tasks."""
+    rows, left = planned or plan(roots, depth, opener)
     out = spark.createDataFrame(rows, LISTING)
     tasks = 4 * spark.sparkContext.defaultParallelism
 
@@ -149,10 +150,11 @@ def inventory(spark: SparkSession, roots: list[str], depth: int = DEPTH, most: i
     A folder on the way that can't be listed is an error."""
     if not roots:
         return Inventory([], 0, False, 0, 0)
-    rows = listing(spark, roots, depth, opener)
+    planned = plan(roots, depth, opener)
+    rows = listing(spark, roots, depth, opener, planned)
     ends = rows.where("kind = 'deep'").groupBy("root").agg(F.min("folder").alias("end")).withColumnRenamed("root", "r")
     seen = rows.join(F.broadcast(ends), F.col("root") == F.col("r"), "left").where("end is null or folder <= end").drop("r")  # a row a root
-    seen = save(seen, "seen")
+    seen = save(seen, "seen") if planned[1] else seen
     place = F.row_number().over(Window.partitionBy("root").orderBy("folder", "entry"))
     first = seen.where("kind = 'file'").withColumn("place", place).where(F.col("place") <= most + 1)
     first = [r.asDict() for r in first.select("root", "folder", "entry", "path", "place").collect()]  # most + 1 a root
@@ -160,10 +162,10 @@ def inventory(spark: SparkSession, roots: list[str], depth: int = DEPTH, most: i
     stop = spark.createDataFrame(stops, "r int, f string, e string")
     before = F.col("f").isNull() | (F.struct("folder", "entry") < F.struct("f", "e"))
     other = seen.where("kind <> 'file'").join(F.broadcast(stop), F.col("root") == F.col("r"), "left").where(before)
-    bad = other.where("kind = 'unreadable'").orderBy("root", "folder").first()
-    if bad:
-        raise OSError(f"can't list {bad.path}: {bad.error}")
-    n = {r[0]: r[1] for r in other.groupBy("kind").count().collect()}
+    kinds = {r.kind: r for r in other.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct("root", "folder", "path", "error")).alias("first")).collect()}
+    if bad := kinds.get("unreadable"):
+        raise OSError(f"can't list {bad.first.path}: {bad.first.error}")
+    n = {k: r.n for k, r in kinds.items()}
     chosen = [(r["path"],) for r in first if r["place"] <= most]
     files = spark.createDataFrame(chosen, "path string").repartition(max(1, len(chosen) // 16))
     targets = [Target(*r) for r in classified(files, opener).collect()] if chosen else []
