@@ -149,15 +149,37 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _forest(it):
+    """Spanning stars of the edges (u, v) of a task: every end but a group's least, with the least."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for b in it:
+        for x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    yield from batches(((x, find(x)) for x in list(root) if find(x) != x), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected edges, by alternating large-star and small-star steps until nothing
-    changes.  Returns (id, component_id), the smallest id reachable, for every id that has an edge to another;
-    null ends and loops are ignored.  Joins are on columns that were dealt anew, so that Spark can split hubs."""
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    """Connected components of undirected edges.  Tasks of ``BROADCAST_ROWS`` edges first replace theirs by spanning stars;
+    if that took more than one task, alternating large-star and small-star steps follow until nothing changes.  Returns
+    (id, component_id), the smallest id reachable, for every id that has an edge to another; null ends and loops are
+    ignored.  Joins are on columns that were dealt anew, so that Spark can split hubs."""
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
     e = save(e, "edges")
+    tasks = math.ceil(e.count() / BROADCAST_ROWS)
+    e = save(e.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long"), "stars")
     last = None
-    while True:
+    while tasks > 1:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == last:
             break

@@ -31,6 +31,19 @@ def test_components(spark):
     assert all(want[k] == v for k, v in got.items()) and all(k in got for a, b in edges if a != b for k in (a, b))
 
 
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch, most):
+    """Edges that fit a task need no steps of stars; those that don't still do."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    edges = [(i, i + 1) for i in range(1, 64)] + [(100 - i, 100) for i in range(1, 30)]
+    spark.sparkContext.setJobGroup(f"components-{most}", "")
+    got = {r[0]: r[1] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert got == components({x for e in edges for x in e}, edges)
+    assert most == 40 or jobs <= 8
+
+
 def brute_sets(rows, k, percent):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}
