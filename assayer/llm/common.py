@@ -149,6 +149,54 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Bits of a segment of ``maybe_among``, segments at most (32 MB of bits), bits that an id sets.
+SEGMENT, MOST_SEGMENTS, PROBES = 1 << 16, 1 << 12, 4
+
+
+def _places(ids: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each id and the bits in it."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        more = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    bits = [((more >> np.uint64(16 * i)) % np.uint64(SEGMENT)).astype(np.int64) for i in range(PROBES)]
+    return (h % np.uint64(segments)).astype(np.int64), np.stack(bits, axis=1) if len(ids) else np.zeros((0, PROBES), np.int64)
+
+
+def maybe_among(ids: DataFrame, count: int):
+    """A test (of an array) that all of the ``count`` ids of a table pass, and few others.  Tasks make bits, ten for each id
+    and 32 MB at most; beyond, more others pass."""
+    spark, name = ids.sparkSession, ids.columns[0]
+    segments = max(1, min(MOST_SEGMENTS, math.ceil(10 * count / SEGMENT)))
+
+    def deal(it):
+        for b in it:
+            own = np.asarray(b.column(0)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_places(own, segments)[0].astype(np.int32)), pa.array(own)], names=["segment", "id"])
+
+    def mark(it):
+        made: dict[int, np.ndarray] = {}
+        for b in it:
+            segment, at = _places(np.asarray(b.column("id")).astype(np.int64), segments)
+            for s in np.unique(segment).tolist():
+                made.setdefault(s, np.zeros(SEGMENT, bool))[at[segment == s].ravel()] = True
+        yield from batches(((s, np.packbits(x).tobytes()) for s, x in made.items()), pa.schema([("segment", pa.int32()), ("bits", pa.binary())]), 64)
+
+    dealt = ids.select(F.col(name).cast("long").alias("id")).mapInArrow(deal, "segment int, id long").repartition("segment")
+    bits = np.zeros((segments, SEGMENT // 8), np.uint8)
+    for s, x in dealt.mapInArrow(mark, "segment int, bits binary").collect():
+        bits[s] = np.frombuffer(x, np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
+
+    def among(own: np.ndarray) -> np.ndarray:
+        segment, at = _places(own, segments)
+        held = sent.value[segment[:, None], at >> 3]
+        return ((held >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+    return among
+
+
 def _forest(it):
     """Spanning stars of the edges (u, v) of a task: every end but a group's least, with the least."""
     root: dict[int, int] = {}

@@ -5,6 +5,10 @@ holds first, so sets whose unique shingles already fill the prefix are out.  Amo
 the first order goes by count, the others by magnitude of the count and hashes of their own.  Texts of the same words are
 one set from the start.
 
+Which shingles are shared is asked in rounds, by slices of their hashes.  After the first, a third, only sets are looked
+at that are the first of equal texts and of which not more was alone than may be; so copies and texts of their own are
+exchanged by a third, and no round exchanges much more than that.
+
 1. Hubs.  For each first-order prefix shingle the most typical set (fewest unique shingles) of a task is its hub, and the
    most typical hub of all tasks the hub of hubs.  Pairs of set and hub that meet under all orders are verified.  So a
    dense group is linked by as many pairs as it has sets, and a shingle that many sets hold costs an exchanged row a task.
@@ -23,6 +27,8 @@ the table don't enter, whatever their names."""
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +44,9 @@ ORDERS = 3
 BLOCK, BLOCK_SHINGLES, MANY_BLOCKS = 64, 1 << 18, 16
 #: Shingles that a task looks at together.
 HELD = 1 << 19
+#: Slices of all shingles, by hash, and those that are looked at first.
+SLICES = 1 << 20
+FIRST = SLICES // 3
 #: No set is so large: a text has fewer bytes.
 MIXED = (1 << 32) - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -75,14 +84,17 @@ def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> tuple[np.ndarray,
     return keys[new], doc[new], np.unique(doc[again[differ]])
 
 
-def _extract(k: int, seed: int):
+def _extract(k: int, seed: int, low: int = 0, high: int = SLICES):
     """Sets are named by their document; a digest of the words tells copies.  ``MIXED`` as the size of a set says that its
-    shingles need another seed."""
+    shingles need another seed.  Of all shingles those of the slices from ``low`` to ``high`` go out."""
 
     def extract(held):
         keys, doc, mixed = shingle_sets([as_bytes(r[1]) for r in held], k, seed)
         size = np.bincount(doc, minlength=len(held)).astype(np.uint32)
         size[mixed] = MIXED
+        slices = (keys >> np.uint64(44)).astype(np.int64)
+        own = (slices >= low) & (slices < high)
+        keys, doc = keys[own], doc[own]
         key = seed.to_bytes(8, "little")
         digests = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(plain_words(r[1])), digest_size=16, key=key).digest() for r in held), np.int64).reshape(-1, 2)
         d1, d2 = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
@@ -369,15 +381,28 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _attempt(rows: DataFrame, deal: tuple[int, int], k: int, percent: int, seed: int) -> DataFrame | None:
     """None if a link doesn't stand, or different shingles of a text have one hash."""
     spark, (n, subs) = rows.sparkSession, deal
-    table = common.save(shared_keys(rows, _extract(k, seed), n, subs, percent=percent), "sets")
+    table = common.save(shared_keys(rows, _extract(k, seed, 0, FIRST), n, subs, percent=percent), "sets")
     common.release(spark)
     if not table.where(f"shared is null and size = {MIXED}").isEmpty():
         return None
     docs = table.where("shared is null").select("doc_id", F.col("size").alias("n_shingles"), "d1", "d2")
     classes = docs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = common.save(classes, "classes")
-    able = table.where("shared is not null").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), "shared")
-    able = common.save(able.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]), "able")
+    pieces = table.where("shared is not null").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), "shared")
+    pieces = common.save(pieces.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi"), "first")
+    # What is left to look at, in as many rounds as keep each to the shingles of the first one.
+    every, left, sets = (x or 0 for x in (*docs.agg(F.sum("n_shingles")).first(), *pieces.agg(F.sum("n"), F.count("*")).first()))
+    rounds = math.ceil((SLICES - FIRST) * left / (FIRST * every)) if left else 0
+    parts, wanted = [pieces], common.maybe_among(pieces.select("id"), sets) if rounds else None
+    for i in range(rounds):
+        low, high = (FIRST + (SLICES - FIRST) * j // rounds for j in (i, i + 1))
+        more = shared_keys(rows, _extract(k, seed, low, high), n, subs, percent=percent, wanted=wanted, hand_on=False)
+        parts.append(common.save(more, "sets").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), "shared"))
+        common.release(spark)
+    able = reduce(DataFrame.unionByName, parts)
+    # Those found in all rounds; sets that ``wanted`` let through by mistake were not in the first.
+    whole = able.groupBy("id").agg(F.first("n").alias("n"), F.sum(F.length("shared") / 8).alias("found"), F.count("*").alias("c"))
+    whole = common.save(whole.where(f"c = {len(parts)} and found * 100 >= n * {percent}").select(F.col("id").alias("d"), "n"), "able")
 
     def shingles(it):
         for b in it:
@@ -385,10 +410,11 @@ def _attempt(rows: DataFrame, deal: tuple[int, int], k: int, percent: int, seed:
             ids = np.repeat(np.asarray(b.column("id")), [len(x) for x in sets_of])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets_of, np.zeros(0, np.int64)])), pa.array(ids.astype(np.int64))], names=["token", "id"])
 
-    every = able.select("id", "shared").mapInArrow(shingles, "token long, id long")
+    able = able.select("id", "shared").join(common.maybe_broadcast(whole), F.col("id") == F.col("d"), "left_semi")
+    every = able.mapInArrow(shingles, "token long, id long")
     held = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select((F.col("token") + 0).alias("t"), F.col("c").cast("int").alias("c"))
     counted = every.join(held, F.col("token") == F.col("t")).groupBy("id").agg(F.collect_list(F.struct("token", "c")).alias("tokens"))
-    counted = counted.join(able.select(F.col("id").alias("d"), "n"), F.col("id") == F.col("d")).where(F.size("tokens") * 100 >= F.col("n") * percent)
+    counted = counted.join(whole, F.col("id") == F.col("d")).where(F.size("tokens") * 100 >= F.col("n") * percent)
     counted = counted.select("id", "n", F.transform("tokens", lambda x: x["token"]).alias("tokens"), F.transform("tokens", lambda x: x["c"]).alias("counts"))
 
     def with_heads(it):

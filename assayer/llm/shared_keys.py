@@ -24,6 +24,8 @@ from assayer.llm.words import mix
 
 #: Keys that a task holds before it sends a run.
 RUN = 1 << 19
+#: Rows whose ids, sizes and digests a task holds before it sends them.
+ROWS_HELD = 1 << 16
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("sub", pa.int32()), ("blob", pa.binary())])
 ROWS = "bucket int, kind byte, sub int, blob binary"
 FIELDS = "doc_id long, size long, d1 long, d2 long, shared binary"
@@ -146,14 +148,16 @@ def by_sub(it, forward: tuple[int, ...] = ()):
     yield handed, None
 
 
-def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64, keep_key: bool = True, percent: int = 0, hot: int = 0) -> DataFrame:
+def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64, keep_key: bool = True, percent: int = 0, hot: int = 0, wanted=None, hand_on: bool = True) -> DataFrame:
     """``extract(rows)`` gives for a list of rows (doc_id, text): keys (uint64), the row number of each and a uint32 for
     each; for each row the id of its set (int64) and whether it has one; and arrays to hand on with each row (doc_id,
     null mark, size, d1, d2), or None.
 
     Result: a row per set, with ``size`` and ``d1`` its id (``doc_id`` too), ``shared`` holding the shared keys (uint64)
     or, without ``keep_key``, the values given with them (uint32); and, if rows are handed on, a row for each without
-    ``shared``.  With ``percent``, only sets of which so much is shared have a row.  With ``hot``, keys that stand in
+    ``shared``.  With ``percent``, only sets of which so much can be shared have a row, though ``extract`` may give a part of
+    their keys: not more of these go without a partner than the set can do without; ``d2`` is the number of these.
+    ``wanted(ids)`` tells the rows to look at.  Without ``hand_on``, rows aren't handed on.  With ``hot``, keys that stand in
     so many places have a row: ``d1`` the key, ``d2`` the number of places, no ``size``."""
     common.bound_batches(rows.sparkSession)
     targets, shift, total = common.partition_keys(n), np.uint64(64 - bits), n * subs
@@ -178,30 +182,51 @@ def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64,
             ask = [keys[at], sets[at]]
             yield int(targets[b]), ASKING, 0, _encode(ASKING, ask if keep_key else [*ask, values[at]])
 
+    def look(it):
+        for b in it:
+            yield b.filter(pa.array(wanted(np.asarray(b.column(0).fill_null(0)).astype(np.int64)))) if wanted else b
+
     def gather(it):
         held, count = [], 0
+        owned, sized, many = [], [], 0
 
         def flush():
             out = list(send(*(np.concatenate(x) for x in zip(*held)))) if held else []
             held.clear()
             return out
 
-        for part in common.chunks(it, lambda r: len(r[1] or "") + 64, 1 << 20):
+        def of_rows():
+            """What is sent of the rows themselves, of many rows at once."""
+            if owned:
+                own = [np.concatenate(x) for x in zip(*owned)]
+                for b, at in split(doc_bucket(own[0], n), n):
+                    yield int(targets[b]), DOCUMENT, 0, pack(*(np.ascontiguousarray(x[at]) for x in own))
+            if sized:
+                own = [np.concatenate(x) for x in zip(*sized)]
+                for b, at in split(doc_bucket(own[0], total) % n, n):
+                    yield int(targets[b]), SET, 0, pack(*(x[at] for x in own))
+            owned.clear()
+            sized.clear()
+
+        for part in common.chunks(look(it), lambda r: len(r[1] or "") + 64, 1 << 20):
             keys, row, values, ids, fit, own = extract(part)
             asks = fit[row]
             held.append(((keys[asks] >> shift) << shift, ids[row[asks]], values[asks]))
             count += int(asks.sum()) + len(part)
             out = []
             if own is not None:
-                for b, at in split(doc_bucket(own[0], n), n):
-                    out.append((int(targets[b]), DOCUMENT, 0, pack(*(np.ascontiguousarray(x[at]) for x in own))))
-                for b, at in split(doc_bucket(ids[fit], total) % n, n):
-                    out.append((int(targets[b]), SET, 0, pack(ids[fit][at], own[2][fit][at])))
+                if hand_on:
+                    owned.append(own)
+                sized.append((ids[fit], own[2][fit], np.bincount(row, minlength=len(part)).astype(np.uint32)[fit]))
+                many += len(part)
+                if many >= ROWS_HELD:
+                    out += of_rows()
+                    many = 0
             if count >= RUN:
                 out += flush()
                 count = 0
             yield from common.batches(out, _ROWS, 256)
-        yield from common.batches(flush(), _ROWS, 256)
+        yield from common.batches([*flush(), *of_rows()], _ROWS, 256)
 
     def answer(it):
         for handed, group in by_sub(it, (FOUND, DOCUMENT, SET)):
@@ -248,23 +273,27 @@ def shared_keys(rows: DataFrame, extract, n: int, subs: int = 1, bits: int = 64,
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2), pa.nulls(len(doc), pa.binary())], schema=schema)
             found = [unpack(r[3]) for r in group or () if r[1] == FOUND]
             sizes = [unpack(r[3]) for r in group or () if r[1] == SET]
-            if not found:
+            if not found and not (sizes and percent):
                 continue
             group.clear()
+            if not found:
+                found.append([np.zeros(0, np.int64), np.zeros(0, np.uint64 if keep_key else np.uint32)])
             sets, back = (np.concatenate(x) for x in zip(*found))
             found.clear()
             order = np.lexsort((back, sets))
             sets, back = sets[order], back[order]
-            new = np.concatenate([[True], (sets[1:] != sets[:-1]) | (back[1:] != back[:-1])])
+            new = np.ones(len(sets), bool)
+            new[1:] = (sets[1:] != sets[:-1]) | (back[1:] != back[:-1])
             sets, back = sets[new], back[new]
-            ids, first = np.unique(sets, return_index=True)
-            ends = np.append(first, len(sets))
-            size = np.zeros(len(ids), np.int64)
+            ids = np.unique(sets)
+            size = mine = np.zeros(len(ids), np.int64)
             if sizes:
                 known, at = np.unique(np.concatenate([x[0] for x in sizes]), return_index=True)
-                size = np.concatenate([x[1] for x in sizes])[at].astype(np.int64)[np.searchsorted(known, ids)]
-            able = np.flatnonzero(100 * np.diff(ends) >= percent * size) if percent else np.arange(len(ids))
-            yield from common.batches(((d, m, d, None, back[a:b].tobytes()) for d, m, a, b in zip(ids[able].tolist(), size[able].tolist(), ends[able].tolist(), ends[able + 1].tolist())), schema, 1024)
+                ids = known if percent else ids
+                size, mine = (np.concatenate([x[j] for x in sizes])[at].astype(np.int64)[np.searchsorted(known, ids)] for j in (1, 2))
+            first, last = np.searchsorted(sets, ids), np.searchsorted(sets, ids, side="right")
+            able = np.flatnonzero((size > 0) & (100 * (mine - (last - first)) <= (100 - percent) * size)) if percent else np.arange(len(ids))
+            yield from common.batches(((d, m, d, g, back[a:b].tobytes()) for d, m, g, a, b in zip(ids[able].tolist(), size[able].tolist(), mine[able].tolist(), first[able].tolist(), last[able].tolist())), schema, 1024)
 
     asked = subdivided(rows.mapInArrow(gather, ROWS), n, subs, (ASKING, WITNESS))
     return subdivided(asked.mapInArrow(answer, ROWS), n, subs, (FOUND, SET)).mapInArrow(by_set, FIELDS)

@@ -62,6 +62,35 @@ def test_similar_sets(documents, rows, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (sizes[d], want[d]) for d in want}
 
 
+def test_copies_exchange_a_part_of_their_shingles(spark, monkeypatch):
+    """Copies, and texts of their own, are looked at in the first round only; near copies are found nevertheless."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(60)]
+    near = [t.replace(t.split()[100], "other", 1) for t in texts[:5]]
+    rows = [(i + 1000 * c, t) for c in range(8) for i, t in enumerate(texts)] + [(9000 + i, t) for i, t in enumerate(near)] + [(9100, None), (9101, "a b")]
+    found, save = [], common.save
+
+    def spy(df, name):
+        out = save(df, name)
+        if name == "sets":
+            found.append(out.agg(F.sum(F.length("shared") / 8)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(common, "save", spy)
+    sizes, want = brute_sets(rows, 3, 90)
+    got = ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (sizes[d], want[d]) for d in want}
+    assert sum(found) < 0.5 * sum(sizes.values())
+
+
+@pytest.mark.parametrize("count,most", [(5, 4096), (50_000, 4096), (50_000, 2)])
+def test_maybe_among(spark, monkeypatch, count, most):
+    monkeypatch.setattr(common, "MOST_SEGMENTS", most)
+    among = common.maybe_among(spark.range(0, 3 * count, 3).toDF("id"), count)
+    own = np.arange(3 * count)
+    assert among(own[::3]).all() and (most == 2 or among(own[1::3]).mean() < 0.05) and among(own[:0]).tolist() == []
+
+
 @pytest.mark.parametrize("many", [8, 1])
 def test_large_family(spark, monkeypatch, many):
     """A family over the block bound is dealt as pairs of blocks, or by shingle, and still loses no link."""
