@@ -5,7 +5,8 @@ versions fall into one slot, the same advisories affect.  Distinct versions and
 a running count of bounds gives each its slot.  An advisory covers a run of slots; it is filed under the few nodes of a
 binary tree that make up that run, and a slot that runtimes are in looks under the nodes above it, so that advisories and
 slots meet by equal keys and each pair that does is one that holds.  Work grows with runtimes, advisories and findings,
-never with a product of them, and no task holds all bounds or all runtimes of a component."""
+never with a product of them, and no task holds all bounds or all runtimes of a component.  Slots, advisories and runtimes
+are sorted and merged: saved tables look small in their files, and the planner would send them through the driver."""
 
 from __future__ import annotations
 
@@ -58,6 +59,10 @@ def _nodes(low: Column, high: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, up, lambda a: a["n"])
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
 def affected(runtimes: DataFrame, rules: DataFrame) -> DataFrame:
     """(runtime_id, advisory, severity, confidence): a row for each runtime (runtime_id, component, build, version,
     confidence, and has_template if rules that need one are to be judged) in an advisory's affected range.  Runtimes whose
@@ -73,17 +78,19 @@ def affected(runtimes: DataFrame, rules: DataFrame) -> DataFrame:
     if (known.agg(F.max("slot")).first()[0] or 0) >= 1 << LEVELS:
         raise ValueError(f"more than {1 << LEVELS - 1} bounds of a component")
     for s in _SIDES:
-        of = known.select(F.col("own").alias("o"), F.col("by").alias("y"), F.col("key").alias("x"), F.col("slot").alias(f"{s}_slot"))
+        # A side without a bound has a key of its own that meets none, so that such rules are dealt out.
+        keyed = keyed.withColumn(s, F.coalesce(s, F.concat(F.lit("~"), F.xxhash64("advisory").cast("string"))))
+        of = _merged(known).select(F.col("own").alias("o"), F.col("by").alias("y"), F.col("key").alias("x"), F.col("slot").alias(f"{s}_slot"))
         keyed = keyed.join(of, (F.col("c") == F.col("o")) & (F.col("s") == F.col("y")) & (F.col(s) == F.col("x")), "left").drop("o", "y", "x")
     low = F.coalesce(F.greatest(F.col("gt_slot") + 1, "gte_slot"), F.lit(0))
     high = F.coalesce(F.least(F.col("lt_slot") - 1, "lte_slot"), F.lit((1 << LEVELS) - 1))
     covers = keyed.withColumn("low", low).withColumn("high", high).where("low <= high")
     covers = covers.select("c", "s", "advisory", "needs_template", "rule_severity", "rule_confidence", F.explode(_nodes(F.col("low"), F.col("high"))).alias("node"))
-    occupied = known.join(placed.select("own", "by", "key").distinct(), ["own", "by", "key"], "left_semi").select("own", "by", "slot").distinct()
+    occupied = known.join(_merged(placed.select("own", "by", "key").distinct()), ["own", "by", "key"], "left_semi").select("own", "by", "slot").distinct()
     above = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.floor((F.col("slot") + (1 << LEVELS)) / F.pow(F.lit(2.0), k)).cast("long"))
-    met = occupied.withColumn("above", F.explode(above)).join(covers, (F.col("own") == F.col("c")) & (F.col("by") == F.col("s")) & (F.col("above") == F.col("node")))
+    met = occupied.withColumn("above", F.explode(above)).join(_merged(covers), (F.col("own") == F.col("c")) & (F.col("by") == F.col("s")) & (F.col("above") == F.col("node")))
     met = met.select(F.col("own").alias("o"), F.col("by").alias("y"), F.col("slot").alias("at"), "advisory", "needs_template", "rule_severity", "rule_confidence")
-    found = placed.join(known, ["own", "by", "key"]).join(met, (F.col("own") == F.col("o")) & (F.col("by") == F.col("y")) & (F.col("slot") == F.col("at")))
+    found = placed.join(_merged(known), ["own", "by", "key"]).join(_merged(met), (F.col("own") == F.col("o")) & (F.col("by") == F.col("y")) & (F.col("slot") == F.col("at")))
     if extra:
         found = found.where(~F.col("needs_template") | F.col("has_template"))
     rank = lambda c: F.when(c == "low", 0).when(c == "medium", 1).otherwise(2)

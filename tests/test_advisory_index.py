@@ -69,3 +69,11 @@ def test_ten_thousand_rules_and_a_million_runtimes(spark):
     starts = {i * 7919 % 1_000_000 for i in range(10_000)}
     assert rows == sum(len(range(s, min(s + 30, 999_999) + 1)) for s in starts)
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slots_and_findings_are_not_broadcast(spark):
+    """Saved tables of slots are small in their files, but not in the driver's memory."""
+    rng = random.Random(6)
+    found = advisory_index.affected(spark.createDataFrame(some_runtimes(rng, 400), RUNTIMES), spark.createDataFrame(some_rules(rng, 100), RULES))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and any(f"{c}#" in line for c in ("key", "slot", "at", "x", "node"))]
